@@ -40,12 +40,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.filter(derive.FRAME_PRESENT).selectExpr(*derive.select_list(derive.SNAPSHOT))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, *, with_source: bool = False) -> DataFrame:
     structs = [
         "struct(" + ", ".join(derive.select_list(columns, ints="ARRAY<INT>", array="array")) + ")"
         for columns in derive.EVENTS
     ]
-    return read(spark, sf_dir, "lineitem").selectExpr(f"inline(array({', '.join(structs)}))")
+    extra = ["_metadata.file_name AS source_file"] if with_source else []
+    return read(spark, sf_dir, "lineitem").selectExpr(*extra, f"inline(array({', '.join(structs)}))")
 
 
 def study_rules():
@@ -76,6 +77,7 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
             events=events(spark, sf_dir),
             rules=study_rules(),
             expected_ids=7,
+            time_edges=(1, 2),
         )
     return _studies[key]
 

@@ -287,9 +287,9 @@ def sample_summary(targets: DataFrame, selected: DataFrame, matched: DataFrame)
         .groupBy("sample")
         .agg(
             F.count(F.lit(1)).alias("matched_cases"),
-            F.count_if("n = 1").alias("cases_with_1_control"),
-            F.count_if("n = 2").alias("cases_with_2_controls"),
-            F.count_if("n = 3").alias("cases_with_3_controls"),
+            F.count_if(F.expr("n = 1")).alias("cases_with_1_control"),
+            F.count_if(F.expr("n = 2")).alias("cases_with_2_controls"),
+            F.count_if(F.expr("n = 3")).alias("cases_with_3_controls"),
             F.count_if("fallback").alias("cases_using_fallback"),
         )
     )
@@ -307,7 +307,7 @@ def sample_summary(targets: DataFrame, selected: DataFrame, matched: DataFrame)
         .groupBy("sample")
         .agg(
             F.count(F.lit(1)).alias("unique_control_observations"),
-            F.count_if("uses > 1").alias("reused_control_observations"),
+            F.count_if(F.expr("uses > 1")).alias("reused_control_observations"),
             F.max("uses").alias("maximum_control_reuse"),
         )
     )

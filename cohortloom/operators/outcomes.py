@@ -61,7 +61,7 @@ def matched_set_effects(
     )
 
 
-def add_groups(effects: DataFrame) -> DataFrame:
+def add_groups(effects: DataFrame, *, time_edges: Sequence[float] = TIME_EDGES_MIN) -> DataFrame:
     return effects.withColumns(
         {
             "team_state": state_bins(F.col("team_total_gold_diff"), edges=TEAM_STATE_EDGES, labels=STATE_LABELS),
@@ -69,7 +69,7 @@ def add_groups(effects: DataFrame) -> DataFrame:
                 F.col("player_gold_diff_vs_role_opponent"), edges=PLAYER_STATE_EDGES, labels=STATE_LABELS
             ),
             "purchase_time_group": state_bins(
-                F.col("observation_time_minutes"), edges=TIME_EDGES_MIN, labels=TIME_LABELS
+                F.col("observation_time_minutes"), edges=time_edges, labels=TIME_LABELS
             ),
             "lifecycle_group": normalise_status(F.col("lifecycle_status"), aliases={}),
         }

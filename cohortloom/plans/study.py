@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 
 from ..operators import asof, candidates, episodes, manifest, matching, outcomes, state
+from ..params import TIME_EDGES_MIN
 from ..session import materialise
 
 
@@ -25,6 +26,7 @@ class Study:
     rules: list[tuple[str, Column]] | None = None
     expected_ids: int = 10
     radii: tuple[float, ...] = ()
+    time_edges: tuple[float, ...] = TIME_EDGES_MIN
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -125,4 +127,6 @@ class Study:
 
     @cached_property
     def effects(self) -> DataFrame:
-        return outcomes.add_groups(outcomes.matched_set_effects(self.primary_long))
+        return outcomes.add_groups(
+            outcomes.matched_set_effects(self.primary_long), time_edges=self.time_edges
+        )

@@ -4,12 +4,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..params import ITEM_EVENT_TYPES, KEPT_EVENT_TYPES
 
 _POINT = "struct<x:int,y:int>"
-MATCH_DOCUMENT = T.StructType.fromDDL(
+MATCH_DOCUMENT = (
     "metadata struct<matchId:string>, info struct<gameId:bigint,gameCreation:bigint,"
     "gameStartTimestamp:bigint,gameDuration:bigint,gameEndTimestamp:bigint,gameVersion:string,"
     "queueId:int,mapId:int,gameMode:string,gameType:string,platformId:string,endOfGameResult:string,"
@@ -19,8 +18,8 @@ MATCH_DOCUMENT = T.StructType.fromDDL(
     "totalDamageDealtToChampions:bigint,totalDamageTaken:bigint,item0:bigint,item1:bigint,"
     "item2:bigint,item3:bigint,item4:bigint,item5:bigint,item6:bigint>>>"
 )
-TIMELINE_DOCUMENT = T.StructType.fromDDL(
-    "match_id string, info struct<frames:array<struct<timestamp:bigint,"
+TIMELINE_DOCUMENT = (
+    "info struct<frames:array<struct<timestamp:bigint,"
     "participantFrames:map<string,struct<currentGold:bigint,totalGold:bigint,goldPerSecond:bigint,"
     f"level:bigint,xp:bigint,minionsKilled:bigint,jungleMinionsKilled:bigint,position:{_POINT}>>,"
     "events:array<struct<type:string,timestamp:bigint,participantId:int,itemId:int,beforeId:int,"
@@ -29,8 +28,11 @@ TIMELINE_DOCUMENT = T.StructType.fromDDL(
 )
 
 
-def parse_documents(raw: DataFrame, *, schema: T.StructType, text: str = "value") -> DataFrame:
-    return raw.select(F.from_json(text, schema).alias("d")).select("d.*")
+def parse_documents(
+    raw: DataFrame, *, schema: str, text: str = "value", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Documents held as text; a timeline names its match in a column next to it."""
+    return raw.select(*keep, F.from_json(text, schema).alias("d")).select(*keep, "d.*")
 
 
 def extract_matches(docs: DataFrame) -> DataFrame:

@@ -8,24 +8,24 @@ from pyspark.sql import types as T
 
 from ..functions.frames import require_columns
 
-MATCHES = T.StructType.fromDDL(
+MATCHES = (
     "match_id string, game_id bigint, game_creation bigint, game_start_timestamp bigint, "
     "game_duration bigint, game_end_timestamp bigint, game_version string, queue_id int, "
     "map_id int, game_mode string, game_type string, platform_id string, end_of_game_result string"
 )
-PARTICIPANTS = T.StructType.fromDDL(
+PARTICIPANTS = (
     "match_id string, participant_id int, puuid string, team_id int, team_position string, "
     "champion_id int, champion_name string, win boolean, gold_earned bigint, gold_spent bigint, "
     "champ_level bigint, champ_experience bigint, kills bigint, deaths bigint, assists bigint, "
     "damage_dealt_to_champions bigint, damage_taken bigint, item0 bigint, item1 bigint, "
     "item2 bigint, item3 bigint, item4 bigint, item5 bigint, item6 bigint"
 )
-SNAPSHOTS = T.StructType.fromDDL(
+SNAPSHOTS = (
     "match_id string, timestamp bigint, participant_id int, current_gold bigint, total_gold bigint, "
     "gold_per_second bigint, level bigint, xp bigint, minions_killed bigint, "
     "jungle_minions_killed bigint, position_x bigint, position_y bigint"
 )
-EVENTS = T.StructType.fromDDL(
+EVENTS = (
     "match_id string, event_seq bigint, timestamp bigint, event_type string, position_x int, "
     "position_y int, participant_id int, item_id int, before_item_id int, after_item_id int, "
     "killer_id int, victim_id int, assisting_ids array<int>, building_type string, "
@@ -34,10 +34,12 @@ EVENTS = T.StructType.fromDDL(
 
 
 def scan_tolerant_columns(
-    spark: SparkSession, path: str, *, schema: T.StructType, required: Sequence[str], fmt: str = "parquet"
+    spark: SparkSession, path: str, *, schema: str | T.StructType, required: Sequence[str], fmt: str = "parquet"
 ) -> DataFrame:
     """Read with the schema's columns and types: absent optional ones become null, an absent
     required one is an error. Only file footers are read to find out."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     found = spark.read.format(fmt).load(path)
     require_columns(found, required)
     present = set(found.columns)

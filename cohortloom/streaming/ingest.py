@@ -10,7 +10,7 @@ def load_new_files(
     target: str,
     checkpoint: str,
     *,
-    schema: T.StructType,
+    schema: str | T.StructType,
     fmt: str = "parquet",
     glob: str | None = None,
     max_files: int = 1000,
