@@ -66,7 +66,7 @@ def extract_participants(spark, sf):
         f"{_P['damage_taken']} AS totalDamageTaken, l_partkey % 4000 AS item0)"
     )
     text = f"to_json(struct(struct({L_MATCH} AS matchId) AS metadata, struct(array({person}) AS participants) AS info))"
-    raw = tables.read(spark, sf, "lineitem").selectExpr(f"{text} AS value")
+    raw = tables.spread(tables.read(spark, sf, "lineitem")).selectExpr(f"{text} AS value")
     return docs.extract_participants(docs.parse_documents(raw, schema=docs.MATCH_DOCUMENT))
 
 
@@ -113,7 +113,8 @@ def timelines(spark, sf):
     )
     frames = [frame(0, [ward]), frame(1, [buy]), frame(2, [follow]), frame(3, [kill])]
     text = "concat('{\"info\":{\"frames\":[', " + ", ',', ".join(frames) + ", ']}}')"
-    raw = tables.read(spark, sf, "lineitem").selectExpr(f"{L_MATCH} AS match_id", f"{text} AS value")
+    lines = tables.spread(tables.read(spark, sf, "lineitem"))
+    raw = lines.selectExpr(f"{L_MATCH} AS match_id", f"{text} AS value")
     return docs.parse_documents(raw, schema=docs.TIMELINE_DOCUMENT, keep=["match_id"])
 
 

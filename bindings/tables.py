@@ -7,6 +7,7 @@ from cohortloom.functions.columns import route_region
 from cohortloom.functions.frames import dedupe_keep_last
 from cohortloom.params import INGEST_REGIONS
 from cohortloom.plans.study import Study
+from cohortloom.session import materialise
 
 from . import derive
 
@@ -21,6 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer splits than cores (one small file); with many
+    splits this adds nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").selectExpr(*derive.select_list(derive.MATCH))
     return route_region(rows, id_col="match_id", rules=INGEST_REGIONS)
@@ -28,7 +36,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines, the latest one per (order, line number)."""
-    return dedupe_keep_last(read(spark, sf_dir, "lineitem"), key=LINE_KEY, order=LINE_ORDER)
+    return dedupe_keep_last(spread(read(spark, sf_dir, "lineitem")), key=LINE_KEY, order=LINE_ORDER)
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +54,10 @@ def events(spark: SparkSession, sf_dir: str, *, with_source: bool = False) -> Da
         for columns in derive.EVENTS
     ]
     extra = ["_metadata.file_name AS source_file"] if with_source else []
-    return read(spark, sf_dir, "lineitem").selectExpr(*extra, f"inline(array({', '.join(structs)}))")
+    raw = read(spark, sf_dir, "lineitem")
+    # the file name is known only at the scan itself
+    rows = raw if with_source else spread(raw)
+    return rows.selectExpr(*extra, f"inline(array({', '.join(structs)}))")
 
 
 def study_rules():
@@ -67,14 +78,15 @@ _studies: dict[tuple[str, str], Study] = {}
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    """One study per session and input; its stage tables are written on first use."""
+    """One study per session and input; its stage tables are written on first use, the four
+    base tables being the first of them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _studies:
         _studies[key] = Study(
-            matches=matches(spark, sf_dir),
-            participants=participants(spark, sf_dir),
-            snapshots=snapshots(spark, sf_dir),
-            events=events(spark, sf_dir),
+            matches=materialise(matches(spark, sf_dir), "matches"),
+            participants=materialise(participants(spark, sf_dir), "participants"),
+            snapshots=materialise(snapshots(spark, sf_dir), "snapshots"),
+            events=materialise(events(spark, sf_dir), "events"),
             rules=study_rules(),
             expected_ids=7,
             time_edges=(1, 2),

@@ -133,7 +133,9 @@ def _pairs(cases: DataFrame, controls: DataFrame, *, exact: Sequence[str], p: Ca
     control = controls.withColumn("_bucket", F.floor(F.col("timestamp") / bucket).cast("bigint")).withColumns(
         _cells("", p, radius)
     )
-    joined = case.join(control, [*exact, "case_level", "_bucket", "_g0", "_g1", "_g2"])
+    # the exploded case side is some 50 times its file size, which the planner cannot see:
+    # never let it pick a broadcast from the file size
+    joined = case.hint("merge").join(control, [*exact, "case_level", "_bucket", "_g0", "_g1", "_g2"])
 
     def gap(name):
         return F.abs(F.col(name) - F.col(f"c_{name}"))
