@@ -81,25 +81,27 @@ def event_marks(events: DataFrame, *, history_item: int = HISTORY_ITEM) -> DataF
     kind = F.upper(F.trim("event_type"))
     is_kill = kind == "CHAMPION_KILL"
     is_purchase = (kind == "ITEM_PURCHASED") & (F.col("item_id") == history_item)
-
-    def mark(name, who):
-        return F.struct(F.lit(name).alias("kind"), who.cast("bigint").alias("participant_id"))
-
-    one = F.array(
-        F.when(is_kill, mark("kills", F.col("killer_id"))),
-        F.when(is_kill, mark("deaths", F.col("victim_id"))),
-        F.when(is_purchase, mark("history", F.col("participant_id"))),
-    )
-    helpers = F.when(
-        is_kill, F.transform("assisting_ids", lambda who: mark("assists", who))
-    )
-    marks = F.concat(one, F.coalesce(helpers, F.array().cast("array<struct<kind:string,participant_id:bigint>>")))
+    # everybody involved in one array; the place in it tells the role
+    people = F.concat(
+        F.array(
+            F.when(is_kill, F.col("killer_id")),
+            F.when(is_kill, F.col("victim_id")),
+            F.when(is_purchase, F.col("participant_id")),
+        ),
+        F.coalesce(F.when(is_kill, F.col("assisting_ids")), F.array().cast("array<int>")),
+    )
+    role = F.col("_role")
     return (
         events.filter(is_kill | is_purchase)
         .filter("match_id is not null and timestamp is not null")
-        .select("match_id", "timestamp", F.explode(marks).alias("_m"))
-        .select("match_id", "timestamp", "_m.participant_id", "_m.kind")
+        .select("match_id", "timestamp", F.posexplode(people).alias("_role", "participant_id"))
         .filter("participant_id > 0")
+        .select(
+            "match_id",
+            "timestamp",
+            "participant_id",
+            F.when(role == 0, "kills").when(role == 1, "deaths").when(role == 2, "history").otherwise("assists").alias("kind"),
+        )
     )
 
 

@@ -93,13 +93,15 @@ def control_intervals(controls: DataFrame, *, exact: Sequence[str], p: Calipers)
         .filter("_slice = _own and valid_to >= timestamp")
         .drop("_slice", "_own")
     )
-    # rows equal in everything that is scored differ only in the tie-break: k of them suffice
+    # rows equal in everything that is scored differ only in the tie-break: k of them suffice.
+    # The hash comes first only to let the sort settle most comparisons on one number.
+    scored = [*exact, "case_level", "level", "timestamp", "valid_to", *SCORED]
     return topk_candidates(
-        intervals,
-        by=[*exact, "case_level", "level", "timestamp", "valid_to", *SCORED],
+        intervals.withColumn("_hash", F.xxhash64(*scored)),
+        by=["_hash", *scored],
         order=["match_id", "participant_id"],
         k=p.k,
-    )
+    ).drop("_hash")
 
 
 def _cells(prefix: str, p: Calipers, radius: float) -> dict[str, Column]:
@@ -116,9 +118,8 @@ def _cells(prefix: str, p: Calipers, radius: float) -> dict[str, Column]:
     return {name: F.floor(value / (width * slack)).cast("bigint") for name, (value, width) in widths.items()}
 
 
-def _pairs(cases: DataFrame, controls: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float) -> DataFrame:
-    """Case/control pairs within ``radius`` of every caliper, scored."""
-    bucket = p.max_gap_ms
+def _case_keys(cases: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float) -> DataFrame:
+    """Cases once per time bucket and grid cell in which a partner may lie."""
     case = cases.select(
         "case_id",
         *exact,
@@ -126,16 +127,29 @@ def _pairs(cases: DataFrame, controls: DataFrame, *, exact: Sequence[str], p: Ca
         F.col("purchase_timestamp").alias("_t"),
         *[F.col(c).alias(f"c_{c}") for c in SCORED],
     ).dropna()
-    b = F.floor(F.col("_t") / bucket).cast("bigint")
-    case = case.withColumn("_bucket", F.explode(F.array(b - 1, b)))
+    bucket = F.floor(F.col("_t") / p.max_gap_ms).cast("bigint")
+    case = case.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket)))
     for name, cell in _cells("c_", p, radius).items():
         case = case.withColumn(name, F.explode(F.sequence(cell - 1, cell + 1)))
-    control = controls.withColumn("_bucket", F.floor(F.col("timestamp") / bucket).cast("bigint")).withColumns(
-        _cells("", p, radius)
-    )
+    return case
+
+
+def _control_keys(intervals: DataFrame, *, p: Calipers, radius: float) -> DataFrame:
+    return intervals.withColumn(
+        "_bucket", F.floor(F.col("timestamp") / p.max_gap_ms).cast("bigint")
+    ).withColumns(_cells("", p, radius))
+
+
+CELL = ("case_level", "_bucket", "_g0", "_g1", "_g2")
+
+
+def _pairs(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float) -> DataFrame:
+    """Case/control pairs of neighbouring cells within all calipers, scored."""
+    case = _case_keys(cases, exact=exact, p=p, radius=radius)
+    control = _control_keys(intervals, p=p, radius=radius)
     # the exploded case side is some 50 times its file size, which the planner cannot see:
     # never let it pick a broadcast from the file size
-    joined = case.hint("merge").join(control, [*exact, "case_level", "_bucket", "_g0", "_g1", "_g2"])
+    joined = case.hint("merge").join(control, [*exact, *CELL])
 
     def gap(name):
         return F.abs(F.col(name) - F.col(f"c_{name}"))
@@ -168,38 +182,100 @@ def _pairs(cases: DataFrame, controls: DataFrame, *, exact: Sequence[str], p: Ca
     )
 
 
+MAX_HALVINGS = 6
+
+
+def crowded_cases(
+    cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, dense: int
+) -> DataFrame:
+    """Case ids with more than ``dense`` controls in their strata (exact keys, level, time)."""
+    strata = [*exact, "case_level", "_bucket"]
+    sizes = (
+        intervals.withColumn("_bucket", F.floor(F.col("timestamp") / p.max_gap_ms).cast("bigint"))
+        .groupBy(*strata)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    bucket = F.floor(F.col("purchase_timestamp") / p.max_gap_ms).cast("bigint")
+    return (
+        cases.select(
+            "case_id",
+            *exact,
+            F.col("level").cast("int").alias("case_level"),
+            F.explode(F.array(bucket - 1, bucket)).alias("_bucket"),
+        )
+        .join(sizes, strata)
+        .groupBy("case_id")
+        .agg(F.sum("_n").alias("_n"))
+        .filter(F.col("_n") > dense)
+        .select("case_id")
+    )
+
+
+def first_radii(
+    cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, dense: int
+) -> DataFrame:
+    """(case_id, radius): how wide a case should look first.
+
+    Controls are counted per cell and the counts, not the rows, meet the cases. Halving the
+    radius leaves about an eighth of the neighbourhood, so a case with ``dense`` times 8^n
+    controls around it starts at 2^-n.
+    """
+    counts = _control_keys(intervals, p=p, radius=1.0).groupBy(*exact, *CELL).agg(F.count(F.lit(1)).alias("_n"))
+    reach = (
+        _case_keys(cases, exact=exact, p=p, radius=1.0)
+        .hint("merge")
+        .join(counts, [*exact, *CELL])
+        .groupBy("case_id")
+        .agg(F.sum("_n").alias("_reach"))
+    )
+    halvings = F.least(F.lit(MAX_HALVINGS), F.ceil(F.log(F.col("_reach") / dense) / math.log(8.0)))
+    return reach.select("case_id", F.pow(F.lit(0.5), F.greatest(F.lit(0), halvings)).alias("radius"))
+
+
 def nearest_controls(
     cases: DataFrame,
     controls: DataFrame,
     *,
     exact: Sequence[str] = ("region", "team_position"),
     p: Calipers = CALIPERS,
-    radii: Sequence[float] = (),
+    dense: int = 50_000,
 ) -> DataFrame:
-    """The k best-scored controls of every case.
+    """The k best-scored controls of every case, without scoring all pairs of a dense cell.
 
-    ``radii`` (increasing, below 1) are optional narrow passes for dense data. No term of the
-    score is negative, so every control scoring at most r lies within r of each caliper: a
-    case that finds k of them there is finished, and only the rest look further. The last
-    pass uses the full calipers, so the result never depends on ``radii``.
+    A case with many controls around it first looks within a fraction r of every caliper. No
+    term of the score is negative, so whatever scores at most r lies inside that box: a case
+    that finds k of those is finished, the others double r and look again, in the end over
+    the full calipers. ``dense`` therefore changes the work, never the result.
     """
     order = ["control_match_state_score", *CONTROL_KEY]
-    prepared = control_intervals(controls, exact=exact, p=p)
-    if not radii:
-        return topk_candidates(_pairs(cases, prepared, exact=exact, p=p, radius=1.0), by=["case_id"], order=order, k=p.k)
-    prepared = materialise(prepared, "control_intervals")
-    open_cases = cases
+    intervals = materialise(control_intervals(controls, exact=exact, p=p), "control_intervals")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return topk_candidates(pairs, by=["case_id"], order=order, k=p.k)
+
+    def within(some: DataFrame, radius: float) -> DataFrame:
+        return _pairs(some, intervals, exact=exact, p=p, radius=radius)
+
+    crowded = materialise(crowded_cases(cases, intervals, exact=exact, p=p, dense=dense), "crowded_cases")
+    if crowded.isEmpty():
+        return best(within(cases, 1.0))
+    radii = materialise(
+        first_radii(cases.join(crowded, "case_id", "left_semi"), intervals, exact=exact, p=p, dense=dense), "case_radii"
+    )
+    # a case outside ``radii`` is either not crowded or has no control in any neighbouring cell
+    open_cases = cases.join(radii, "case_id", "left").fillna(1.0, ["radius"])
     parts = []
-    for radius in radii:
-        near = _pairs(open_cases, prepared, exact=exact, p=p, radius=radius).filter(
-            F.col("control_match_state_score") <= radius
+    radius = radii.agg(F.coalesce(F.min("radius"), F.lit(1.0))).first()[0]
+    while radius < 1.0:
+        trying = open_cases.filter(F.col("radius") <= radius)
+        near = materialise(
+            best(within(trying, radius).filter(F.col("control_match_state_score") <= radius)), "near_controls"
         )
-        best = materialise(topk_candidates(near, by=["case_id"], order=order, k=p.k), "near_controls")
-        finished = best.groupBy("case_id").count().filter(F.col("count") >= p.k).select("case_id")
-        parts.append(best.join(finished, "case_id", "left_semi"))
+        finished = near.groupBy("case_id").count().filter(F.col("count") >= p.k).select("case_id")
+        parts.append(near.join(finished, "case_id", "left_semi"))
         open_cases = open_cases.join(finished, "case_id", "left_anti")
-    rest = _pairs(open_cases, prepared, exact=exact, p=p, radius=1.0)
-    return union_all(*parts, topk_candidates(rest, by=["case_id"], order=order, k=p.k))
+        radius *= 2
+    return union_all(*parts, best(within(open_cases, 1.0)))
 
 
 def caliper_candidates(
@@ -208,14 +284,14 @@ def caliper_candidates(
     *,
     exact: Sequence[str] = ("region", "team_position"),
     p: Calipers = CALIPERS,
-    radii: Sequence[float] = (),
+    dense: int = 50_000,
 ) -> DataFrame:
     """Candidate pool: nearest controls with the state of both sides.
 
     The search runs on narrow rows; the wide state is attached to the k survivors only.
     ``controls`` must be unique per (match, participant, timestamp).
     """
-    found = nearest_controls(cases, controls, exact=exact, p=p, radii=radii)
+    found = nearest_controls(cases, controls, exact=exact, p=p, dense=dense)
     case_side = cases.select(
         "case_id",
         "match_id",

@@ -15,19 +15,19 @@ CS = {"total_gold": "total_gold", "xp": "xp", "minions_killed": "cs"}
 def attach_dimension(fact: DataFrame, dim: DataFrame, *, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Many-to-one left join. A key that occurs twice in the dimension fails the query.
 
-    The uniqueness check groups by the join key, so the join reuses its partitioning.
+    The check is a window count over the join key: it needs the very partitioning and order
+    the join needs, so it costs no shuffle of its own.
     """
-    checked = dim.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*columns)).alias("_dim")
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    message = F.concat_ws(
+        " ", F.lit("dimension key is not unique:"), *[F.col(k).cast("string") for k in key]
     )
-    unique = F.when(
-        F.col("_n") > 1,
-        F.raise_error(F.concat_ws(" ", F.lit("dimension key is not unique:"), *[F.col(k).cast("string") for k in key])),
-    ).otherwise(F.col("_dim"))
-    return fact.join(checked.select(*key, unique.alias("_dim")), list(key), "left").select(
-        *[F.col(name) for name in fact.columns if name not in columns],
-        *[F.col("_dim")[name].alias(name) for name in columns],
+    # the check rides on a key column: a join key is never pruned away
+    checked = dim.select(*key, *columns, copies.alias("_n")).withColumn(
+        key[0], F.when(F.col("_n") > 1, F.raise_error(message).cast(dim.schema[key[0]].dataType)).otherwise(F.col(key[0]))
     )
+    kept = [name for name in fact.columns if name not in columns]
+    return fact.select(*kept).join(checked.drop("_n"), list(key), "left").select(*kept, *columns)
 
 
 def _filled(total: Column) -> Column:
@@ -82,8 +82,17 @@ def _opponent_heads(
     Only each team's lowest player can be somebody's lowest opponent, so the comparison runs
     over one row per team instead of over player pairs.
     """
-    heads = state.groupBy(match, ts, position, team).agg(
-        F.min(F.struct(F.col(entity).alias("id"), *[F.col(m) for m in measures])).alias("_head")
+    # min_by over plain columns keeps this a hash aggregation; a struct minimum would sort
+    heads = (
+        state.groupBy(match, ts, position, team)
+        .agg(F.min(entity).alias("_id"), *[F.min_by(m, entity).alias(f"_{m}") for m in measures])
+        .select(
+            match,
+            ts,
+            position,
+            team,
+            F.struct(F.col("_id").alias("id"), *[F.col(f"_{m}").alias(m) for m in measures]).alias("_head"),
+        )
     )
     group = Window.partitionBy(match, ts, position)
     first = heads.withColumn("_first", F.min(F.struct(F.col("_head.id"), F.col(team).alias("team"), "_head")).over(group))
@@ -138,9 +147,15 @@ def state_features(snapshots: DataFrame, participants: DataFrame | None = None)
     usable = snapshots.dropna(subset=["team_id", "participant_id", "team_position"]).withColumn(
         "team_position", F.upper(F.trim("team_position"))
     )
-    summary = usable.groupBy("match_id", "timestamp", "team_position", "team_id").agg(
-        F.min(F.struct(F.col("participant_id").alias("id"), "total_gold", "xp")).alias("_head"),
-        *[_filled(F.sum(m)).alias(f"_{m}") for m in CS],
+    summary = (
+        usable.groupBy("match_id", "timestamp", "team_position", "team_id")
+        .agg(
+            F.min("participant_id").alias("_id"),
+            F.min_by("total_gold", "participant_id").alias("_g"),
+            F.min_by("xp", "participant_id").alias("_x"),
+            *[_filled(F.sum(m)).alias(f"_{m}") for m in CS],
+        )
+        .withColumn("_head", F.struct(F.col("_id").alias("id"), F.col("_g").alias("total_gold"), F.col("_x").alias("xp")))
     )
     match_w = Window.partitionBy("match_id", "timestamp")
     team_w = Window.partitionBy("match_id", "timestamp", "team_id")

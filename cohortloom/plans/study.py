@@ -25,7 +25,6 @@ class Study:
     events: DataFrame
     rules: list[tuple[str, Column]] | None = None
     expected_ids: int = 10
-    radii: tuple[float, ...] = ()
     time_edges: tuple[float, ...] = TIME_EDGES_MIN
 
     @cached_property
@@ -81,10 +80,10 @@ class Study:
         wanted = self.cases.select(
             "case_id", "match_id", "participant_id", "purchase_timestamp", "lifecycle_status", "region"
         )
-        cases = candidates.case_states(wanted, stored)
+        cases = materialise(candidates.case_states(wanted, stored), "case_states")
         controls = manifest.anti_control_matches(stored, self.episodes)
         return materialise(
-            candidates.caliper_candidates(cases, controls, radii=self.radii), "candidate_pool"
+            candidates.caliper_candidates(cases, controls), "candidate_pool"
         )
 
     @cached_property

@@ -215,12 +215,12 @@ def brute_candidates(cases, controls, p):
     return sorted(found)
 
 
-@pytest.mark.parametrize("radii", [(), (0.5,), (0.3, 0.9)])
+@pytest.mark.parametrize("dense", [1, 8, 10_000])
 @pytest.mark.parametrize("seed,k,copies", [(1, 30, 0), (2, 3, 0), (3, 5, 60)])
-def test_candidates_equal_brute_force(spark, radii, seed, k, copies):
+def test_candidates_equal_brute_force(spark, dense, seed, k, copies):
     p = Calipers(k=k)
     cases, controls = candidate_frames(spark, 60, 150, seed, copies)
-    got = candidates.caliper_candidates(cases, controls, p=p, radii=radii)
+    got = candidates.caliper_candidates(cases, controls, p=p, dense=dense)
     want = brute_candidates(cases, controls, p)
     assert len(want) > 50
     assert rows(got, "case_id", *candidates.CONTROL_KEY) == want
