@@ -83,6 +83,7 @@ def asof_backward(spark, sf):
         payload=["value"],
         tie=["event_id"],
         max_age=48 * HOUR,
+        slice_factor=1,
     )
 
 
@@ -207,6 +208,7 @@ def recent_window_join(spark, sf):
         counted={"clicks": "click", "views": "view"},
         ever={"error_before": "error"},
         window_ms=72 * HOUR,
+        slice_factor=1,
     )
 
 
@@ -338,6 +340,7 @@ def episode_state_counts(spark, sf):
         payload=["value"],
         tie=["event_id"],
         max_age=48 * HOUR,
+        slice_factor=1,
     )
     return with_state.groupBy("status").agg(
         F.count(F.lit(1)).alias("episodes"),

@@ -10,25 +10,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a slice is this many look-back lengths wide, so about 1/16 of the rows are copied
-SLICE_FACTOR = 16
+# A slice is this many look-back lengths wide and one row in so many is copied. Lower it, down
+# to 1, for logs in which one entity holds a large share of a few look-back lengths.
+SLICE_FACTOR = 8
 
 
 def slice_of(ts: Column, width: int) -> Column:
     return F.floor(ts / F.lit(width)).cast("bigint")
 
 
-def look_back_slices(ts: Column, bound: int) -> Column:
+def look_back_slices(ts: Column, bound: int, factor: int = SLICE_FACTOR) -> Column:
     """Slices in which a row at ``ts`` may be looked back on from up to ``bound`` later."""
-    width = slice_width(bound)
+    width = slice_width(bound, factor)
     own = slice_of(ts, width)
     return F.when(
         slice_of(ts + F.lit(bound), width) > own, F.array(own, own + F.lit(1).cast("bigint"))
     ).otherwise(F.array(own))
 
 
-def slice_width(bound: int) -> int:
-    return max(1, bound) * SLICE_FACTOR
+def slice_width(bound: int, factor: int = SLICE_FACTOR) -> int:
+    return max(1, bound) * max(1, factor)
 
 
 def next_in_order(

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import look_back_slices, slice_of, slice_width
+from ..functions.sequence import SLICE_FACTOR, look_back_slices, slice_of, slice_width
 from ..params import ASOF, HISTORY_ITEM, RECENT
 
 
@@ -19,6 +19,7 @@ def asof_backward(
     payload: Sequence[str],
     tie: Sequence[str] = (),
     max_age: int = ASOF.max_age_ms,
+    slice_factor: int = SLICE_FACTOR,
 ) -> DataFrame:
     """Left rows with the payload of the last right row at or before them, null if none is
     at most ``max_age`` old.
@@ -26,12 +27,12 @@ def asof_backward(
     Both sides are tagged, unioned and swept once per (key, time slice): one shuffle, no
     row pairs. Right rows near a slice end are also sent to the next slice.
     """
-    width = slice_width(max_age)
+    width = slice_width(max_age, slice_factor)
     state = F.struct(F.col(right_ts).alias("_asof_ts"), *payload)
     left_row = F.struct(*left.columns)
     events = right.dropna(subset=[*by, right_ts]).select(
         *by,
-        F.explode(look_back_slices(F.col(right_ts), max_age)).alias("_slice"),
+        F.explode(look_back_slices(F.col(right_ts), max_age, slice_factor)).alias("_slice"),
         F.col(right_ts).cast("bigint").alias("_at"),
         F.lit(0).alias("_side"),
         *[F.col(name).alias(f"_tie_{i}") for i, name in enumerate(tie)],
@@ -115,6 +116,7 @@ def recent_window_counts(
     counted: dict[str, str],
     ever: dict[str, str],
     window_ms: int = RECENT.window_ms,
+    slice_factor: int = SLICE_FACTOR,
 ) -> DataFrame:
     """Per distinct observation: marks of each kind in ``[t - window, t)``, and whether a mark
     of the ``ever`` kinds lies before ``t``.
@@ -123,14 +125,14 @@ def recent_window_counts(
     Both reads fall into the same time slice, so the difference needs no further shuffle and
     no sliding frame.
     """
-    width = slice_width(window_ms)
+    width = slice_width(window_ms, slice_factor)
     totals = [F.count_if(F.col("kind") == kind).alias(f"_n_{name}") for name, kind in counted.items()]
     names = list(counted)
     per_instant = (
         marks.filter(F.col("kind").isin(*counted.values()))
         .groupBy(*by, F.col(mark_ts).cast("bigint").alias("_at"))
         .agg(*totals)
-        .withColumn("_slice", F.explode(look_back_slices(F.col("_at"), window_ms)))
+        .withColumn("_slice", F.explode(look_back_slices(F.col("_at"), window_ms, slice_factor)))
         .withColumn("_is_mark", F.lit(1))
     )
     t = F.col(obs_ts).cast("bigint")

@@ -118,10 +118,13 @@ def _cells(prefix: str, p: Calipers, radius: float) -> dict[str, Column]:
     return {name: F.floor(value / (width * slack)).cast("bigint") for name, (value, width) in widths.items()}
 
 
-def _case_keys(cases: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float) -> DataFrame:
+def _case_keys(
+    cases: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float, keep: Sequence[str] = ()
+) -> DataFrame:
     """Cases once per time bucket and grid cell in which a partner may lie."""
     case = cases.select(
         "case_id",
+        *keep,
         *exact,
         F.col("level").cast("int").alias("case_level"),
         F.col("purchase_timestamp").alias("_t"),
@@ -144,8 +147,10 @@ CELL = ("case_level", "_bucket", "_g0", "_g1", "_g2")
 
 
 def _pairs(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, radius: float) -> DataFrame:
-    """Case/control pairs of neighbouring cells within all calipers, scored."""
-    case = _case_keys(cases, exact=exact, p=p, radius=radius)
+    """Case/control pairs of neighbouring cells within all calipers, scored. A radius below
+    one keeps only scores up to the radius plus the case's least possible time term."""
+    narrow = radius < 1.0
+    case = _case_keys(cases, exact=exact, p=p, radius=radius, keep=["_time_term"] if narrow else [])
     control = _control_keys(intervals, p=p, radius=radius)
     # the exploded case side is some 50 times its file size, which the planner cannot see:
     # never let it pick a broadcast from the file size
@@ -167,8 +172,10 @@ def _pairs(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: C
     score = terms[0]
     for term in terms[1:]:
         score = score + term
+    near_enough = score <= F.lit(radius) + F.col("_time_term") if narrow else F.lit(True)
     return joined.filter(
-        F.col("_t").between(F.col("timestamp"), F.col("valid_to"))
+        near_enough
+        & F.col("_t").between(F.col("timestamp"), F.col("valid_to"))
         & (gold <= p.gold_ratio)
         & (gap("player_gold_diff_vs_role_opponent") <= p.player_gold_gap)
         & (gap("rest_of_team_gold_diff") <= p.rest_gold_gap)
@@ -214,22 +221,55 @@ def crowded_cases(
 def first_radii(
     cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, dense: int
 ) -> DataFrame:
-    """(case_id, radius): how wide a case should look first.
+    """(case_id, radius): the widest radius with at most ``dense`` controls around the case.
 
-    Controls are counted per cell and the counts, not the rows, meet the cases. Halving the
-    radius leaves about an eighth of the neighbourhood, so a case with ``dense`` times 8^n
-    controls around it starts at 2^-n.
+    Controls are counted per cell and the counts, not the rows, meet the cases. The radius
+    halves while some case is still too crowded.
     """
-    counts = _control_keys(intervals, p=p, radius=1.0).groupBy(*exact, *CELL).agg(F.count(F.lit(1)).alias("_n"))
-    reach = (
-        _case_keys(cases, exact=exact, p=p, radius=1.0)
-        .hint("merge")
-        .join(counts, [*exact, *CELL])
-        .groupBy("case_id")
-        .agg(F.sum("_n").alias("_reach"))
+    settled = []
+    radius = 1.0
+    for step in range(MAX_HALVINGS + 1):
+        counts = (
+            _control_keys(intervals, p=p, radius=radius).groupBy(*exact, *CELL).agg(F.count(F.lit(1)).alias("_n"))
+        )
+        found = (
+            _case_keys(cases, exact=exact, p=p, radius=radius)
+            .hint("merge")
+            .join(counts, [*exact, *CELL])
+            .groupBy("case_id")
+            .agg(F.sum("_n").alias("_reach"))
+        )
+        reach = materialise(cases.select("case_id").join(found, "case_id", "left").fillna(0, ["_reach"]), "case_reach")
+        denser = reach.filter(F.col("_reach") > dense)
+        last = step == MAX_HALVINGS or denser.isEmpty()
+        done = reach if last else reach.filter(F.col("_reach") <= dense)
+        settled.append(done.select("case_id", F.lit(radius).alias("radius")))
+        if last:
+            break
+        cases = cases.join(denser.select("case_id"), "case_id", "left_semi")
+        radius /= 2
+    return union_all(*settled)
+
+
+def least_time_terms(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers) -> DataFrame:
+    """Cases with ``_time_term``: what even the youngest control in reach adds to a score.
+
+    Where snapshots come once a minute this is the same large amount for every control.
+    """
+    stratum = [*exact, "case_level"]
+    instants = intervals.select(*stratum, "timestamp").distinct()
+    timed = asof_backward(
+        cases.withColumn("case_level", F.col("level").cast("int")),
+        instants,
+        by=stratum,
+        left_ts="purchase_timestamp",
+        right_ts="timestamp",
+        payload=[],
+        max_age=p.max_gap_ms,
+        slice_factor=1,
     )
-    halvings = F.least(F.lit(MAX_HALVINGS), F.ceil(F.log(F.col("_reach") / dense) / math.log(8.0)))
-    return reach.select("case_id", F.pow(F.lit(0.5), F.greatest(F.lit(0), halvings)).alias("radius"))
+    term = F.lit(p.time_weight) * F.col("asof_age_ms") / p.max_gap_ms
+    return timed.select(*cases.columns, F.coalesce(term, F.lit(0.0)).alias("_time_term"))
 
 
 def nearest_controls(
@@ -243,39 +283,35 @@ def nearest_controls(
     """The k best-scored controls of every case, without scoring all pairs of a dense cell.
 
     A case with many controls around it first looks within a fraction r of every caliper. No
-    term of the score is negative, so whatever scores at most r lies inside that box: a case
-    that finds k of those is finished, the others double r and look again, in the end over
-    the full calipers. ``dense`` therefore changes the work, never the result.
+    term of the score is negative, so whatever lies outside that box scores more than r plus
+    the least possible time term: a case that finds k controls up to there is finished, the
+    others double r and look again, in the end over the full calipers. ``dense`` therefore
+    changes the work, never the result.
     """
     order = ["control_match_state_score", *CONTROL_KEY]
     intervals = materialise(control_intervals(controls, exact=exact, p=p), "control_intervals")
 
-    def best(pairs: DataFrame) -> DataFrame:
+    def best(some: DataFrame, radius: float) -> DataFrame:
+        pairs = _pairs(some, intervals, exact=exact, p=p, radius=radius)
         return topk_candidates(pairs, by=["case_id"], order=order, k=p.k)
 
-    def within(some: DataFrame, radius: float) -> DataFrame:
-        return _pairs(some, intervals, exact=exact, p=p, radius=radius)
-
     crowded = materialise(crowded_cases(cases, intervals, exact=exact, p=p, dense=dense), "crowded_cases")
     if crowded.isEmpty():
-        return best(within(cases, 1.0))
-    radii = materialise(
-        first_radii(cases.join(crowded, "case_id", "left_semi"), intervals, exact=exact, p=p, dense=dense), "case_radii"
+        return best(cases, 1.0)
+    inside = cases.join(crowded, "case_id", "left_semi")
+    radii = first_radii(inside, intervals, exact=exact, p=p, dense=dense)
+    open_cases = materialise(
+        least_time_terms(inside.join(radii, "case_id"), intervals, exact=exact, p=p), "crowded_with_radius"
     )
-    # a case outside ``radii`` is either not crowded or has no control in any neighbouring cell
-    open_cases = cases.join(radii, "case_id", "left").fillna(1.0, ["radius"])
-    parts = []
-    radius = radii.agg(F.coalesce(F.min("radius"), F.lit(1.0))).first()[0]
+    parts = [best(cases.join(crowded, "case_id", "left_anti"), 1.0)]
+    radius = open_cases.agg(F.min("radius")).first()[0]
     while radius < 1.0:
-        trying = open_cases.filter(F.col("radius") <= radius)
-        near = materialise(
-            best(within(trying, radius).filter(F.col("control_match_state_score") <= radius)), "near_controls"
-        )
+        near = materialise(best(open_cases.filter(F.col("radius") <= radius), radius), "near_controls")
         finished = near.groupBy("case_id").count().filter(F.col("count") >= p.k).select("case_id")
         parts.append(near.join(finished, "case_id", "left_semi"))
         open_cases = open_cases.join(finished, "case_id", "left_anti")
         radius *= 2
-    return union_all(*parts, best(within(open_cases, 1.0)))
+    return union_all(*parts, best(open_cases, 1.0))
 
 
 def caliper_candidates(

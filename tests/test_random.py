@@ -67,8 +67,9 @@ def test_episodes_equal_the_state_machine(spark, slice_ms):
 # --- as-of and recent windows --------------------------------------------------------
 
 
+@pytest.mark.parametrize("factor", [1, 3])
 @pytest.mark.parametrize("max_age", [0, 1, 10, 200])
-def test_asof_equals_brute_force(spark, max_age):
+def test_asof_equals_brute_force(spark, max_age, factor):
     rng = random.Random(max_age)
     left = [(i, rng.choice([0, 0, 0, 1, 2]), rng.randint(0, 400)) for i in range(200)]
     right = [(rng.choice([0, 0, 0, 1, 2]), rng.randint(0, 400), i) for i in range(300)]
@@ -81,6 +82,7 @@ def test_asof_equals_brute_force(spark, max_age):
         payload=["v"],
         tie=["v"],
         max_age=max_age,
+        slice_factor=factor,
     )
     want = []
     for i, k, t in left:
@@ -93,8 +95,9 @@ def test_asof_equals_brute_force(spark, max_age):
     assert rows(filled, "id", "asof_timestamp", "v") == sorted(want)
 
 
+@pytest.mark.parametrize("factor", [1, 4])
 @pytest.mark.parametrize("window", [1, 5, 60])
-def test_recent_counts_equal_brute_force(spark, window):
+def test_recent_counts_equal_brute_force(spark, window, factor):
     rng = random.Random(window)
     obs = sorted({(rng.choice([0, 0, 1, 2]), rng.randint(0, 300)) for _ in range(150)})
     marks = [(rng.choice([0, 0, 1, 2, 3]), rng.randint(0, 300), rng.choice("abc")) for _ in range(500)]
@@ -107,6 +110,7 @@ def test_recent_counts_equal_brute_force(spark, window):
         counted={"na": "a", "nb": "b"},
         ever={"c_before": "c"},
         window_ms=window,
+        slice_factor=factor,
     )
     want = []
     for k, t in obs:
