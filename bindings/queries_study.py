@@ -803,7 +803,8 @@ _PROFILED = ("l_extendedprice", "l_quantity", "l_discount", "l_tax")
     ),
 )
 def numeric_profile(spark, sf):
-    return profile.numeric_profile(tables.read(spark, sf, "lineitem"), columns=_PROFILED)
+    lines = tables.spread(tables.read(spark, sf, "lineitem").select(*_PROFILED))
+    return profile.numeric_profile(lines, columns=_PROFILED)
 
 
 @query(
