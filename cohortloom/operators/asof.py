@@ -146,7 +146,25 @@ def recent_window_counts(
         .select(*by, obs_ts, slice_of(F.col(obs_ts), width).alias("_slice"), F.explode(reads).alias("_r"))
         .select(*by, obs_ts, "_slice", "_r._at", "_r._sign", F.lit(0).alias("_is_mark"))
     )
-    stream = per_instant.unionByName(probes, allowMissingColumns=True)
+    firsts = (
+        marks.filter(F.col("kind").isin(*ever.values()))
+        .groupBy(*by)
+        .agg(
+            *[
+                F.min(F.when(F.col("kind") == kind, F.col(mark_ts))).alias(f"_first_{name}")
+                for name, kind in ever.items()
+            ]
+        )
+    )
+    # the first marks enter each slice as one row, ahead of everything: a frequent key then
+    # meets them once per slice instead of once per observation
+    openers = (
+        probes.select(*by, "_slice")
+        .distinct()
+        .join(firsts, list(by))
+        .withColumns({"_at": F.lit(-(2**63)).cast("bigint"), "_is_mark": F.lit(1)})
+    )
+    stream = per_instant.unionByName(probes, allowMissingColumns=True).unionByName(openers, allowMissingColumns=True)
     running = (
         Window.partitionBy(*by, "_slice")
         .orderBy("_at", "_is_mark")
@@ -159,24 +177,13 @@ def recent_window_counts(
         "_sign",
         "_is_mark",
         *[F.coalesce(F.sum(f"_n_{name}").over(running), F.lit(0)).alias(f"_n_{name}") for name in names],
+        *[F.min(f"_first_{name}").over(running).alias(f"_first_{name}") for name in ever],
     ).filter("_is_mark = 0")
-    counts = (
-        swept.groupBy(*by, "_slice", obs_ts)
-        .agg(*[F.sum(F.col("_sign") * F.col(f"_n_{name}")).alias(name) for name in names])
-        .drop("_slice")
-    )
-    firsts = (
-        marks.filter(F.col("kind").isin(*ever.values()))
-        .groupBy(*by)
-        .agg(
-            *[
-                F.min(F.when(F.col("kind") == kind, F.col(mark_ts))).alias(f"_first_{name}")
-                for name, kind in ever.items()
-            ]
-        )
+    counts = swept.groupBy(*by, "_slice", obs_ts).agg(
+        *[F.sum(F.col("_sign") * F.col(f"_n_{name}")).alias(name) for name in names],
+        *[F.min(f"_first_{name}").alias(f"_first_{name}") for name in ever],
     )
-    flagged = counts.join(firsts, list(by), "left")
-    return flagged.select(
+    return counts.select(
         *by,
         obs_ts,
         *names,

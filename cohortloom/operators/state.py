@@ -15,19 +15,25 @@ CS = {"total_gold": "total_gold", "xp": "xp", "minions_killed": "cs"}
 def attach_dimension(fact: DataFrame, dim: DataFrame, *, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Many-to-one left join. A key that occurs twice in the dimension fails the query.
 
-    The check is a window count over the join key: it needs the very partitioning and order
-    the join needs, so it costs no shuffle of its own.
+    The check is a count of its own, read as a scalar subquery. That leaves the join a plain
+    shuffle on both sides, which AQE can split where one key holds much of the fact table.
     """
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    message = F.concat_ws(
-        " ", F.lit("dimension key is not unique:"), *[F.col(k).cast("string") for k in key]
+    keys = F.concat_ws(" ", *[F.col(k).cast("string") for k in key])
+    repeated = (
+        dim.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+        .agg(F.min(keys))
+        .scalar()
     )
+    message = F.concat(F.lit("dimension key is not unique: "), repeated)
     # the check rides on a key column: a join key is never pruned away
-    checked = dim.select(*key, *columns, copies.alias("_n")).withColumn(
-        key[0], F.when(F.col("_n") > 1, F.raise_error(message).cast(dim.schema[key[0]].dataType)).otherwise(F.col(key[0]))
+    first = F.when(repeated.isNotNull(), F.raise_error(message).cast(dim.schema[key[0]].dataType)).otherwise(
+        F.col(key[0])
     )
+    checked = dim.select(first.alias(key[0]), *key[1:], *columns)
     kept = [name for name in fact.columns if name not in columns]
-    return fact.select(*kept).join(checked.drop("_n"), list(key), "left").select(*kept, *columns)
+    return fact.select(*kept).join(checked, list(key), "left").select(*kept, *columns)
 
 
 def _filled(total: Column) -> Column:
