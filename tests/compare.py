@@ -1,6 +1,7 @@
 """Run every registered query against its SQL and compare rows, columns and values."""
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -53,7 +54,7 @@ def compare(spark, con, sf_dir, name, run, sql):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
 
     from cohortloom.session import build_session
