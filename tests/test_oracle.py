@@ -13,7 +13,7 @@ def con(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert name in ORACLE, "every query so far can be said in SQL"
     assert compare.compare(spark, con, sf_dir, name, entry.queries()[name], ORACLE[name]) is None
