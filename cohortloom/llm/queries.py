@@ -5,6 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
+from .line_dedup import line_dedup
+from .mixing import mix_sources
+from .ngram_join import ngram_components
 from .substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +33,40 @@ WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+PLAIN = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(text=LOWER.format(text="coalesce(text, '')"))
+
+
+@query(
+    "op1_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {PLAIN} AS w FROM documents),
+    items AS (SELECT item_id, {PLAIN} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS n,
+                  array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+           FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+           FROM d, (SELECT DISTINCT n FROM iw) AS lengths, unnest(range(1, len(w) - n + 2)) AS r(i)),
+    hit AS (SELECT doc_id, i, n, item FROM dw JOIN iw USING (n, k)),
+    words AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(0, n)) AS t(o) GROUP BY doc_id),
+    found AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY doc_id)
+    SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(words.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query(
     "op2_substring_dedup",
     f"""
@@ -51,3 +89,57 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), window=50)
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op4_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, source, i, trim(l[i]) AS line
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i)
+        WHERE trim(l[i]) <> ''),
+    spread AS (SELECT line, min(doc_id) AS first_id FROM lines GROUP BY line HAVING count(DISTINCT source) >= 10),
+    gone AS (SELECT doc_id, list(i) AS ps FROM lines JOIN spread USING (line) WHERE doc_id > first_id GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(
+               list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(ps, i)),
+               lambda i: string_split(text, chr(10))[i]), chr(10)) END, '')) AS kept_sha256
+    FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), min_sites=10)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op6_mixing",
+    # up to 200,000 documents a chunk's order is that of size and id
+    """
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM d GROUP BY source),
+    w AS (SELECT *, [3, 1, 2][r % 3 + 1] AS w, source_size * 2 AS cap FROM per),
+    t AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS total FROM w),
+    b AS (SELECT *, total - coalesce(sum(cap) OVER o, 0)::DOUBLE AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_left
+          FROM t WINDOW o AS (ORDER BY ratio, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, rest * w >= cap * w_left AS capped FROM b),
+    g AS (SELECT *, sum(w) FILTER (NOT capped) OVER () AS open_w, total - coalesce(sum(cap) FILTER (capped) OVER (), 0)::DOUBLE AS open FROM c),
+    targets AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE open * w / open_w::DOUBLE END AS target FROM g),
+    ranked AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k,
+                      CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e
+               FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(least(floor((k + 1) * e + 0.32383276483316237) - floor(k * e + 0.32383276483316237), 2) AS BIGINT) * size AS taken
+    FROM ranked
+    """,
+)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2, seed=7)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
