@@ -7,8 +7,8 @@ agree wholly on some part. A tile is the group of documents of a band that agree
 documents with hardly anything in common meet in none.
 
 Inside a tile, links are looked for from leaders: in the first round each document meets the
-smallest leader of its tiles, later rounds take ``LEADERS`` more leaders of each tile whose
-members aren't one component yet, until every pair of a tile is settled, either by a test or by
+smallest leader of its tiles, later rounds take more leaders of each tile whose members
+aren't one component yet, until every pair of a tile is settled, either by a test or by
 being in one component. So a group of n copies costs about n tests, not n squared, and no link
 that would join two components is lost. A test first bounds the overlap from above by the bits
 that only one bitmap has, then intersects the arrays.
@@ -34,7 +34,7 @@ BUCKET_BYTES = 48 << 20
 HOLD = 1 << 20
 BAND_STEPS = 2  # a band spans this many factors of 1 / threshold
 BITS = 1024
-LEADERS = 16
+LEADERS = 32  # of a tile in the second round; each later round takes four times as many
 
 
 class Bands:
@@ -45,6 +45,7 @@ class Bands:
         self.ratio = 100 / percent
         self.width = self.ratio**BAND_STEPS if percent < 100 else 2.0
         self.known: dict[int, tuple[int, int]] = {}
+        self.salted: dict[int, np.ndarray] = {}
 
     def of(self, size: int) -> list[int]:
         band = int(math.log(size) / math.log(self.width))
@@ -66,6 +67,12 @@ class Bands:
                 self.known[band] = (differ + 1 + spare, spare)
         return self.known[band]
 
+    def salts(self, band: int) -> np.ndarray:
+        """A hash for each part of the band."""
+        if band not in self.salted:
+            self.salted[band] = mix(np.arange(self.parts(band)[0], dtype=np.uint64) + U((band << 32) + 1))
+        return self.salted[band]
+
 
 def _sets(tokens: Tokenizer, shingle: int, data, offsets):
     """The sorted distinct shingle hashes of each text of a slice; a text of fewer words is one shingle."""
@@ -73,17 +80,28 @@ def _sets(tokens: Tokenizer, shingle: int, data, offsets):
     rolled = tokens.rolling(words.hashes, shingle)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= shingle:
-            yield np.unique(rolled[a : b - shingle + 1])
+            values = np.sort(rolled[a : b - shingle + 1])
+            fresh = np.ones(len(values), bool)
+            np.not_equal(values[1:], values[:-1], out=fresh[1:])
+            yield values[fresh]
         elif b > a:
             yield tokens.rolling(words.hashes[a:b], b - a)
         else:
             yield np.zeros(0, np.uint64)
 
 
-def _node(values: np.ndarray) -> int:
-    """Hash of a set."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(values ^ U(0xA5A5A5A5)).sum(dtype=np.uint64) + U(len(values))], np.uint64)).astype(np.int64)[0])
+def _marks(values: np.ndarray) -> np.ndarray:
+    """A second hash of each shingle; sums of these stand for sets."""
+    return mix(values ^ U(0x3C6EF372))
+
+
+def _node(marks: np.ndarray) -> int:
+    """Signed 64-bit hash of a set."""
+    x = (int(marks.sum(dtype=np.uint64)) + len(marks)) & 0xFFFFFFFFFFFFFFFF
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * factor) & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 33
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _headers(shingle: int):
@@ -94,7 +112,7 @@ def _headers(shingle: int):
             for _, _, data, offsets in slices(batch.column("text")):
                 for values in _sets(tokens, shingle, data, offsets):
                     size.append(len(values))
-                    node.append(_node(values) if len(values) else None)
+                    node.append(_node(_marks(values)) if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["id", "copy", "n", "node"])
 
     return run
@@ -109,8 +127,10 @@ def _tiles(shingle: int, percent: int, buckets: int):
                 for values in _sets(tokens, shingle, data, offsets):
                     if not len(values):
                         continue
+                    marks = _marks(values)
+                    node = _node(marks)
                     sums = np.zeros(len(values) + 1, np.uint64)
-                    np.cumsum(mix(values ^ U(0x3C6EF372)), out=sums[1:])
+                    np.cumsum(marks, out=sums[1:])
                     for band in bands.of(len(values)):
                         parts, spare = bands.parts(band)
                         if not parts:
@@ -118,11 +138,11 @@ def _tiles(shingle: int, percent: int, buckets: int):
                         edges = np.searchsorted((values >> U(32)) * U(parts) >> U(32), np.arange(parts + 1, dtype=np.uint64))
                         full = np.flatnonzero(edges[1:] > edges[:-1])
                         at = full if parts - len(full) <= spare else np.arange(parts)
-                        tiles.append(mix((sums[edges[at + 1]] - sums[edges[at]]) ^ mix(at.astype(np.uint64) + U((band << 32) + 1))))
-                        nodes.append(np.full(len(at), _node(values), np.int64))
+                        tiles.append((sums[edges[at + 1]] - sums[edges[at]]) ^ bands.salts(band)[at])
+                        nodes.append(np.full(len(at), node, np.int64))
                 if not tiles:
                     continue
-                tile, node = np.concatenate(tiles), np.concatenate(nodes)
+                tile, node = mix(np.concatenate(tiles)), np.concatenate(nodes)
                 bucket = ((tile >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
                 order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
                 edges = bounds_of(bucket[order])
@@ -185,7 +205,7 @@ def _arrays(shared, bits: int, shingle: int):
             out = []
             for _, _, data, offsets in slices(batch.column("text")):
                 for values in _sets(tokens, shingle, data, offsets):
-                    node = _node(values) if len(values) else None
+                    node = _node(_marks(values)) if len(values) else None
                     if node is None or node in seen or not in_bitmap(shared.value, bits, np.array([node]).astype(np.uint64))[0]:
                         continue
                     seen.add(node)
@@ -243,8 +263,9 @@ def ngram_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
     """Per row: ``id_col``, text_hash, n_shingles (distinct), n_links (links to other sets that
-    were needed to join the component; copies not counted) and component_id, the smallest id
-    reachable by links, itself included.
+    were needed to join the component; copies not counted), component_id, the smallest id reachable
+    by links, itself included, and group_id, a number of the component, null where the row is
+    alone in it.
 
     Words are lower-cased runs of bytes other than space and \\t to \\r. Two rows link when
     100 * intersection >= percent * union of their shingle sets. A text of fewer words than a
@@ -281,14 +302,14 @@ def ngram_components(
     tested = materialise(first.select("u", "v"), "ngram-tested")
     edges = materialise(_links(tested, sets, percent), "ngram-links")
     parts = connected_components(edges)
-    begin = 0
+    begin, leaders = 0, LEADERS
     while True:
         placed = tiles.join(parts, "node", "left").select("tile", "node", "rank", F.coalesce("component", "node").alias("part"))
         mixed = placed.groupBy("tile").agg(F.max("rank").alias("size"), F.min("part").alias("a"), F.max("part").alias("b")).filter(f"a <> b AND size > {begin + 1}")
         open_tiles = materialise(placed.join(mixed.select("tile"), "tile", "left_semi"), "ngram-open")
         if open_tiles.isEmpty():
             break
-        lead = open_tiles.filter(f"rank > {begin} AND rank <= {begin + LEADERS}").select("tile", F.col("node").alias("u"), F.col("rank").alias("rank_u"), F.col("part").alias("part_u"))
+        lead = open_tiles.filter(f"rank > {begin} AND rank <= {begin + leaders}").select("tile", F.col("node").alias("u"), F.col("rank").alias("rank_u"), F.col("part").alias("part_u"))
         pairs = (
             open_tiles.join(lead, "tile")
             .filter("rank > rank_u AND part <> part_u")
@@ -297,10 +318,11 @@ def ngram_components(
             .join(tested, ["u", "v"], "left_anti")
         )
         pairs = materialise(pairs, "ngram-tested")
-        edges = materialise(edges.unionAll(_links(pairs, sets, percent)), "ngram-links")
-        tested = tested.unionAll(pairs)
-        parts = connected_components(edges)
-        begin += LEADERS
+        more = materialise(_links(pairs, sets, percent), "ngram-links")
+        tested, edges = tested.unionAll(pairs), edges.unionAll(more)
+        if not more.isEmpty():
+            parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+        begin, leaders = begin + leaders, leaders * 4
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = headers.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     placed = known.join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -308,7 +330,7 @@ def ngram_components(
     verdict = (
         placed.join(least, "component")
         .filter("copies > 1 OR component_id <> least OR n_links > 0")
-        .select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", F.col("component").alias("group_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     return headers.join(verdict, "node", "left").select(
         F.col("id").alias(id_col),
@@ -316,4 +338,5 @@ def ngram_components(
         F.col("n").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
+        "group_id",
     )

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .line_dedup import line_dedup
+from .maxent_lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .personal_data import KINDS, find_personal_data
 from .substring_dedup import substring_dedup
+from .topk_search import topk_inner_product
+from .toxicity import toxicity
+from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str):
+    """crc32 of the id as text, modulo 5; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string")) % 5
+
+
 WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -91,7 +101,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_ngram_join")
+@query(
+    "op3_ngram_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format(text="coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS k
+           FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS r(i) WHERE len(w) > 0),
+    size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * x >= 90 * (p.n + q.n - x)),
+    edge AS (SELECT a AS u, b AS v FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, edge.v FROM reach JOIN edge ON edge.u = reach.v)
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
+    FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS c FROM reach GROUP BY u) USING (doc_id)
+    """,
+)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -119,6 +143,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), held_out=fold("doc_id") == 1)
+
+
 @query(
     "op6_mixing",
     # up to 200,000 documents a chunk's order is that of size and id
@@ -143,3 +172,52 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2, seed=7)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id") != 0)
+    out = toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op8_topk_search",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c,
+                      row_number() OVER () AS uid
+               FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.uid AS quid, q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.uid <> v.uid AND len(q.c) = len(v.c))
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY quid ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+    """,
+)
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_inner_product(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op9_url_filter")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
