@@ -131,7 +131,7 @@ def contamination(
     window: int = 10,
     shingle: int = 3,
 ) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, n_words, n_hit (words inside an occurring window), hits
+    """Per row of ``docs``: ``id_col``, text_hash, n_words, n_hit (words inside an occurring window), hits
     (start and end of each occurring window, in words, sorted) and items (ids of the items with
     an occurring window, as strings, sorted).
 
@@ -204,6 +204,7 @@ def contamination(
         a.join(b, F.expr("a.id <=> b.id AND a.copy = b.copy"), "left")
         .select(
             F.col("a.id").alias(id_col),
+            F.col("a.copy").alias("text_hash"),
             "n_words",
             F.coalesce("hits", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")).alias("hits"),
             F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"),
