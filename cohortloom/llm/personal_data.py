@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, Tokenizer, byte_table, slices
+from .words import SPACED, Tokenizer, byte_table, sent, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -285,7 +285,7 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 def _find(shared):
     def run(batches):
         features = Features()
-        field = shared.value
+        field = sent(Field, shared.value)
         for batch in batches:
             texts = batch.column("text")
             rows, segments = {}, []
@@ -334,7 +334,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     looked at. An empty table gives an empty result, and a table without personal data a field
     that adds nothing.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, text_col=text_col, fit_rows=fit_rows))
+    field = docs.sparkSession.sparkContext.broadcast(vars(fit_field(docs, text_col=text_col, fit_rows=fit_rows)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_find(field), f"id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>").withColumnRenamed("id", id_col)

@@ -219,5 +219,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"CAST(size(filter(spans, x -> x.base AND x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import materialise
 
-from .words import Tokenizer, byte_table, slices
+from .words import Tokenizer, byte_table, sent, slices
 
 FIT_ROWS = 8000  # labelled rows that lexicon and weights are fitted on, at most
 TERMS = 64  # size of the lexicon, at most
@@ -204,7 +204,8 @@ def _learn(lexicon: Lexicon, weights: np.ndarray):
 
 def _score(shared):
     def run(batches):
-        lexicon, weights, model = shared.value
+        fields, weights, model = shared.value
+        lexicon = sent(Lexicon, fields)
         tokens = Tokenizer(WORD, lower=False)
         for batch in batches:
             scores, hits = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
@@ -323,7 +324,7 @@ def toxicity(
     else:
         model = np.zeros(FEATURES)
         model[0] = -30
-    shared = spark.sparkContext.broadcast((lexicon, weights, model))
+    shared = spark.sparkContext.broadcast((vars(lexicon), weights, model))
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(_score(shared), f"id {kind}, copy long, score double, hits array<struct<word:long,term:string,edits:int,quoted:boolean>>")
     return scored.select(F.col("id").alias(id_col), F.col("copy").alias("text_hash"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")

@@ -47,9 +47,9 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """(src, dst, n): absolute links between different hosts, and one link each way between a
     host and the domain above it, up to the last label."""
-    dst = F.translate(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))), UPPER, LOWER)
-    links = pages.filter(F.col(host_col) != "").select(F.col(host_col).alias("src"), dst.alias("dst")).filter("src <> dst")
-    links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    found = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))
+    links = pages.filter(F.col(host_col) != "").select(F.col(host_col).alias("src"), found.alias("dst"))
+    links = links.withColumn("dst", F.translate("dst", UPPER, LOWER)).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.filter(F.col(host_col) != "").select(F.col(host_col).alias("src")).distinct().unionAll(links.select("dst"))
     chain = _suffixes(F.col("src"))
     above = (
@@ -125,7 +125,7 @@ def filter_urls(
     hosts = urls.filter("host <> ''").select("host").distinct()
     known = host_rules(hosts, rule_table)
     judged = urls.join(known, "host", "left").select(
-        "_id", "host", "path", F.element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), 1).alias("r")
+        "_id", "host", "path", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)).alias("r")
     )
     judged = materialise(judged.select("_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule")), "urls-judged")
     tally = judged.filter("by_rule IS NOT NULL").groupBy("host").agg(F.max((F.col("by_rule") == "block").cast("int")).alias("bad"))

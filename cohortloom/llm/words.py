@@ -158,3 +158,11 @@ def bounds_of(sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]))
+
+
+def sent(kind: type, fields: dict):
+    """The object of a class of this package whose fields were broadcast. Broadcasts hold plain
+    values, since they don't carry classes along as functions do."""
+    out = kind.__new__(kind)
+    out.__dict__.update(fields)
+    return out
