@@ -11,7 +11,8 @@ smallest leader of its tiles, later rounds take more leaders of each tile whose
 aren't one component yet, until every pair of a tile is settled, either by a test or by
 being in one component. So a group of n copies costs about n tests, not n squared, and no link
 that would join two components is lost. A test first bounds the overlap from above by the bits
-that only one bitmap has, then intersects the arrays.
+that only one bitmap has. Blocks of leaders and members are compared so in numpy, and only the
+pairs that may link become rows; these have their arrays intersected.
 
 Equal sets are one node from the start. Node ids are 64-bit hashes of the set.
 """
@@ -28,13 +29,14 @@ from cohortloom.session import materialise
 
 from .bitmaps import bitmap_bits, hash_bitmap, in_bitmap
 from .components import connected_components
-from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, mix, slices
+from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, gathered, mix, slices
 
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 24 << 20
 HOLD = 1 << 20
 BAND_STEPS = 2  # a band spans this many factors of 1 / threshold
 BITS = 1024
 LEADERS = 32  # of a tile in the second round; each later round takes four times as many
+LEADER_BLOCK, MEMBER_BLOCK, PAIRS = 256, 1024, 100_000  # rows compared at a time
 
 
 class Bands:
@@ -122,9 +124,9 @@ def _tiles(shingle: int, percent: int, buckets: int):
     def run(batches):
         tokens, bands = Tokenizer(SPACED, lower=True), Bands(percent)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text"), 4 << 20):
+            for part in gathered(batch.column("text")):
                 tiles, nodes = [], []
-                for values in _sets(tokens, shingle, data, offsets):
+                for values in (x for _, _, data, offsets in part for x in _sets(tokens, shingle, data, offsets)):
                     if not len(values):
                         continue
                     marks = _marks(values)
@@ -155,7 +157,7 @@ def _tiles(shingle: int, percent: int, buckets: int):
 
 
 def _meet(batches):
-    """Streams buckets in order; yields (tile, node) of the tiles with two nodes or more. Of each
+    """Streams buckets, one after the other; yields (tile, node) of the tiles with two nodes or more. Of each
     tile one node is held, the others leave as they come."""
     held, waiting, bucket, size = None, [], None, 0
 
@@ -219,18 +221,76 @@ def _arrays(shared, bits: int, shingle: int):
     return run
 
 
+def _may_link(a, b, n, m, percent: int) -> np.ndarray:
+    """May the sets link? Bits that only one bitmap has are elements that only one set has."""
+    alone = np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
+    most = np.minimum(n - alone[0], m - alone[1])
+    return 100 * most >= percent * (n + m - most)
+
+
+def _bitmaps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def _bounded(percent: int):
-    """Keeps the pairs whose overlap, bounded from above by the bitmaps, may suffice."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _bitmaps(batch.column("bitmap_u")), _bitmaps(batch.column("bitmap_v"))
+                n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+                yield batch.select(["u", "v"]).filter(pa.array(_may_link(a, b, n, m, percent)))
+
+    return run
+
+
+def _in_blocks(percent: int):
+    """Compares the leaders with the members of each (tile, block, chunk); rows come sorted by
+    these, leaders first. Yields the pairs of different components that may link."""
+
+    def compare(rows):
+        key, lead, node, rank, part, n, bitmap = rows
+        edges = bounds_of(key)
+        leaders = np.add.reduceat(lead, edges[:-1])
+        members = np.diff(edges) - leaders
+        at, out = 0, []
+        while at < len(members):
+            # as many groups as make about PAIRS pairs
+            todo = np.cumsum(leaders[at:] * members[at:])
+            end = at + max(1, int(np.searchsorted(todo, PAIRS, "right")))
+            count = leaders[at:end] * members[at:end]
+            group = np.repeat(np.arange(at, end), count)
+            inner = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+            width = np.maximum(members[group], 1)
+            a = edges[group] + inner // width
+            b = edges[group] + leaders[group] + inner % width
+            keep = np.flatnonzero((rank[b] > rank[a]) & (part[b] != part[a]))
+            a, b = a[keep], b[keep]
+            keep = np.flatnonzero(_may_link(bitmap[a], bitmap[b], n[a], n[b], percent)) if len(a) else keep
+            out.append((node[a[keep]], node[b[keep]]))
+            at = end
+        u, v = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches):
+        kept, last, number = None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bitmap_u", "bitmap_v"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
-            alone = np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
-            most = np.minimum(n - alone[0], m - alone[1])
-            yield batch.select(["u", "v"]).filter(pa.array(100 * most >= percent * (n + m - most)))
+            parts = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "block", "chunk")], 1)
+            fresh = np.ones(len(parts), bool)
+            fresh[1:] = (parts[1:] != parts[:-1]).any(1)
+            fresh[0] = last is None or (parts[0] != last).any()
+            key = number + np.cumsum(fresh)
+            number, last = int(key[-1]), parts[-1]
+            rows = (key, *(batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "node", "rank", "part", "n")), _bitmaps(batch.column("bitmap")))
+            if kept is not None:
+                rows = tuple(np.concatenate(x) for x in zip(kept, rows))
+            cut = int(np.searchsorted(rows[0], number))  # the last group may go on
+            if cut:
+                yield compare(tuple(x[:cut] for x in rows))
+            kept = tuple(x[cut:] for x in rows)
+        if kept is not None and len(kept[0]):
+            yield compare(kept)
 
     return run
 
@@ -248,15 +308,44 @@ def _linked(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (u, v), those that link."""
+def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Columns of both sets beside each pair (u, v)."""
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+    return pairs
 
-    def beside(pairs, end, *columns):
-        side = sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        return pairs.join(side, end)
 
-    light = beside(beside(pairs, "u", "n", "bitmap"), "v", "n", "bitmap").mapInArrow(_bounded(percent), "u long, v long")
-    return beside(beside(light, "u", "items"), "v", "items").mapInArrow(_linked(percent), "u long, v long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (u, v), those that link."""
+    return _beside(pairs, sets, "items").mapInArrow(_linked(percent), "u long, v long")
+
+
+def _near_leaders(open_tiles: DataFrame, sets: DataFrame, begin: int, leaders: int, percent: int) -> DataFrame:
+    """Pairs (leader, member) of open tiles (tile, node, rank, part, size) that may link, for the
+    leaders of ranks begin + 1 to begin + leaders. No group has more rows than the two blocks."""
+    known = open_tiles.join(sets.select("node", "n", "bitmap"), "node")
+    place = F.col("rank") - 1
+    last = F.floor((F.least(F.lit(leaders), F.col("size") - begin - 1) - 1) / LEADER_BLOCK).cast("int")
+    members = (
+        known.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+        .filter(F.col("rank") > begin + F.col("block") * LEADER_BLOCK)
+        .withColumns({"chunk": F.floor(place / MEMBER_BLOCK).cast("int"), "lead": F.lit(0)})
+    )
+    chunks = F.sequence(F.floor(place / MEMBER_BLOCK).cast("int"), F.floor((F.col("size") - 1) / MEMBER_BLOCK).cast("int"))
+    heads = (
+        known.filter((place >= begin) & (place < begin + leaders))
+        .withColumn("block", F.floor((place - begin) / LEADER_BLOCK).cast("int"))
+        .withColumns({"chunk": F.explode(chunks), "lead": F.lit(1)})
+    )
+    columns = ["tile", "block", "chunk", "lead", "node", "rank", "part", "n", "bitmap"]
+    return (
+        members.select(*columns)
+        .unionAll(heads.select(*columns))
+        .repartition("tile", "block", "chunk")
+        .sortWithinPartitions("tile", "block", "chunk", F.desc("lead"))
+        .mapInArrow(_in_blocks(percent), "u long, v long")
+        .distinct()
+    )
 
 
 def ngram_components(
@@ -283,8 +372,7 @@ def ngram_components(
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     tiles = materialise(
         texts.mapInArrow(_tiles(shingle, percent, buckets), "bucket int, tile binary, node binary")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket")
+        .repartitionById(buckets, "bucket")  # one bucket to a task
         .mapInArrow(_meet, "tile long, node long")
         .distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("tile").orderBy("node"))),
@@ -300,23 +388,17 @@ def ngram_components(
     leaders = tiles.filter("rank = 1").select("tile", F.col("node").alias("u"))
     first = tiles.filter("rank > 1").join(leaders, "tile").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u"))
     tested = materialise(first.select("u", "v"), "ngram-tested")
-    edges = materialise(_links(tested, sets, percent), "ngram-links")
+    light = _beside(tested, sets, "n", "bitmap").mapInArrow(_bounded(percent), "u long, v long")
+    edges = materialise(_links(light, sets, percent), "ngram-links")
     parts = connected_components(edges)
     begin, leaders = 0, LEADERS
     while True:
         placed = tiles.join(parts, "node", "left").select("tile", "node", "rank", F.coalesce("component", "node").alias("part"))
         mixed = placed.groupBy("tile").agg(F.max("rank").alias("size"), F.min("part").alias("a"), F.max("part").alias("b")).filter(f"a <> b AND size > {begin + 1}")
-        open_tiles = materialise(placed.join(mixed.select("tile"), "tile", "left_semi"), "ngram-open")
+        open_tiles = materialise(placed.join(mixed.select("tile", "size"), "tile"), "ngram-open")
         if open_tiles.isEmpty():
             break
-        lead = open_tiles.filter(f"rank > {begin} AND rank <= {begin + leaders}").select("tile", F.col("node").alias("u"), F.col("rank").alias("rank_u"), F.col("part").alias("part_u"))
-        pairs = (
-            open_tiles.join(lead, "tile")
-            .filter("rank > rank_u AND part <> part_u")
-            .select("u", F.col("node").alias("v"))
-            .distinct()
-            .join(tested, ["u", "v"], "left_anti")
-        )
+        pairs = _near_leaders(open_tiles, sets, begin, leaders, percent).join(tested, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "ngram-tested")
         more = materialise(_links(pairs, sets, percent), "ngram-links")
         tested, edges = tested.unionAll(pairs), edges.unionAll(more)
