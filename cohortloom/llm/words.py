@@ -9,7 +9,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
+GATHER = 4 << 20  # text bytes whose results leave a task together
 U = np.uint64
 
 
@@ -139,6 +140,19 @@ def slices(column, limit: int = SLICE):
         row = end
 
 
+def gathered(column, limit: int = GATHER):
+    """Lists of consecutive slices that have about ``limit`` bytes together."""
+    part, size = [], 0
+    for piece in slices(column):
+        part.append(piece)
+        size += len(piece[2])
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def numbers(column, kind=np.int64) -> np.ndarray:
     """A numeric Arrow column as numpy; null is 0."""
     if column.null_count:
