@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, inside_text, mix, numbers, slices, string_buffers
+from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, gathered, inside_text, mix, numbers, string_buffers
 
-BUCKET_BYTES = 24 << 20  # text bytes per bucket: about 3 million windows
+BUCKET_BYTES = 12 << 20  # text bytes per bucket: about 2 million windows
 HOLD = 1 << 20  # windows held before a merge
 BLOCKS = "bucket int, lost boolean, doc binary, copy binary, pos binary, hash binary"
 LOST = "doc long, copy long, runs binary"
@@ -59,17 +59,22 @@ def _blocks(window: int, buckets: int):
         spread = 0
         for batch in batches:
             ids, copies = numbers(batch.column("id")), numbers(batch.column("copy"))
-            for low, high, data, offsets in slices(batch.column("text"), 4 << 20):
-                words = tokens.split(data, offsets)
-                at, text = inside_text(words.first, window)
-                if not len(at):
+            for part in gathered(batch.column("text")):
+                found = []
+                for low, high, data, offsets in part:
+                    words = tokens.split(data, offsets)
+                    at, text = inside_text(words.first, window)
+                    if not len(at):
+                        continue
+                    inner = tokens.rolling(words.hashes, max(half, 1))
+                    anchors = _least(inner, window - max(half, 1) + 1)[at]
+                    bucket = (((mix(anchors) >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
+                    pos = (at - words.first[text]).astype(np.int32)
+                    found.append((tokens.rolling(words.hashes, window)[at], bucket, ids[low:high][text], copies[low:high][text], pos))
+                if not found:
                     continue
-                hashes = tokens.rolling(words.hashes, window)[at]
-                inner = tokens.rolling(words.hashes, max(half, 1))
-                anchors = _least(inner, window - max(half, 1) + 1)[at]
-                bucket = (((mix(anchors) >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
-                doc, copy = ids[low:high][text], copies[low:high][text]
-                pos = (at - words.first[text]).astype(np.int32)
+                hashes, bucket, doc, copy, pos = (np.concatenate(x) for x in zip(*found))
+                del found
                 order, lost = _losers(hashes, doc)
                 losers = np.sort(order[lost])
                 if len(losers):
@@ -77,7 +82,7 @@ def _blocks(window: int, buckets: int):
                     spread += 1
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "bucket": pa.array([(spread * 7919 + low) % buckets], pa.int32()),
+                            "bucket": pa.array([(spread * 7919 + int(doc[0])) % buckets], pa.int32()),
                             "lost": [True],
                             "doc": [doc[losers].tobytes()],
                             "copy": [copy[losers].tobytes()],
@@ -125,7 +130,7 @@ def _runs(doc, copy, pos):
 
 
 def _settle(batches):
-    """Streams buckets in order; yields the windows that a smaller document also holds."""
+    """Streams buckets, one after the other; yields the windows that a smaller document also holds."""
     held = waiting = None
     bucket, size = None, 0
 
@@ -211,8 +216,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lost = (
         rows.filter("id IS NOT NULL AND text IS NOT NULL")
         .mapInArrow(_blocks(window, buckets), BLOCKS)
-        .repartition(max(buckets, 1), "bucket")
-        .sortWithinPartitions("bucket")
+        .repartitionById(buckets, "bucket")  # one bucket to a task
         .mapInArrow(_settle, LOST)
     )
     runs = lost.groupBy("doc", "copy").agg(F.collect_list("runs").alias("runs"))
