@@ -24,7 +24,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     return exploded.filter(line != "").select("id", "copy", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2"))
 
 
-def boilerplate_lines(lines: DataFrame, *, min_sites: int, margin: float = 0.25) -> DataFrame:
+def _in_shares(verdicts: DataFrame, shares: int) -> DataFrame:
+    """One row per share of the documents, so that a very common line is joined in many tasks."""
+    return verdicts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+
+def boilerplate_lines(lines: DataFrame, *, min_sites: int, margin: float, shares: int) -> DataFrame:
     """(h1, h2, first_id) of the lines that occur on ``min_sites`` distinct sites or more; null
     is no site. first_id is the smallest id that has the line."""
     spread = (
@@ -38,7 +43,7 @@ def boilerplate_lines(lines: DataFrame, *, min_sites: int, margin: float = 0.25)
     near = spread.filter(F.col("sites") < min_sites * (1 + margin)).select("h1", "h2", "first_id")
     counted = (
         lines.filter("site IS NOT NULL")
-        .join(near, ["h1", "h2"])
+        .join(_in_shares(near, shares), ["h1", "h2", "share"])
         .select("h1", "h2", "first_id", "site")
         .distinct()
         .groupBy("h1", "h2", "first_id")
@@ -69,13 +74,12 @@ def line_dedup(
     site is no site. Rows that share an id are one document for the choice of the first. Other
     columns are not looked at. An empty table gives an empty result.
 
-    A line that a third of all documents share meets its verdict in ``shares`` partitions.
+    A line that a third of all documents share is counted and removed in ``shares`` groups.
     """
-    lines = _lines(docs, id_col, text_col, site_col)
-    verdict = boilerplate_lines(lines, min_sites=min_sites, margin=margin).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    lines = _lines(docs, id_col, text_col, site_col).withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
+    verdict = boilerplate_lines(lines, min_sites=min_sites, margin=margin, shares=shares)
     gone = (
-        lines.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
-        .join(verdict, ["h1", "h2", "share"])
+        lines.join(_in_shares(verdict, shares), ["h1", "h2", "share"])
         .filter(F.col("id") > F.col("first_id"))
         .groupBy("id", "copy")
         .agg(F.collect_list("pos").alias("gone"))
