@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import materialise
 
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 20_000
 
 
 def word_count(text):

@@ -150,7 +150,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op6_mixing",
-    # up to 200,000 documents a chunk's order is that of size and id
+    # up to 20,000 documents, in one share, the order is that of size and id
     """
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
     per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM d GROUP BY source),
