@@ -14,20 +14,26 @@ def frontier_expand(
     match: str = "match",
     recency: str = "recency",
     per_player: int = 20,
-    max_hops: int = 5,
+    max_hops: int | None = None,
     match_target: int | None = None,
 ) -> DataFrame:
-    """Rows (kind, id, hop) reached from the seed players.
+    """Rows (kind, id, hop, complete) reached from the seed players; ids keep their type, as
+    text where players and matches differ in it.
 
     A hop takes each frontier player's newest ``per_player`` matches and then everybody in
-    the new ones. Each hop is one pair of joins against two prepared edge tables; only its
-    row count returns to the driver, and the visited set is a stored table, so the plan does
-    not grow with the hops. Whole hops are kept when the match target is met.
+    the new ones. It goes on until nothing new is found, or until the match target is met or
+    ``max_hops`` are done, if the caller names them; ``complete`` says whether the frontier was
+    empty at the end. Each hop is one pair of joins against two prepared edge tables; only its
+    row count returns to the driver, and what was reached is one stored table per kind, so the
+    plan does not grow with the hops. Whole hops are kept when the match target is met.
     """
     newest = Window.partitionBy("player").orderBy(F.col("recency").desc(), F.col("match").desc())
-    distinct = edges.select(
-        F.col(player).cast("bigint").alias("player"), F.col(match).cast("bigint").alias("match"), F.col(recency).alias("recency")
-    ).groupBy("player", "match").agg(F.max("recency").alias("recency"))
+    distinct = (
+        edges.select(F.col(player).alias("player"), F.col(match).alias("match"), F.col(recency).alias("recency"))
+        .filter("player IS NOT NULL AND match IS NOT NULL")
+        .groupBy("player", "match")
+        .agg(F.max("recency").alias("recency"))
+    )
     outgoing = materialise(
         distinct.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= per_player).select("player", "match"),
         "reach_out",
@@ -36,26 +42,24 @@ def frontier_expand(
     incoming = materialise(
         distinct.select("match", "player").join(outgoing.select("match").distinct(), "match", "left_semi"), "reach_in"
     )
-    frontier = materialise(seeds.select(F.col(player).cast("bigint").alias("player")).distinct(), "reach_seed")
-    players = frontier.withColumn("hop", F.lit(0))
-    matches = None
-    found_matches = 0
-    for hop in range(1, max_hops + 1):
+    seed_rows = seeds.select(F.col(player).alias("player")).filter("player IS NOT NULL").distinct()
+    players = materialise(seed_rows.withColumn("hop", F.lit(0)), "reach_players")
+    matches = materialise(outgoing.select("match").limit(0).withColumn("hop", F.lit(0)), "reach_matches")
+    frontier, hop, found = players, 0, 0
+    complete = frontier.isEmpty()
+    while not complete and (max_hops is None or hop < max_hops) and (match_target is None or found < match_target):
+        hop += 1
         stepped = outgoing.join(frontier, "player", "left_semi").select("match").distinct()
-        if matches is not None:
-            stepped = stepped.join(matches, "match", "left_anti")
-        new_matches = materialise(stepped.withColumn("hop", F.lit(hop)), "reach_matches")
+        new_matches = materialise(stepped.join(matches, "match", "left_anti").withColumn("hop", F.lit(hop)), "reach_new")
         reached = incoming.join(new_matches, "match", "left_semi").select("player").distinct()
-        frontier_rows = materialise(
-            reached.join(players, "player", "left_anti").withColumn("hop", F.lit(hop)), "reach_players"
-        )
-        matches = new_matches if matches is None else matches.unionByName(new_matches)
-        players = players.unionByName(frontier_rows)
-        frontier = frontier_rows.select("player")
-        found_matches += new_matches.count()
-        if frontier_rows.isEmpty() or (match_target is not None and found_matches >= match_target):
-            break
-    nodes = players.select(F.lit("player").alias("kind"), F.col("player").alias("id"), "hop")
-    if matches is not None:
-        nodes = nodes.unionByName(matches.select(F.lit("match").alias("kind"), F.col("match").alias("id"), "hop"))
-    return nodes
+        frontier = materialise(reached.join(players, "player", "left_anti").withColumn("hop", F.lit(hop)), "reach_new")
+        matches = materialise(matches.unionByName(new_matches), "reach_matches")
+        players = materialise(players.unionByName(frontier), "reach_players")
+        found = matches.count() if match_target is not None else 0
+        complete = frontier.isEmpty()
+    same = players.schema["player"].dataType == matches.schema["match"].dataType
+    text = (lambda name: F.col(name).alias("id")) if same else (lambda name: F.col(name).cast("string").alias("id"))
+    nodes = players.select(F.lit("player").alias("kind"), text("player"), "hop").unionByName(
+        matches.select(F.lit("match").alias("kind"), text("match"), "hop")
+    )
+    return nodes.withColumn("complete", F.lit(complete))

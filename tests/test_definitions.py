@@ -74,11 +74,6 @@ def test_unknown_counts_as_broken_rule(spark):
     assert got == [(True, None), (False, "wrong_queue"), (False, "wrong_queue|incomplete_game")]
 
 
-def test_comparable_suffixes_skip_bookkeeping():
-    names = ["case_id", "case_level", "control_level", "case_group", "control_group", "control_only", "x"]
-    assert ff.comparable_suffixes(names) == ["level"]
-
-
 # --- manifest ------------------------------------------------------------------------
 
 
@@ -466,3 +461,21 @@ def test_reach_stops_at_hops_target_and_dry_frontier(spark):
     assert run(per_player=1, max_hops=1) == near
     assert run(per_player=1, max_hops=9) == near | {("match", 12, 2), ("player", 2, 2)}
     assert run(per_player=9, max_hops=9, match_target=2) == near | {("match", 10, 1)}
+
+
+def test_reach_of_text_ids_goes_to_the_end(spark):
+    chain = [(f"pu-{i + d}", f"EUW1_{i}", i) for i in range(11) for d in (0, 1)]
+    edges = spark.createDataFrame(chain, "player string, match string, recency bigint")
+    seeds = spark.createDataFrame([("pu-0",)], "player string")
+    whole = reach.frontier_expand(edges, seeds)
+    assert whole.filter("kind = 'player'").count() == 12 and {r["complete"] for r in whole.collect()} == {True}
+    cut = reach.frontier_expand(edges, seeds, max_hops=3)
+    assert cut.filter("kind = 'player'").count() == 4 and {r["complete"] for r in cut.collect()} == {False}
+
+
+def test_status_aliases_and_id_text(spark):
+    from cohortloom.functions.columns import normalise_id_list, normalise_status
+
+    df = spark.createDataFrame([(" undo ", "[1 2 3]"), ("sold", "['1', \"2\", x, 3.0, -4]")], "s string, i string")
+    got = df.select(normalise_status(F.col("s")).alias("a"), normalise_status(F.col("s"), aliases={}).alias("b"), normalise_id_list(F.col("i")).alias("i"))
+    assert [tuple(r) for r in got.collect()] == [("UNDONE", "UNDO", []), ("SOLD", "SOLD", [1, 2, 3])]
