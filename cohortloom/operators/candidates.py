@@ -13,6 +13,7 @@ from ..params import ASOF, CALIPERS, PLAYER_MEASURES, STATE_COLUMNS, Calipers
 from ..session import materialise
 from .asof import asof_backward
 
+# fixed values: what a control must have
 SCORED = (
     "total_gold",
     "player_gold_diff_vs_role_opponent",
@@ -189,46 +190,19 @@ def _pairs(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: C
     )
 
 
-MAX_HALVINGS = 6
-
-
-def crowded_cases(
-    cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, dense: int
-) -> DataFrame:
-    """Case ids with more than ``dense`` controls in their strata (exact keys, level, time)."""
-    strata = [*exact, "case_level", "_bucket"]
-    sizes = (
-        intervals.withColumn("_bucket", F.floor(F.col("timestamp") / p.max_gap_ms).cast("bigint"))
-        .groupBy(*strata)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    bucket = F.floor(F.col("purchase_timestamp") / p.max_gap_ms).cast("bigint")
-    return (
-        cases.select(
-            "case_id",
-            *exact,
-            F.col("level").cast("int").alias("case_level"),
-            F.explode(F.array(bucket - 1, bucket)).alias("_bucket"),
-        )
-        .join(sizes, strata)
-        .groupBy("case_id")
-        .agg(F.sum("_n").alias("_n"))
-        .filter(F.col("_n") > dense)
-        .select("case_id")
-    )
-
-
 def first_radii(
     cases: DataFrame, intervals: DataFrame, *, exact: Sequence[str], p: Calipers, dense: int
 ) -> DataFrame:
     """(case_id, radius): the widest radius with at most ``dense`` controls around the case.
 
     Controls are counted per cell and the counts, not the rows, meet the cases. The radius
-    halves while some case is still too crowded.
+    halves while some case is still too crowded. Where halving thins nobody's surroundings,
+    larger and larger steps are taken, and after five of them, 2**15 in all, the controls are
+    taken to stand at one point, which no radius can part.
     """
     settled = []
-    radius = 1.0
-    for step in range(MAX_HALVINGS + 1):
+    radius, before, stuck = 1.0, None, 0
+    while True:
         counts = (
             _control_keys(intervals, p=p, radius=radius).groupBy(*exact, *CELL).agg(F.count(F.lit(1)).alias("_n"))
         )
@@ -241,13 +215,16 @@ def first_radii(
         )
         reach = materialise(cases.select("case_id").join(found, "case_id", "left").fillna(0, ["_reach"]), "case_reach")
         denser = reach.filter(F.col("_reach") > dense)
-        last = step == MAX_HALVINGS or denser.isEmpty()
+        cases_left, controls_left = denser.agg(F.count(F.lit(1)), F.sum("_reach")).first()
+        stuck = stuck + 1 if (cases_left, controls_left) == before else 0
+        last = not cases_left or stuck == 5
+        before = cases_left, controls_left
         done = reach if last else reach.filter(F.col("_reach") <= dense)
         settled.append(done.select("case_id", F.lit(radius).alias("radius")))
         if last:
             break
         cases = cases.join(denser.select("case_id"), "case_id", "left_semi")
-        radius /= 2
+        radius /= 2 ** (1 + stuck)
     return union_all(*settled)
 
 
@@ -258,8 +235,10 @@ def least_time_terms(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[
     """
     stratum = [*exact, "case_level"]
     instants = intervals.select(*stratum, "timestamp").distinct()
+    leveled = cases.withColumn("case_level", F.col("level").cast("int"))
+    # many cases share an instant: each is looked up once
     timed = asof_backward(
-        cases.withColumn("case_level", F.col("level").cast("int")),
+        leveled.select(*stratum, "purchase_timestamp").distinct(),
         instants,
         by=stratum,
         left_ts="purchase_timestamp",
@@ -269,7 +248,11 @@ def least_time_terms(cases: DataFrame, intervals: DataFrame, *, exact: Sequence[
         slice_factor=1,
     )
     term = F.lit(p.time_weight) * F.col("asof_age_ms") / p.max_gap_ms
-    return timed.select(*cases.columns, F.coalesce(term, F.lit(0.0)).alias("_time_term"))
+    terms = timed.select(*stratum, "purchase_timestamp", term.alias("_time_term"))
+    return (
+        leveled.join(terms, [*stratum, "purchase_timestamp"], "left")
+        .select(*cases.columns, F.coalesce("_time_term", F.lit(0.0)).alias("_time_term"))
+    )
 
 
 def nearest_controls(
@@ -278,15 +261,15 @@ def nearest_controls(
     *,
     exact: Sequence[str] = ("region", "team_position"),
     p: Calipers = CALIPERS,
-    dense: int = 50_000,
+    dense: int = 5_000,
 ) -> DataFrame:
     """The k best-scored controls of every case, without scoring all pairs of a dense cell.
 
-    A case with many controls around it first looks within a fraction r of every caliper. No
-    term of the score is negative, so whatever lies outside that box scores more than r plus
-    the least possible time term: a case that finds k controls up to there is finished, the
-    others double r and look again, in the end over the full calipers. ``dense`` therefore
-    changes the work, never the result.
+    Every case first looks within a fraction r of every caliper, the widest with at most
+    ``dense`` controls around it. No term of the score is negative, so whatever lies outside
+    that box scores more than r plus the least possible time term: a case that finds k controls
+    up to there is finished, the others double r and look again, in the end over the full
+    calipers. ``dense`` therefore changes the work, never the result.
     """
     order = ["control_match_state_score", *CONTROL_KEY]
     intervals = materialise(control_intervals(controls, exact=exact, p=p), "control_intervals")
@@ -295,16 +278,10 @@ def nearest_controls(
         pairs = _pairs(some, intervals, exact=exact, p=p, radius=radius)
         return topk_candidates(pairs, by=["case_id"], order=order, k=p.k)
 
-    crowded = materialise(crowded_cases(cases, intervals, exact=exact, p=p, dense=dense), "crowded_cases")
-    if crowded.isEmpty():
-        return best(cases, 1.0)
-    inside = cases.join(crowded, "case_id", "left_semi")
-    radii = first_radii(inside, intervals, exact=exact, p=p, dense=dense)
-    open_cases = materialise(
-        least_time_terms(inside.join(radii, "case_id"), intervals, exact=exact, p=p), "crowded_with_radius"
-    )
-    parts = [best(cases.join(crowded, "case_id", "left_anti"), 1.0)]
-    radius = open_cases.agg(F.min("radius")).first()[0]
+    radii = first_radii(cases, intervals, exact=exact, p=p, dense=dense)
+    open_cases = materialise(least_time_terms(cases.join(radii, "case_id"), intervals, exact=exact, p=p), "cases_with_radius")
+    parts = []
+    radius = open_cases.agg(F.min("radius")).first()[0] or 1.0
     while radius < 1.0:
         near = materialise(best(open_cases.filter(F.col("radius") <= radius), radius), "near_controls")
         finished = near.groupBy("case_id").count().filter(F.col("count") >= p.k).select("case_id")
@@ -320,7 +297,7 @@ def caliper_candidates(
     *,
     exact: Sequence[str] = ("region", "team_position"),
     p: Calipers = CALIPERS,
-    dense: int = 50_000,
+    dense: int = 5_000,
 ) -> DataFrame:
     """Candidate pool: nearest controls with the state of both sides.
 
