@@ -1,12 +1,15 @@
 """Schemas, tolerant scans and sinks of the base tables."""
 
+import json
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import require_columns
+from ..functions.frames import require_columns, union_all
 
 MATCHES = (
     "match_id string, game_id bigint, game_creation bigint, game_start_timestamp bigint, "
@@ -37,18 +40,58 @@ def scan_tolerant_columns(
     spark: SparkSession, path: str, *, schema: str | T.StructType, required: Sequence[str], fmt: str = "parquet"
 ) -> DataFrame:
     """Read with the schema's columns and types: absent optional ones become null, an absent
-    required one is an error. Only file footers are read to find out."""
+    required one is an error, in whichever file it is absent. Files of one folder may differ in
+    columns and types: those of equal footers are read in one scan, cast and put together."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    found = spark.read.format(fmt).load(path)
-    require_columns(found, required)
-    present = set(found.columns)
-    return found.select(
-        *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    parts = []
+    for found in (_same_schema_scans(spark, path) if fmt == "parquet" else [spark.read.format(fmt).load(path)]):
+        require_columns(found, required)
+        present = set(found.columns)
+        parts.append(
+            found.select(
+                *[
+                    (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+                    for f in schema.fields
+                ]
+            )
+        )
+    return union_all(*parts)
+
+
+def _footers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Parquet files below a folder by their schema. One footer per file is read, many at a time."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    files = [r["path"] for r in listed.load(path).select("path").collect()]
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema.json(), files))
+    groups: dict[str, list[str]] = {}
+    for file, footer in zip(files, schemas):
+        groups.setdefault(footer, []).append(file)
+    return groups
+
+
+def _same_schema_scans(spark: SparkSession, path: str) -> list[DataFrame]:
+    groups = _footers(spark, path)
+    if not groups:
+        raise ValueError(f"no Parquet files in {path}")
+    partitioned = any(re.search(r"/[^/]+=[^/]+/[^/]+$", file) for files in groups.values() for file in files)
+    reader = spark.read.option("basePath", path) if partitioned else spark.read
+    return [reader.parquet(*files) for _, files in sorted(groups.items())]
+
+
+def column_types(spark: SparkSession, path: str) -> DataFrame:
+    """Tidy types of the columns of a folder of Parquet files: column_name, types (sorted,
+    joined by |), files_missing (files without the column) and drifts."""
+    types: dict[str, dict[str, int]] = {}
+    total = 0
+    for footer, files in _footers(spark, path).items():
+        total += len(files)
+        for f in T.StructType.fromJson(json.loads(footer)).fields:
+            seen = types.setdefault(f.name, {})
+            seen[f.dataType.simpleString()] = seen.get(f.dataType.simpleString(), 0) + len(files)
+    rows = [(name, "|".join(sorted(seen)), total - sum(seen.values()), len(seen) > 1) for name, seen in sorted(types.items())]
+    return spark.createDataFrame(rows, "column_name string, types string, files_missing int, drifts boolean")
 
 
 def scan_region_partition(

@@ -89,6 +89,20 @@ def test_tolerant_scan(spark, tmp_path):
         src.scan_tolerant_columns(spark, path, schema="match_id string", required=["match_id"])
 
 
+def test_tolerant_scan_of_mixed_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 5)], "k bigint, x bigint").write.parquet(path + "/a")
+    spark.createDataFrame([(2, 2.5, 7)], "k bigint, x double, extra int").write.parquet(path + "/b")
+    spark.createDataFrame([(3, "4")], "k bigint, x string").write.parquet(path + "/c")
+    spark.createDataFrame([(4,)], "k bigint").write.parquet(path + "/d")
+    got = src.scan_tolerant_columns(spark, path, schema="k bigint, x double, extra bigint", required=["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, 5.0, None), (2, 2.5, 7), (3, 4.0, None), (4, None, None)}
+    with pytest.raises(ValueError, match="extra"):
+        src.scan_tolerant_columns(spark, path, schema="k bigint, extra bigint", required=["extra"])
+    types = {r["column_name"]: (r["types"], r["drifts"]) for r in src.column_types(spark, path).collect()}
+    assert types == {"k": ("bigint", False), "x": ("bigint|double|string", True), "extra": ("int", False)}
+
+
 def test_sink_refuses_to_overwrite(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a")], "k int, region string")
