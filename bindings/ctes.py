@@ -6,7 +6,7 @@ Spark plans, so the two sides reach a result by different routes.
 
 import re
 
-from cohortloom.params import PLAYER_MEASURES, STATE_COLUMNS, TEAM_MEASURES
+from cohortloom.params import BALANCE_COVARIATES, PLAYER_MEASURES, STATE_COLUMNS, TEAM_MEASURES
 
 from . import derive
 from .derive import select_list
@@ -89,23 +89,25 @@ def _long(source: str) -> str:
 
 CTES: dict[str, str] = {
     "m": f"SELECT *, {_region('match_id')} AS region FROM (SELECT {_sql(derive.MATCH)} FROM orders)",
+    "numbered": f"SELECT * REPLACE ({derive.PLAYER_NO} AS l_linenumber) FROM lineitem",
     "lines": """
-    SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
       ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""",
     "p": f"SELECT {_sql(derive.PARTICIPANT)} FROM lines",
     "s": f"SELECT {_sql(derive.SNAPSHOT)} FROM lines, (VALUES (0), (1), (2), (3)) fr(f) WHERE {derive.FRAME_PRESENT}",
-    "e": " UNION ALL ".join(f"SELECT {_sql(columns)} FROM lineitem" for columns in derive.EVENTS),
+    "e": " UNION ALL ".join(f"SELECT {_sql(columns)} FROM numbered" for columns in derive.EVENTS),
     "struct_": """
     SELECT match_id, count(DISTINCT participant_id) AS participant_count, count(*) FILTER (win) AS winner_count,
            count(DISTINCT team_id) AS team_count,
-           count(DISTINCT participant_id) = 7 AND min(participant_id) = 1 AND max(participant_id) = 7 AS participant_ids_valid
+           min(participant_id) = 1 AND max(participant_id) = count(DISTINCT participant_id) AS participant_ids_valid
     FROM p GROUP BY match_id""",
     "man0": """
     SELECT m.match_id, m.region AS storage_partition, m.queue_id, m.end_of_game_result,
            coalesce(t.participant_count, 0) AS participant_count, coalesce(t.winner_count, 0) AS winner_count,
            coalesce(t.team_count, 0) AS team_count, coalesce(t.participant_ids_valid, false) AS participant_ids_valid,
-           m.match_id IN (SELECT match_id FROM s) AS has_snapshots, m.match_id IN (SELECT match_id FROM e) AS has_events
-    FROM m LEFT JOIN struct_ t USING (match_id)""",
+           hs.match_id IS NOT NULL AS has_snapshots, he.match_id IS NOT NULL AS has_events
+    FROM m LEFT JOIN struct_ t USING (match_id) LEFT JOIN (SELECT DISTINCT match_id FROM s) hs ON hs.match_id = m.match_id
+      LEFT JOIN (SELECT DISTINCT match_id FROM e) he ON he.match_id = m.match_id""",
     "man": """
     SELECT *, exclusion_reason IS NULL AS analysis_eligible FROM (
       SELECT *, nullif(concat_ws('|',
@@ -114,6 +116,7 @@ CTES: dict[str, str] = {
         CASE WHEN participant_count < 2 THEN 'invalid_participant_count' END,
         CASE WHEN winner_count < 1 THEN 'invalid_winner_count' END,
         CASE WHEN team_count <> 2 THEN 'invalid_team_count' END,
+        CASE WHEN NOT participant_ids_valid THEN 'invalid_participant_ids' END,
         CASE WHEN NOT has_snapshots THEN 'missing_snapshots' END,
         CASE WHEN NOT has_events THEN 'missing_events' END), '') AS exclusion_reason
       FROM man0)""",
@@ -285,20 +288,12 @@ CTES: dict[str, str] = {
     FROM prim WHERE control_rank = 1""",
     "plong": _long("prim"),
     "rlong": _long("relax"),
+    "olong": _long("one"),
     "cov": "SELECT matched_set_id, treatment, matching_weight, observation_timestamp / 60000.0::DOUBLE AS observation_time_minutes, "
     + ", ".join(
         f"{c}::DOUBLE AS {c}"
-        for c in (
-            *[f"player_{m}" for m in ("level", "total_gold", "current_gold", "xp", "minions_killed", "jungle_minions_killed")],
-            "player_gold_diff_vs_role_opponent",
-            "player_xp_diff_vs_role_opponent",
-            "rest_of_team_gold_diff",
-            "rest_of_team_xp_diff",
-            "team_total_gold_diff",
-            "team_xp_diff",
-            "team_cs_diff",
-            *[f for f in _FEATURES],
-        )
+        for c in BALANCE_COVARIATES
+        if c != "observation_time_minutes"
     )
     + " FROM plong",
     "covl": "SELECT * FROM (UNPIVOT cov ON COLUMNS(* EXCLUDE (matched_set_id, treatment, matching_weight)) INTO NAME covariate VALUE value)",
@@ -349,7 +344,7 @@ CTES: dict[str, str] = {
     SELECT field, count(*) AS matched_sets, count(*) FILTER (n > 1) AS mismatched_sets FROM (
       SELECT field, matched_set_id, count(DISTINCT coalesce(v, '<null>')) AS n FROM (
         SELECT matched_set_id, unnest(['region', 'team_position', 'dark_seal_purchased_before_observation']) AS field,
-               unnest([region, team_position, CAST(dark_seal_purchased_before_observation AS STRING)]) AS v FROM rlong)
+               unnest([region, team_position, CAST(dark_seal_purchased_before_observation AS STRING)]) AS v FROM plong)
       GROUP BY ALL) GROUP BY field""",
     "eff": """
     SELECT *, case_win - control_win_rate AS risk_difference, observation_timestamp / 60000.0::DOUBLE AS observation_time_minutes,
@@ -369,6 +364,28 @@ CTES: dict[str, str] = {
         max(player_gold_diff_vs_role_opponent) FILTER (treatment = 1) AS player_gold_diff_vs_role_opponent
       FROM plong GROUP BY matched_set_id)""",
 }
+# the balance definitions once more for each further sample, and the samples by name
+_BALANCE = ("cov", "covl", "moments", "pairs", "smd", "cats", "shares", "catbal", "consist")
+SAMPLES = {"primary": ("prim", "plong", ""), "relaxed": ("relax", "rlong", "_r"), "one_to_one": ("one", "olong", "_o")}
+
+
+def for_sample(text: str, sample: str) -> str:
+    """Text about the primary sample, said about another one."""
+    selected, long, tail = SAMPLES[sample]
+    names = {"prim": selected, "plong": long, **{n: n + tail for n in _BALANCE}}
+    return re.sub(rf"(?<!')\b({'|'.join(names)})\b(?!')", lambda m: names[m[0]], text)
+
+
+for _sample in ("relaxed", "one_to_one"):
+    for _name in _BALANCE:
+        CTES[for_sample(_name, _sample)] = for_sample(CTES[_name], _sample)
+
+
+def per_sample(query: str, column: str = "sample") -> str:
+    """A query about the primary sample, for every sample with its name."""
+    return " UNION ALL BY NAME ".join(f"SELECT '{s}' AS {column}, * FROM ({for_sample(query, s)})" for s in SAMPLES)
+
+
 _NAMES = list(CTES)
 
 

@@ -6,6 +6,14 @@ The expressions are plain SQL that both Spark and DuckDB accept; ``{k}`` is the
 """
 
 
+# Line numbers have gaps. Players are numbered from 1 without gaps, but for every tenth order,
+# whose matches thereby have invalid player ids.
+PLAYER_NO = (
+    "CAST(CASE WHEN l_orderkey % 10 = 0 THEN l_linenumber "
+    "ELSE dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) END AS INT)"
+)
+
+
 def match_id(key: str) -> str:
     return (
         f"concat(CASE WHEN {key} % 97 = 0 THEN 'ZZ9_' WHEN {key} % 5 = 0 THEN 'EUW1_' "

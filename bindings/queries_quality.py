@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import route_region
+from cohortloom.functions.frames import union_all
 from cohortloom.operators import quality as q
 from cohortloom.params import INGEST_REGIONS
 
 from . import tables
-from .ctes import _FEATURES, _region
+from .ctes import _FEATURES, _region, per_sample
 from .derive import L_MATCH, O_MATCH
 from .registry import check_rows, query
 
@@ -225,6 +226,7 @@ _MAN_RULES = [
     ("invalid_participant_count", "participant_count < 2"),
     ("invalid_winner_count", "winner_count < 1"),
     ("invalid_team_count", "team_count <> 2"),
+    ("invalid_participant_ids", "NOT participant_ids_valid"),
     ("missing_snapshots", "NOT has_snapshots"),
     ("missing_events", "NOT has_events"),
 ]
@@ -288,7 +290,9 @@ def feature_invariants(spark, sf):
 
 @query(
     "selection_invariants",
-    check_rows(
+    per_sample(
+        column="design",
+        query=check_rows(
         "(SELECT case_id, count(*) AS n, sum(matching_weight) AS w FROM prim GROUP BY 1)",
         "case_id",
         [
@@ -314,14 +318,22 @@ def feature_invariants(spark, sf):
         "duplicate_control",
         "case_id",
     ),
+    )
+    + " EXCEPT SELECT 'relaxed', 'history_differs', 'all', 'error', count(*) FILTER (NOT dark_seal_history_match), "
+    "min(CAST(case_id AS STRING)) FILTER (NOT dark_seal_history_match) FROM relax",
 )
 def selection_invariants(spark, sf):
-    return q.selection_invariants(tables.study(spark, sf).primary, exact=True)
+    samples = tables.study(spark, sf).samples.items()
+    return union_all(
+        *[q.selection_invariants(selected, exact=name != "relaxed").withColumn("design", F.lit(name)) for name, (selected, _) in samples]
+    )
 
 
 @query(
     "matched_long_invariants",
-    check_rows(
+    per_sample(
+        column="design",
+        query=check_rows(
         "(SELECT matched_set_id, count(*) AS rows_, count(*) FILTER (treatment = 1) AS cases_, count(*) FILTER (treatment = 0) AS controls, "
         "sum(matching_weight) FILTER (treatment = 1) AS cw, sum(matching_weight) FILTER (treatment = 0) AS kw, "
         "(SELECT count(*) FROM prim x WHERE x.case_id = matched_set_id) AS wanted FROM plong GROUP BY 1)",
@@ -344,10 +356,13 @@ def selection_invariants(spark, sf):
             ("missing_outcome", "error", "outcome_win IS NULL"),
         ],
     ),
+    ),
 )
 def matched_long_invariants(spark, sf):
-    s = tables.study(spark, sf)
-    return q.matched_long_invariants(s.primary_long, s.primary)
+    samples = tables.study(spark, sf).samples.items()
+    return union_all(
+        *[q.matched_long_invariants(long, selected).withColumn("design", F.lit(name)) for name, (selected, long) in samples]
+    )
 
 
 _P_CHECKS = [

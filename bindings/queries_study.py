@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import observation_key
+from cohortloom.functions.frames import union_all
 from cohortloom.operators import asof, balance, candidates, episodes, manifest, matching, outcomes, profile, reach, state
 from cohortloom.params import PLAYER_MEASURES, STATE_COLUMNS, TEAM_MEASURES
 
 from . import tables
-from .ctes import _FEATURES, _SUFFIXES, rounded
+from .ctes import _FEATURES, _SUFFIXES, SAMPLES, per_sample, rounded
 from .registry import query
 
 EVENT_MS = "unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000"
@@ -24,7 +25,7 @@ def log(spark, sf):
 
 @query(
     "semi_eligible",
-    "SELECT match_id, event_seq, event_type, timestamp FROM e WHERE match_id IN (SELECT match_id FROM man WHERE analysis_eligible)",
+    "SELECT match_id, event_seq, event_type, timestamp FROM e SEMI JOIN (SELECT match_id FROM man WHERE analysis_eligible) USING (match_id)",
 )
 def semi_eligible(spark, sf):
     s = tables.study(spark, sf)
@@ -243,7 +244,7 @@ def category_outer_join(spark, sf):
 
 @query("participant_structure", "SELECT * FROM struct_")
 def participant_structure(spark, sf):
-    return manifest.participant_structure(tables.participants(spark, sf), expected_ids=7)
+    return manifest.participant_structure(tables.participants(spark, sf), expected_ids=None)
 
 
 @query("match_manifest", "SELECT * FROM man")
@@ -640,13 +641,17 @@ def _summary_sql(selected, long):
       (SELECT count(*) AS target_cases FROM targets) t"""
 
 
-@query("sample_summary", _summary_sql("prim", "plong") + " UNION ALL BY NAME " + _summary_sql("relax", "rlong"))
+@query("sample_summary", " UNION ALL BY NAME ".join(_summary_sql(selected, long) for selected, long, _ in SAMPLES.values()))
 def sample_summary(spark, sf):
     s = tables.study(spark, sf)
     targets = matching.target_cases(s.cases)
-    return matching.sample_summary(targets, s.primary, s.primary_long).unionByName(
-        matching.sample_summary(targets, s.relaxed, s.relaxed_long)
-    )
+    return union_all(*[matching.sample_summary(targets, selected, long) for selected, long in s.samples.values()])
+
+
+def _each_sample(spark, sf, run):
+    """``run`` over the long table of each design, with the design's name."""
+    samples = tables.study(spark, sf).samples.items()
+    return union_all(*[run(long).withColumn("sample", F.lit(name)) for name, (_, long) in samples])
 
 
 # --- balance -------------------------------------------------------------------------
@@ -695,38 +700,40 @@ _SMD = [
 _SMD_SQL = f"SELECT covariate, {rounded(_SMD)}, balance_status, case_non_missing, control_non_missing FROM smd"
 
 
-@query("smd_balance", _SMD_SQL)
+@query("smd_balance", per_sample(_SMD_SQL))
 def smd_balance(spark, sf):
-    return balance.smd_balance(tables.study(spark, sf).primary_long).orderBy(F.desc("absolute_smd"), "covariate")
+    return _each_sample(spark, sf, balance.smd_balance)
 
 
-@query("top_n_examples", _SMD_SQL + " ORDER BY smd.absolute_smd DESC, covariate LIMIT 10")
+@query("top_n_examples", _SMD_SQL + " ORDER BY round(smd.absolute_smd, 4) DESC, covariate LIMIT 10")
 def top_n_examples(spark, sf):
-    return profile.top_n_examples(
-        balance.smd_balance(tables.study(spark, sf).primary_long), order=[F.desc("absolute_smd"), "covariate"], n=10
-    )
+    # to four places, so that what is equal but for summation order ranks by name
+    ranked = balance.smd_balance(tables.study(spark, sf).primary_long)
+    return profile.top_n_examples(ranked, order=[F.round("absolute_smd", 4).desc(), "covariate"], n=10)
 
 
 @query(
     "categorical_balance",
-    """SELECT covariate, categories, round(total_variation_distance, 6) AS total_variation_distance,
-    round(maximum_absolute_category_gap, 6) AS maximum_absolute_category_gap FROM catbal""",
+    per_sample(
+        """SELECT covariate, categories, round(total_variation_distance, 6) AS total_variation_distance,
+        round(maximum_absolute_category_gap, 6) AS maximum_absolute_category_gap FROM catbal"""
+    ),
 )
 def categorical_balance(spark, sf):
-    return balance.categorical_balance(tables.study(spark, sf).primary_long)
+    return _each_sample(spark, sf, balance.categorical_balance)
 
 
 @query(
     "set_consistency",
-    "SELECT field, matched_sets, mismatched_sets, round(mismatched_sets / matched_sets, 6) AS mismatch_rate FROM consist",
+    per_sample("SELECT field, matched_sets, mismatched_sets, round(mismatched_sets / matched_sets, 6) AS mismatch_rate FROM consist"),
 )
 def set_consistency(spark, sf):
-    return balance.set_consistency(tables.study(spark, sf).relaxed_long)
+    return _each_sample(spark, sf, balance.set_consistency)
 
 
 @query(
     "balance_summary",
-    """SELECT count(DISTINCT matched_set_id) AS matched_sets, count(*) FILTER (treatment = 1) AS case_rows,
+    per_sample("""SELECT count(DISTINCT matched_set_id) AS matched_sets, count(*) FILTER (treatment = 1) AS case_rows,
       count(*) FILTER (treatment = 0) AS control_rows,
       round(pow(sum(matching_weight) FILTER (treatment = 1), 2) / sum(matching_weight * matching_weight) FILTER (treatment = 1), 6) AS case_effective_sample_size,
       round(pow(sum(matching_weight) FILTER (treatment = 0), 2) / sum(matching_weight * matching_weight) FILTER (treatment = 0), 6) AS control_effective_sample_size,
@@ -737,13 +744,15 @@ def set_consistency(spark, sf):
       (SELECT round(total_variation_distance, 6) FROM catbal WHERE covariate = 'champion_name') AS champion_total_variation_distance,
       (SELECT count(*) FROM (SELECT matched_set_id, unnest([count(DISTINCT coalesce(region, '-')), count(DISTINCT coalesce(team_position, '-')),
          count(DISTINCT dark_seal_purchased_before_observation)]) AS n FROM plong GROUP BY 1) WHERE n > 1) AS exact_field_mismatched_sets_total
-    FROM plong""",
+    FROM plong"""),
 )
 def balance_summary(spark, sf):
-    long = tables.study(spark, sf).primary_long
-    return balance.balance_summary(
-        balance.smd_balance(long), balance.categorical_balance(long), balance.set_consistency(long), long
-    )
+    def summary(long):
+        return balance.balance_summary(
+            balance.smd_balance(long), balance.categorical_balance(long), balance.set_consistency(long), long
+        )
+
+    return _each_sample(spark, sf, summary)
 
 
 # --- outcomes ------------------------------------------------------------------------
@@ -795,16 +804,17 @@ _PROFILED = ("l_extendedprice", "l_quantity", "l_discount", "l_tax")
 @query(
     "numeric_profile",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"SELECT '{c}' AS column_name, count({c}) AS count, CAST(sum(CAST({c} AS DECIMAL(18, 2))) AS DOUBLE) / count({c}) AS mean, round(stddev_samp({c}), 6) AS std, "
         f"round(min({c}), 6) AS min, round(max({c}), 6) AS max, "
         + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS p{round(p * 100):02d}" for p in profile.PROFILE_PERCENTILES)
         + " FROM lineitem"
         for c in _PROFILED
     ),
+    exact=("mean",),
 )
 def numeric_profile(spark, sf):
-    lines = tables.spread(tables.read(spark, sf, "lineitem").select(*_PROFILED))
-    return profile.numeric_profile(lines, columns=_PROFILED)
+    lines = tables.read(spark, sf, "lineitem").select(*_PROFILED)
+    return profile.numeric_profile(lines, columns=_PROFILED, decimals=2)
 
 
 @query(
@@ -830,12 +840,11 @@ def crosstab_margins(spark, sf):
 
 @query(
     "id_set_difference",
-    """SELECT o_orderkey, 'missing' AS side FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 5)
-    UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem WHERE l_quantity > 5
-      EXCEPT SELECT o_orderkey FROM orders)""",
+    """SELECT o_orderkey, 'missing' AS side FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)""",
 )
 def id_set_difference(spark, sf):
-    lines = tables.read(spark, sf, "lineitem").filter("l_quantity > 5")
+    lines = tables.read(spark, sf, "lineitem")
     return manifest.id_set_difference(
         tables.read(spark, sf, "orders").select("o_orderkey"),
         lines.select(F.col("l_orderkey").alias("o_orderkey")),
@@ -843,34 +852,25 @@ def id_set_difference(spark, sf):
     )
 
 
-def _reach_sql(hops):
-    parts = [
-        "ed AS MATERIALIZED (SELECT DISTINCT l_suppkey AS player, l_orderkey AS match FROM lineitem)",
-        "out_ AS MATERIALIZED (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY player ORDER BY match DESC) <= 3)",
-        "pl0 AS (SELECT 0::BIGINT AS player, 0 AS hop)",
-        "ma0 AS (SELECT 0::BIGINT AS match, 0 AS hop WHERE false)",
-    ]
-    for h in range(1, hops + 1):
-        parts += [
-            f"nm{h} AS MATERIALIZED (SELECT DISTINCT match, {h} AS hop FROM out_ WHERE player IN (SELECT player FROM pl{h - 1} WHERE hop = {h - 1}) "
-            f"AND match NOT IN (SELECT match FROM ma{h - 1}))",
-            f"ma{h} AS MATERIALIZED (SELECT * FROM ma{h - 1} UNION ALL SELECT * FROM nm{h})",
-            f"pl{h} AS MATERIALIZED (SELECT * FROM pl{h - 1} UNION ALL SELECT DISTINCT player, {h} FROM ed "
-            f"WHERE match IN (SELECT match FROM nm{h}) AND player NOT IN (SELECT player FROM pl{h - 1}))",
-        ]
-    return (
-        f"WITH {', '.join(parts)} SELECT 'player' AS kind, player AS id, hop FROM pl{hops} "
-        f"UNION ALL SELECT 'match', match, hop FROM ma{hops}"
-    )
-
-
-@query("frontier_expand", _reach_sql(4))
+@query(
+    "frontier_expand",
+    """WITH RECURSIVE ed AS MATERIALIZED (
+        SELECT DISTINCT concat('pu-', l_suppkey) AS player, concat('EUW1_', l_orderkey) AS match, l_orderkey AS recency FROM lineitem),
+    out_ AS MATERIALIZED (
+        SELECT player, match FROM ed QUALIFY row_number() OVER (PARTITION BY player ORDER BY recency DESC, match DESC) <= 3),
+    r(kind, id, hop) USING KEY (kind, id) AS (
+        SELECT 'player', 'pu-0', 0
+        UNION
+        (WITH nm AS (SELECT DISTINCT o.match, r.hop + 1 AS hop FROM r JOIN out_ o ON r.kind = 'player' AND r.id = o.player
+                     WHERE o.match NOT IN (SELECT k.id FROM recurring.r k WHERE k.kind = 'match'))
+         SELECT 'match', match, hop FROM nm
+         UNION ALL
+         SELECT DISTINCT 'player', ed.player, nm.hop FROM nm JOIN ed ON ed.match = nm.match
+         WHERE ed.player NOT IN (SELECT k.id FROM recurring.r k WHERE k.kind = 'player')))
+    SELECT kind, id, hop, true AS complete FROM r""",
+)
 def frontier_expand(spark, sf):
     lines = tables.read(spark, sf, "lineitem")
-    seeds = tables.read(spark, sf, "supplier").filter("s_suppkey = 0").select(F.col("s_suppkey").alias("player"))
-    return reach.frontier_expand(
-        lines.select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("match"), F.col("l_orderkey").alias("recency")),
-        seeds,
-        per_player=3,
-        max_hops=4,
-    )
+    seeds = tables.read(spark, sf, "supplier").filter("s_suppkey = 0").selectExpr("concat('pu-', s_suppkey) AS player")
+    edges = lines.selectExpr("concat('pu-', l_suppkey) AS player", "concat('EUW1_', l_orderkey) AS match", "l_orderkey AS recency")
+    return reach.frontier_expand(edges, seeds, per_player=3)

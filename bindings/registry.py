@@ -12,9 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, exact: tuple[str, ...] = ()):
+    """``exact`` names the doubles that both sides make by the same exact steps: not rounded,
+    since a value that lies on a tie rounds up on one side and down on the other."""
+
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: six_places(function(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: six_places(function(spark, sf_dir), exact)
         if sql is not None:
             ORACLE[name] = with_ctes(sql)
         return function
@@ -22,11 +25,11 @@ def query(name: str, sql: str | None):
     return register
 
 
-def six_places(df: DataFrame) -> DataFrame:
+def six_places(df: DataFrame, exact: tuple[str, ...] = ()) -> DataFrame:
     """Doubles to six places, so that summation order does not show."""
     return df.select(
         *[
-            F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in exact else F.col(f.name)
             for f in df.schema.fields
         ]
     )

@@ -7,7 +7,7 @@ from cohortloom.functions.columns import route_region
 from cohortloom.functions.frames import dedupe_keep_last
 from cohortloom.params import INGEST_REGIONS
 from cohortloom.plans.study import Study
-from cohortloom.session import materialise
+from cohortloom.session import materialise, written
 
 from . import derive
 
@@ -22,21 +22,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than cores (one small file); with many
-    splits this adds nothing."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").selectExpr(*derive.select_list(derive.MATCH))
     return route_region(rows, id_col="match_id", rules=INGEST_REGIONS)
 
 
+def numbered(spark: SparkSession, sf_dir: str, *, with_source: bool = False) -> DataFrame:
+    """All order lines, with players numbered; the file name is known only at the scan."""
+    extra = ["_metadata.file_name AS source_file"] if with_source else []
+    return read(spark, sf_dir, "lineitem").selectExpr("*", *extra).withColumn("l_linenumber", F.expr(derive.PLAYER_NO))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines, the latest one per (order, line number)."""
-    return dedupe_keep_last(spread(read(spark, sf_dir, "lineitem")), key=LINE_KEY, order=LINE_ORDER)
+    return dedupe_keep_last(numbered(spark, sf_dir), key=LINE_KEY, order=LINE_ORDER)
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +52,8 @@ def events(spark: SparkSession, sf_dir: str, *, with_source: bool = False) -> Da
         "struct(" + ", ".join(derive.select_list(columns, ints="ARRAY<INT>", array="array")) + ")"
         for columns in derive.EVENTS
     ]
-    extra = ["_metadata.file_name AS source_file"] if with_source else []
-    raw = read(spark, sf_dir, "lineitem")
-    # the file name is known only at the scan itself
-    rows = raw if with_source else spread(raw)
-    return rows.selectExpr(*extra, f"inline(array({', '.join(structs)}))")
+    extra = ["source_file"] if with_source else []
+    return numbered(spark, sf_dir, with_source=with_source).selectExpr(*extra, f"inline(array({', '.join(structs)}))")
 
 
 def study_rules():
@@ -69,6 +65,7 @@ def study_rules():
         ("invalid_participant_count", c("participant_count") >= 2),
         ("invalid_winner_count", c("winner_count") >= 1),
         ("invalid_team_count", c("team_count") == 2),
+        ("invalid_participant_ids", c("participant_ids_valid")),
         ("missing_snapshots", c("has_snapshots")),
         ("missing_events", c("has_events")),
     ]
@@ -82,17 +79,22 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     base tables being the first of them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _studies:
-        _studies[key] = Study(
+        start = written()
+        made = Study(
             matches=materialise(matches(spark, sf_dir), "matches"),
             participants=materialise(participants(spark, sf_dir), "participants"),
             snapshots=materialise(snapshots(spark, sf_dir), "snapshots"),
             events=materialise(events(spark, sf_dir), "events"),
             rules=study_rules(),
-            expected_ids=7,
+            expected_ids=None,
             time_edges=(1, 2),
         )
+        made.own(start)
+        _studies[key] = made
     return _studies[key]
 
 
 def forget_studies() -> None:
+    for made in _studies.values():
+        made.close()
     _studies.clear()

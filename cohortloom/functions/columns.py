@@ -20,16 +20,17 @@ def normalise_boolean(column: Column) -> Column:
 def normalise_status(column: Column, *, aliases: Mapping[str, str] | None = None) -> Column:
     text = F.upper(F.trim(column.cast("string")))
     result = text
-    for old, new in (aliases or {"UNDO": "UNDONE"}).items():
+    for old, new in ({"UNDO": "UNDONE"} if aliases is None else aliases).items():
         result = F.when(text == old, new).otherwise(result)
     return result
 
 
 def normalise_id_list(column: Column) -> Column:
-    """Array or list-like text to an array of positive integers; nothing parsable is empty."""
-    text = F.regexp_replace(column.cast("string"), r"[\[\](){}'\"\s]", "")
-    parts = F.split(text, ",")
-    ids = F.transform(parts, lambda part: part.try_cast("double").try_cast("int"))
+    """Array or list-like text to an array of positive integers; nothing parsable is empty.
+    Brackets are taken off the whole, quotes and spaces off each item: "1 2" is no item."""
+    text = F.regexp_replace(column.cast("string"), r"^[\s\[({]+|[\s\])}]+$", "")
+    items = F.transform(F.split(text, ","), lambda part: F.regexp_replace(part, r"^[\s'\"]+|[\s'\"]+$", ""))
+    ids = F.transform(items, lambda part: part.try_cast("double").try_cast("int"))
     return F.coalesce(F.filter(ids, lambda item: item > 0), F.array().cast("array<int>"))
 
 

@@ -61,36 +61,6 @@ def prefix_rename(df: DataFrame, *, prefix: str, columns: Iterable[str]) -> Data
     return df.withColumnsRenamed({name: f"{prefix}{name}" for name in columns})
 
 
-NOT_COMPARABLE = frozenset(
-    # fixed values: bookkeeping columns that are no state of the player
-    (
-        "participant_id",
-        "purchase_timestamp",
-        "snapshot_timestamp",
-        "snapshot_age_ms",
-        "match_state_score",
-        "time_seconds",
-        "group",
-        "lifecycle_status",
-        "match_id",
-    )
-)
-
-
-def comparable_suffixes(
-    columns: Iterable[str],
-    *,
-    case_prefix: str = "case_",
-    control_prefix: str = "control_",
-    excluded: Iterable[str] = NOT_COMPARABLE,
-) -> list[str]:
-    names = list(columns)
-    shared = {c.removeprefix(case_prefix) for c in names if c.startswith(case_prefix)} & {
-        c.removeprefix(control_prefix) for c in names if c.startswith(control_prefix)
-    }
-    return sorted(shared - set(excluded))
-
-
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:

@@ -35,18 +35,19 @@ def participant_structure(
     entity: str = "participant_id",
     team: str = "team_id",
     win: str = "win",
-    expected_ids: int = 10,
+    expected_ids: int | None = 10,
 ) -> DataFrame:
-    """Per match: participants, winners, teams, and whether the ids are exactly 1..n."""
+    """Per match: participants, winners, teams, and whether the ids are exactly 1..n, n being
+    ``expected_ids`` or, if that is None, the match's own number of participants."""
+    count = F.countDistinct(entity)
+    wanted = count if expected_ids is None else F.lit(expected_ids)
     won = F.coalesce(normalise_boolean(F.col(win)), F.lit(False))
     return participants.groupBy(match).agg(
-        F.countDistinct(entity).alias("participant_count"),
+        count.alias("participant_count"),
         F.count_if(won).alias("winner_count"),
         F.countDistinct(team).alias("team_count"),
         (
-            (F.countDistinct(entity) == expected_ids)
-            & (F.min(entity) == 1)
-            & (F.max(entity) == expected_ids)
+            (count == wanted) & (F.min(entity) == 1) & (F.max(entity) == wanted)
         ).alias("participant_ids_valid"),
     )
 
@@ -58,7 +59,7 @@ def match_manifest(
     events: DataFrame,
     *,
     rules: Sequence[tuple[str, Column]] | None = None,
-    expected_ids: int = 10,
+    expected_ids: int | None = 10,
 ) -> DataFrame:
     """One row per match with structure, coverage, eligibility and exclusion reasons.
 

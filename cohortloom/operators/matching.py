@@ -5,8 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import comparable_suffixes, union_all
-from ..params import HISTORY_FEATURE, MATCHING, Matching
+from ..functions.frames import union_all
+from ..params import HISTORY_FEATURE, MATCHING, PAIR_STATE, Matching
 from .candidates import CONTROL_KEY
 from .quantiles import exact_quantiles
 
@@ -166,7 +166,7 @@ def matched_long(cases: DataFrame, selected: DataFrame) -> DataFrame:
     Outcome, status and champion of a case come from ``cases``; its state is the case side
     of the best-ranked control row.
     """
-    suffixes = comparable_suffixes(selected.columns)
+    suffixes = [name for name in PAIR_STATE if f"case_{name}" in selected.columns]
     per_set = Window.partitionBy("case_id")
     counted = selected.select(
         "*",

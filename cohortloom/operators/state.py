@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import observation_key
 from ..params import ASOF, PLAYER_MEASURES, TEAM_MEASURES
+from ..sources.tables import PARTICIPANTS
 from .asof import asof_backward
 
 CS = {"total_gold": "total_gold", "xp": "xp", "minions_killed": "cs"}
@@ -225,16 +226,10 @@ def team_vs_enemy_at_ts(
     return joined.select(*obs.columns, *columns)
 
 
-OUTCOME_COLUMNS = (
-    "gold_earned",
-    "gold_spent",
-    "champ_level",
-    "champ_experience",
-    "kills",
-    "deaths",
-    "assists",
-    "damage_dealt_to_champions",
-    "damage_taken",
+# what a participant row says beside who the player was and what the inventory held
+WHO = ("match_id", "participant_id", "puuid", "team_id", "team_position", "champion_id", "champion_name", "win")
+OUTCOME_COLUMNS = tuple(
+    name for name in (part.split()[0] for part in PARTICIPANTS.split(", ")) if name not in WHO and not name.startswith("item")
 )
 
 

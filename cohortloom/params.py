@@ -69,8 +69,6 @@ BALANCE_COVARIATES = (
 BALANCE_CATEGORIES = ("region", "team_position", "champion_name")
 EXACT_FIELDS = ("region", "team_position", "dark_seal_purchased_before_observation")
 PROFILE_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-# --- end of fixed values --------------------------------------------------------------
-
 PLAYER_MEASURES = ("current_gold", "total_gold", "level", "xp", "minions_killed", "jungle_minions_killed")
 TEAM_MEASURES = ("current_gold", "total_gold", "xp", "minions_killed", "jungle_minions_killed")
 EVENT_FEATURES = ("kills_last_5m", "deaths_last_5m", "assists_last_5m")
@@ -94,6 +92,9 @@ STATE_COLUMNS = (
     "team_cs_diff",
 )
 
+# what is known of the player on either side of a pair, as case_<name> and control_<name>
+PAIR_STATE = (*[f"player_{measure}" for measure in PLAYER_MEASURES], *STATE_COLUMNS, *EVENT_FEATURES, HISTORY_FEATURE)
+
 
 @dataclass(frozen=True)
 class AsOf:
@@ -139,6 +140,8 @@ class Matching:
     history_feature: str = HISTORY_FEATURE
 
 
+# --- end of fixed values --------------------------------------------------------------
+
 ASOF = AsOf()
 RECENT = RecentWindow()
 CALIPERS = Calipers()

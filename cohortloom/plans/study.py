@@ -4,14 +4,15 @@ Each stage that several later ones read is written once as a table; everything b
 stage tables is one Catalyst plan.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 
 from ..operators import asof, candidates, episodes, manifest, matching, outcomes, state
 from ..params import TIME_EDGES_MIN
-from ..session import materialise
+from ..session import remove_stages, written
+from ..session import materialise as write_stage
 
 
 @dataclass
@@ -24,8 +25,25 @@ class Study:
     snapshots: DataFrame
     events: DataFrame
     rules: list[tuple[str, Column]] | None = None
-    expected_ids: int = 10
+    expected_ids: int | None = 10
     time_edges: tuple[float, ...] = TIME_EDGES_MIN
+    _paths: list[tuple[int, int]] = field(default_factory=list, repr=False)
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        start = written()
+        out = write_stage(df, name)
+        self._paths.append((start, written()))
+        return out
+
+    def own(self, start: int) -> None:
+        """Takes the stage tables written since mark ``start`` as this study's own."""
+        self._paths.append((start, written()))
+
+    def close(self) -> None:
+        """Removes the stage tables that this study has written; its results end with them."""
+        for start, stop in self._paths:
+            remove_stages(self.matches.sparkSession, start, stop)
+        self._paths.clear()
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -37,7 +55,7 @@ class Study:
             rules=self.rules,
             expected_ids=self.expected_ids,
         )
-        return materialise(built, "manifest")
+        return self._stage(built, "manifest")
 
     @cached_property
     def catalogue(self) -> DataFrame:
@@ -51,11 +69,11 @@ class Study:
     @cached_property
     def episodes(self) -> DataFrame:
         eligible = manifest.semi_eligible(self.events, self.manifest)
-        return materialise(episodes.item_episodes(eligible), "episodes")
+        return self._stage(episodes.item_episodes(eligible), "episodes")
 
     @cached_property
     def case_attempts(self) -> DataFrame:
-        return materialise(
+        return self._stage(
             state.case_dataset(self.episodes, self.matches, self.participants, self.snapshots), "case_attempts"
         )
 
@@ -71,25 +89,24 @@ class Study:
             .select("match_id", "storage_partition")
             .withColumnRenamed("storage_partition", "region")
         )
-        return state.state_features(self.snapshots.join(eligible, "match_id"), self.participants)
+        return self._stage(state.state_features(self.snapshots.join(eligible, "match_id"), self.participants), "states")
 
     @cached_property
     def pool(self) -> DataFrame:
         """Candidate controls of every case."""
-        stored = materialise(self.states, "states")
         wanted = self.cases.select(
             "case_id", "match_id", "participant_id", "purchase_timestamp", "lifecycle_status", "region"
         )
-        cases = materialise(candidates.case_states(wanted, stored), "case_states")
-        controls = manifest.anti_control_matches(stored, self.episodes)
-        return materialise(
+        cases = self._stage(candidates.case_states(wanted, self.states), "case_states")
+        controls = manifest.anti_control_matches(self.states, self.episodes)
+        return self._stage(
             candidates.caliper_candidates(cases, controls), "candidate_pool"
         )
 
     @cached_property
     def features(self) -> DataFrame:
         observations = asof.union_distinct_observations(self.cases, self.pool)
-        return materialise(asof.recent_event_features(observations, self.events), "features")
+        return self._stage(asof.recent_event_features(observations, self.events), "features")
 
     @cached_property
     def enriched_cases(self) -> DataFrame:
@@ -98,7 +115,7 @@ class Study:
 
     @cached_property
     def enriched_pool(self) -> DataFrame:
-        return materialise(matching.enrich_candidates(self.pool, self.features), "enriched_pool")
+        return self._stage(matching.enrich_candidates(self.pool, self.features), "enriched_pool")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -106,23 +123,36 @@ class Study:
 
     @cached_property
     def primary(self) -> DataFrame:
-        return materialise(matching.match_primary(self.cases, self.scored), "primary")
+        return self._stage(matching.match_primary(self.cases, self.scored), "primary")
 
     @cached_property
     def relaxed(self) -> DataFrame:
-        return materialise(matching.match_relaxed(self.cases, self.scored), "relaxed")
+        return self._stage(matching.match_relaxed(self.cases, self.scored), "relaxed")
 
     @cached_property
     def one_to_one(self) -> DataFrame:
-        return matching.match_one_to_one(self.primary)
+        return self._stage(matching.match_one_to_one(self.primary), "one_to_one")
 
     @cached_property
     def primary_long(self) -> DataFrame:
-        return materialise(matching.matched_long(self.cases, self.primary), "primary_long")
+        return self._stage(matching.matched_long(self.cases, self.primary), "primary_long")
 
     @cached_property
     def relaxed_long(self) -> DataFrame:
-        return materialise(matching.matched_long(self.cases, self.relaxed), "relaxed_long")
+        return self._stage(matching.matched_long(self.cases, self.relaxed), "relaxed_long")
+
+    @cached_property
+    def one_to_one_long(self) -> DataFrame:
+        return self._stage(matching.matched_long(self.cases, self.one_to_one), "one_to_one_long")
+
+    @property
+    def samples(self) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """The selected controls and the long table of each design."""
+        return {
+            "primary": (self.primary, self.primary_long),
+            "relaxed": (self.relaxed, self.relaxed_long),
+            "one_to_one": (self.one_to_one, self.one_to_one_long),
+        }
 
     @cached_property
     def effects(self) -> DataFrame:

@@ -1,6 +1,5 @@
 """Session defaults and the shared folder that stage tables are written to."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed partition even if that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # as many splits of an input as there are cores, also where one file is small
+    "spark.sql.files.openCostInBytes": "1048576",
     # hash instead of sort where every partition of a side proves small at run time
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
@@ -26,18 +27,12 @@ def build_session(app: str = "cohortloom", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, else the checkpoint folder that the context
+    was given, else a folder in the warehouse, which driver and executors share as well."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    existing = context.getCheckpointDir()
-    if existing:
-        return existing
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortloom-"))
-    return context.getCheckpointDir()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -52,4 +47,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many stage tables this driver has written: a mark for ``remove_stages``."""
+    return len(_written)
+
+
+def remove_stages(spark: SparkSession, start: int, stop: int | None = None) -> None:
+    """Removes the stage tables written from mark ``start`` to mark ``stop``. What was read from
+    them can't be read again."""
+    for i in range(start, len(_written) if stop is None else stop):
+        if _written[i]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written[i])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written[i] = ""

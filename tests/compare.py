@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -68,6 +69,7 @@ if __name__ == "__main__":
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-stages-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
