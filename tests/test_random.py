@@ -256,8 +256,8 @@ def test_gold_cells_cover_the_caliper(spark):
 # --- quantiles -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 100_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy,most", [(20, 20_000), (100, 3), (20, 5), (100_000, 20_000)])
+def test_exact_quantiles(spark, accuracy, most):
     """Exact whatever the sketch's accuracy, with a value that holds a third of the rows."""
     rng = np.random.default_rng(accuracy)
     data = []
@@ -269,7 +269,7 @@ def test_exact_quantiles(spark, accuracy):
     df = spark.createDataFrame(data, "g string, v double").repartition(7)
     got = {
         (r["g"], r["prob"]): r["quantile"]
-        for r in quantiles.exact_quantiles(df, by=["g"], value="v", probs=probs, accuracy=accuracy).collect()
+        for r in quantiles.exact_quantiles(df, by=["g"], value="v", probs=probs, accuracy=accuracy, most=most).collect()
     }
     for g in "abcd":
         mine = [v for key, v in data if key == g]
