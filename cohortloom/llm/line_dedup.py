@@ -82,7 +82,7 @@ def line_dedup(
         lines.join(_in_shares(verdict, shares), ["h1", "h2", "share"])
         .filter(F.col("id") > F.col("first_id"))
         .groupBy("id", "copy")
-        .agg(F.collect_list("pos").alias("gone"))
+        .agg(F.collect_set("pos").alias("gone"))  # equal rows say the same
     )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     a, b = rows.alias("a"), gone.alias("b")
