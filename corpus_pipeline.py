@@ -19,6 +19,7 @@ from cohortloom.llm.toxicity import toxicity
 from cohortloom.session import materialise
 
 ID, TEXT, SOURCE = "doc_id", "text", "source"
+# columns that stages add in between; no column of documents may be called so
 KEY = ["stage_id_hash", "stage_text_hash"]
 # the stages can't be said in SQL: two of them learn or search by iteration
 ORACLE_SQL = None
@@ -47,13 +48,15 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts lose the lines that ten sources or more share, but for each line's first document;
     n_chars follows the text. Rows that lose all their lines go; rows without lines stay."""
     out = line_dedup(docs).filter("n_removed > 0")
-    changed = _verdicts(out, "kept", (F.col("n_removed") >= F.col("n_lines")).alias("emptied")).dropDuplicates(KEY)
-    joined = _keyed(docs).join(changed, KEY, "left").filter("emptied IS NULL OR NOT emptied")
-    text = F.when(F.col("emptied").isNotNull(), F.col("kept")).otherwise(F.col(TEXT))
+    emptied = F.col("n_removed") >= F.col("n_lines")
+    changed = _verdicts(out, F.col("kept").alias("stage_kept"), emptied.alias("stage_emptied")).dropDuplicates(KEY)
+    joined = _keyed(docs).join(changed, KEY, "left").filter("stage_emptied IS NULL OR NOT stage_emptied")
+    is_changed = F.col("stage_emptied").isNotNull()
+    text = F.when(is_changed, F.col("stage_kept")).otherwise(F.col(TEXT))
     new = {TEXT: text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("emptied").isNotNull(), F.length("kept").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(is_changed, F.length("stage_kept").cast(kind)).otherwise(F.col("n_chars"))
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
@@ -64,10 +67,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = materialise(out.select("group_id", ID, "text_hash"), "pipeline-groups")
     first = members.groupBy("group_id").agg(F.min(F.struct(F.col(ID).isNull().alias("none"), ID, "text_hash")).alias("first"))
     gone = members.join(first, "group_id").filter(~(F.col(ID).eqNullSafe(F.col(f"first.{ID}")) & (F.col("text_hash") == F.col("first.text_hash"))))
-    grouped = _verdicts(members.groupBy(ID, "text_hash").agg(F.count(F.lit(1)).alias("repeats")).filter("repeats > 1"), F.lit(True).alias("repeated"))
+    grouped = _verdicts(members.groupBy(ID, "text_hash").agg(F.count(F.lit(1)).alias("repeats")).filter("repeats > 1"), F.lit(True).alias("stage_repeated"))
     kept = _keyed(docs).join(_verdicts(gone).distinct(), KEY, "left_anti").join(grouped, KEY, "left")
-    single = kept.filter("repeated IS NULL").select(*docs.columns)
-    again = kept.filter("repeated").dropDuplicates(KEY).select(*docs.columns)  # equal rows
+    single = kept.filter("stage_repeated IS NULL").select(*docs.columns)
+    again = kept.filter("stage_repeated").dropDuplicates(KEY).select(*docs.columns)  # equal rows
     return single.unionAll(again)
 
 
