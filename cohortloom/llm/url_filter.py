@@ -103,6 +103,7 @@ def filter_urls(
     html_col: str = "html",
     ratio: float = 1.0,
     damping: float = 0.5,
+    shares: int = 32,
 ) -> DataFrame:
     """Per row: ``id_col``, host, path, rule, verdict, trust and distrust.
 
@@ -115,25 +116,30 @@ def filter_urls(
     A null url or one without ``://`` has an empty host and path, fits no rule and is allowed.
     Null html has no links. Repeated rows are judged each; other columns are not looked at. An
     empty table gives an empty result.
+
+    What is known of a host is copied to ``shares`` groups of pages, so that the pages of a very
+    common host are joined in as many tasks.
     """
     spark = pages.sparkSession
     plain = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     parsed = with_host_path(plain, "_url").select("_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_html").alias("html"))
     rule_table = spark.createDataFrame([(h, p, v) for v, h, p in rules], "rule_host string, rule_path string, verdict string")
     edges = materialise(link_edges(parsed, "host", "html"), "host-links")
-    urls = materialise(parsed.drop("html"), "urls")
+    share = F.pmod(F.xxhash64("_id", "path"), F.lit(shares)).cast("int")
+    urls = materialise(parsed.drop("html").withColumn("share", share), "urls")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
     hosts = urls.filter("host <> ''").select("host").distinct()
     known = host_rules(hosts, rule_table)
-    judged = urls.join(known, "host", "left").select(
-        "_id", "host", "path", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)).alias("r")
+    judged = urls.join(known.withColumn("share", each), ["host", "share"], "left").select(
+        "_id", "host", "share", "path", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)).alias("r")
     )
-    judged = materialise(judged.select("_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule")), "urls-judged")
+    judged = materialise(judged.select("_id", "host", "share", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule")), "urls-judged")
     tally = judged.filter("by_rule IS NOT NULL").groupBy("host").agg(F.max((F.col("by_rule") == "block").cast("int")).alias("bad"))
     seeds = tally.select("host", F.when(F.col("bad") == 1, "distrust").otherwise("trust").alias("kind"))
     scores = propagate(edges, seeds, damping=damping)
     none = F.lit(0.0)
     return (
-        judged.join(scores, "host", "left")
+        judged.join(scores.withColumn("share", each), ["host", "share"], "left")
         .select(
             F.col("_id").alias(id_col),
             "host",
