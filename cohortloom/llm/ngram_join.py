@@ -12,7 +12,8 @@ aren't one component yet, until every pair of a tile is settled, either by a tes
 being in one component. So a group of n copies costs about n tests, not n squared, and no link
 that would join two components is lost. A test first bounds the overlap from above by the bits
 that only one bitmap has. Blocks of leaders and members are compared so in numpy, and only the
-pairs that may link become rows; these have their arrays intersected.
+pairs that may link become rows; these pass a second bitmap, as wide as their sets ask for, and
+have their arrays intersected.
 
 Equal sets are one node from the start. Node ids are 64-bit hashes of the set.
 """
@@ -198,8 +199,16 @@ def _meet(batches):
         yield from close()
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """Bitmap of the low bits of each hash."""
+    bitmap = np.zeros(width, np.uint8)
+    bitmap[(values & U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bitmap).tobytes()
+
+
 def _arrays(shared, bits: int, shingle: int):
-    """(node, n, bitmap, items) once per task for each node that may be in a tile."""
+    """(node, n, bitmap, wide, items) once per task for each node that may be in a tile. The wide
+    bitmap has four bits per item or more."""
 
     def run(batches):
         tokens, seen = Tokenizer(SPACED, lower=True), set()
@@ -211,12 +220,21 @@ def _arrays(shared, bits: int, shingle: int):
                     if node is None or node in seen or not in_bitmap(shared.value, bits, np.array([node]).astype(np.uint64))[0]:
                         continue
                     seen.add(node)
-                    bitmap = np.zeros(BITS, np.uint8)
-                    bitmap[(values & U(BITS - 1)).astype(np.int64)] = 1
-                    out.append((node, len(values), np.packbits(bitmap).tobytes(), values.tobytes()))
+                    wide = max(BITS, 1 << (4 * len(values) - 1).bit_length())
+                    out.append((node, len(values), _bits(values, BITS), _bits(values, wide), values.tobytes()))
             if out:
-                node, n, bitmap, items = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(items, pa.binary())], ["node", "n", "bitmap", "items"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["node", "n", "bitmap", "wide", "items"])
+
+    return run
+
+
+def _wanted(shared, bits: int):
+    """The rows whose node may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, bits, batch.column("node").to_numpy().astype(np.uint64))))
 
     return run
 
@@ -233,12 +251,17 @@ def _bitmaps(column) -> np.ndarray:
 
 
 def _bounded(percent: int):
+    """The same by wide bitmaps; the longer one of a pair is folded to the shorter."""
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = _bitmaps(batch.column("bitmap_u")), _bitmaps(batch.column("bitmap_v"))
-                n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
-                yield batch.select(["u", "v"]).filter(pa.array(_may_link(a, b, n, m, percent)))
+            keep = []
+            for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("wide_u", "wide_v", "n_u", "n_v"))):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                width = min(len(a), len(b))
+                a, b = (np.bitwise_or.reduce(x.reshape(-1, width), 0)[None] for x in (a, b))
+                keep.append(bool(_may_link(a, b, np.array([n]), np.array([m]), percent)[0]))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -315,15 +338,21 @@ def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (u, v), those that link."""
-    return _beside(pairs, sets, "items").mapInArrow(_linked(percent), "u long, v long")
+def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of (u, v), those that link. Arrays are shuffled only for the pairs that pass the bitmaps."""
+    spark = pairs.sparkSession
+    light = materialise(_beside(pairs, sketches, "n", "wide").mapInArrow(_bounded(percent), "u long, v long"), "ngram-light")
+    nodes = materialise(light.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ngram-nodes")
+    bits = bitmap_bits(nodes.count())
+    shared = spark.sparkContext.broadcast(hash_bitmap(nodes, "node", bits))
+    items = sets.select("node", "items").mapInArrow(_wanted(shared, bits), "node long, items binary").dropDuplicates(["node"])
+    return _beside(light, items, "items").mapInArrow(_linked(percent), "u long, v long")
 
 
-def _near_leaders(open_tiles: DataFrame, sets: DataFrame, begin: int, leaders: int, percent: int) -> DataFrame:
+def _near_leaders(open_tiles: DataFrame, sketches: DataFrame, begin: int, leaders: int, percent: int) -> DataFrame:
     """Pairs (leader, member) of open tiles (tile, node, rank, part, size) that may link, for the
     leaders of ranks begin + 1 to begin + leaders. No group has more rows than the two blocks."""
-    known = open_tiles.join(sets.select("node", "n", "bitmap"), "node")
+    known = open_tiles.join(sketches.select("node", "n", "bitmap"), "node")
     place = F.col("rank") - 1
     last = F.floor((F.least(F.lit(leaders), F.col("size") - begin - 1) - 1) / LEADER_BLOCK).cast("int")
     members = (
@@ -381,15 +410,13 @@ def ngram_components(
     nodes = materialise(tiles.select("node").distinct(), "ngram-nodes")
     bits = bitmap_bits(nodes.count())
     shared = spark.sparkContext.broadcast(hash_bitmap(nodes, "node", bits))
-    sets = materialise(
-        texts.mapInArrow(_arrays(shared, bits, shingle), "node long, n long, bitmap binary, items binary").dropDuplicates(["node"]),
-        "ngram-sets",
-    )
+    # equal sets of different tasks are all there: dropped among the few that are used
+    sets = materialise(texts.mapInArrow(_arrays(shared, bits, shingle), "node long, n long, bitmap binary, wide binary, items binary"), "ngram-sets")
+    sketches = materialise(sets.select("node", "n", "bitmap", "wide").dropDuplicates(["node"]), "ngram-sketches")
     leaders = tiles.filter("rank = 1").select("tile", F.col("node").alias("u"))
     first = tiles.filter("rank > 1").join(leaders, "tile").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u"))
     tested = materialise(first.select("u", "v"), "ngram-tested")
-    light = _beside(tested, sets, "n", "bitmap").mapInArrow(_bounded(percent), "u long, v long")
-    edges = materialise(_links(light, sets, percent), "ngram-links")
+    edges = materialise(_links(tested, sets, sketches, percent), "ngram-links")
     parts = connected_components(edges)
     begin, leaders = 0, LEADERS
     while True:
@@ -398,12 +425,13 @@ def ngram_components(
         open_tiles = materialise(placed.join(mixed.select("tile", "size"), "tile"), "ngram-open")
         if open_tiles.isEmpty():
             break
-        pairs = _near_leaders(open_tiles, sets, begin, leaders, percent).join(tested, ["u", "v"], "left_anti")
+        pairs = _near_leaders(open_tiles, sketches, begin, leaders, percent).join(tested, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "ngram-tested")
-        more = materialise(_links(pairs, sets, percent), "ngram-links")
-        tested, edges = tested.unionAll(pairs), edges.unionAll(more)
-        if not more.isEmpty():
-            parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+        if not pairs.isEmpty():
+            more = materialise(_links(pairs, sets, sketches, percent), "ngram-links")
+            tested, edges = tested.unionAll(pairs), edges.unionAll(more)
+            if not more.isEmpty():
+                parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
         begin, leaders = begin + leaders, leaders * 4
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = headers.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
