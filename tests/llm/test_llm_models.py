@@ -53,6 +53,26 @@ def test_lm_base_and_gain(spark):
     assert {(r.n_known, r.train_tokens) for r in blind} == {(0, 0)} and all(math.isfinite(r.score) for r in blind)
 
 
+def test_lm_learns_at_every_position(spark):
+    """Texts of 24 tokens; the one pair of words that goes together stands in their middle."""
+    r = random.Random(5)
+
+    def text(a, b):
+        words = [f"{r.choice('klmnop')}{r.randrange(9)}" for _ in range(23)]
+        words[10:12] = a, b
+        return " ".join(words)
+
+    pairs = [("left", "upon"), ("right", "down")]
+    rows = [(i, text(*pairs[i % 2]), "s") for i in range(400)]
+    r.seed(6)
+    rows += [(1000 + i, text(*pairs[i % 2]), "s") for i in range(40)]
+    r.seed(6)
+    rows += [(2000 + i, text(pairs[i % 2][0], pairs[1 - i % 2][1]), "s") for i in range(40)]
+    got = maxent_lm.score_texts(cases.frame(spark, rows), held_out=F.col("doc_id") >= 1000).filter("held_out").collect()
+    learned = sum(x.score for x in got if x.doc_id < 2000) - sum(x.score for x in got if x.doc_id >= 2000)
+    assert learned > 40 * 0.3  # twice as likely at least
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all training words and one unseen word of each class."""
     r = np.random.default_rng(1)
