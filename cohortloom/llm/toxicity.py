@@ -1,8 +1,9 @@
 """Toxicity: misspelled lexicon terms by automaton, weighed by their context.
 
 The lexicon is learned from a bounded sample of labelled rows: terms whose odds in toxic texts
-stand out, even at the lower end of their error, and that occur after many different words, so
-that copies of one toxic text don't make terms of all its words. Levenshtein automata of the
+stand out, even at the lower end of their error, and that occur after several different words, so
+that copies of one toxic text don't make terms of all its words. All such terms are taken, of
+letters of any script; their number follows from the sample alone. Levenshtein automata of the
 terms are intersected with the trie of the lexicon and made deterministic: one transition table
 that all words of a slice run through together, byte by byte, and that most leave early.
 
@@ -21,7 +22,9 @@ from cohortloom.session import materialise
 from .words import Tokenizer, byte_table, sent, slices
 
 FIT_ROWS = 8000  # labelled rows that lexicon and weights are fitted on, at most
-TERMS = 64  # size of the lexicon, at most
+SUPPORT = 5  # toxic rows, and different words before it, that a term needs
+ODDS = 2.0  # log of the odds of a term in toxic rows, at the lower end of its error
+SHORT = 5  # terms of fewer letters: words one edit away are counted apart
 WORD = byte_table((0x30, 0x39), (0x40, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 for _mark in b"$*":
     WORD[_mark] = True
@@ -37,25 +40,33 @@ class Lexicon:
 
     def __init__(self, terms: list[str]):
         self.terms = sorted(terms)
-        self.letters = np.full(256, 26, np.int64)  # 26: any other character
+        extra = sorted({c for t in self.terms for c in t if not "a" <= c <= "z"})
+        number = {chr(0x61 + i): i for i in range(26)} | {c: 26 + i for i, c in enumerate(extra)}
+        self.other = len(number)  # any other character
+        self.letters = np.full(256, self.other, np.int32)
         self.letters[0x80:0xC0] = -1  # continuation bytes belong to the character before
+        # code points beyond ASCII that the terms have, in both cases
+        codes = sorted((ord(form), number[c]) for c in extra for form in {c, c.upper()} if len(form) == 1 and ord(form) > 0x7F)
+        self.codes = np.array([c for c, _ in codes], np.int64)
+        self.code_letter = np.array([k for _, k in codes], np.int32)
+        self.short = np.array([len(t) < SHORT for t in self.terms], bool)
         for i in range(26):
             self.letters[0x61 + i] = self.letters[0x41 + i] = i
         for sign, letter in READ_AS.items():
             self.letters[ord(sign)] = ord(letter) - 0x61
-        self._build()
+        self._build(number)
 
     @staticmethod
     def edits(term: str) -> int:
-        return 1 if len(term) >= 5 else 0
+        return 1 if len(term) >= 3 else 0
 
-    def _build(self) -> None:
+    def _build(self, letter_of: dict[str, int]) -> None:
         children, ends, reach = [{}], [None], [0]
         for number, term in enumerate(self.terms):
             node = 0
             reach[0] = max(reach[0], self.edits(term))
             for c in term:
-                k = ord(c) - 0x61 if "a" <= c <= "z" else 26
+                k = letter_of[c]
                 if k not in children[node]:
                     children[node][k] = len(children)
                     children.append({})
@@ -88,7 +99,7 @@ class Lexicon:
             for node, e in state:
                 put(node, e + 1)
                 for letter, child in children[node].items():
-                    put(child, e if letter == k and k != 26 else e + 1)
+                    put(child, e if letter == k else e + 1)
             return closed(items)
 
         start = closed({0: 0})
@@ -96,13 +107,17 @@ class Lexicon:
         table = []
         at = 0
         while at < len(states):
-            row = []
-            for k in range(27):
+            # letters that none of the nodes goes on with all lead where any other character does
+            labels = sorted({k for node, _ in states[at] for k in children[node]})
+            row = [0] * (self.other + 1)
+            for k in [self.other, *labels]:
                 to = after(states[at], k)
                 if to not in number:
                     number[to] = len(states)
                     states.append(to)
-                row.append(number[to])
+                if k == self.other:
+                    row = [number[to]] * (self.other + 1)
+                row[k] = number[to]
             table.append(row)
             at += 1
         self.table = np.array(table, np.int32)
@@ -113,12 +128,28 @@ class Lexicon:
             if hits:
                 self.cost[i], self.term[i] = hits[0]
 
+    def _letters_in(self, data: np.ndarray) -> np.ndarray:
+        """Letter at the first byte of each character, -1 at its other bytes."""
+        out = self.letters[data]
+        lead = np.flatnonzero(data >= 0xC0) if len(self.codes) else np.zeros(0, np.int64)
+        if len(lead):
+            b = [data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) & (0xFF if i == 0 else 0x3F) for i in range(4)]
+            two = (b[0] & 0x1F) << 6 | b[1]
+            three = (b[0] & 0x0F) << 12 | b[1] << 6 | b[2]
+            four = (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3]
+            code = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[at] == code
+            out[lead[known]] = self.code_letter[at[known]]
+        return out
+
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of the words within reach of a term."""
         if not self.terms:
             return (np.zeros(0, np.int64),) * 3
         word, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), np.int32)
         stop = ends
+        letters = self._letters_in(data)
         found = []
         while len(word):
             over = at == stop
@@ -127,7 +158,7 @@ class Lexicon:
             found.append((word[hit], self.term[state[hit]], self.cost[state[hit]]))
             going = ~over
             word, at, stop, state = word[going], at[going], stop[going], state[going]
-            letter = self.letters[data[at]]
+            letter = letters[at]
             state = np.where(letter < 0, state, self.table[state, np.maximum(letter, 0)])
             live = state > 0
             word, at, stop, state = word[live], at[live] + 1, stop[live], state[live]
@@ -136,7 +167,7 @@ class Lexicon:
         return word[order], term[order], cost[order]
 
 
-FEATURES = 11
+FEATURES = 12
 
 
 def _inside_quotes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -167,7 +198,9 @@ def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, off
         near = {words.data[s:e].tobytes().lower() for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())}
         reporting[i], addressing[i] = not near.isdisjoint(REPORTING), not near.isdisjoint(ADDRESSING)
     among = np.searchsorted(word, word + AMONG, "right") - np.searchsorted(word, word - AMONG, "left")
-    plain = ~quoted
+    # a word one edit from a short term is often another word: it has one feature of its own
+    loose = (cost > 0) & lexicon.short[term] if len(term) else np.zeros(0, bool)
+    plain = ~quoted & ~loose
 
     def per(mask):
         return np.bincount(text[mask], minlength=n).astype(np.float64)
@@ -176,7 +209,7 @@ def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, off
     x[:, 0] = 1
     x[:, 1] = np.log1p(per(plain & (cost == 0)))
     x[:, 2] = np.log1p(per(plain & (cost > 0)))
-    x[:, 3] = np.log1p(per(quoted))
+    x[:, 3] = np.log1p(per(quoted & ~loose))
     x[:, 4] = np.log1p(per(plain & addressing))
     x[:, 5] = np.log1p(per(plain & reporting))
     most = np.zeros(n)
@@ -188,6 +221,7 @@ def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, off
     np.maximum.at(strong, text[plain], (weights[term] / (1 + cost))[plain] if len(weights) else np.zeros(0))
     x[:, 9] = strong
     x[:, 10] = per(plain) / np.log(counts + 3.0)
+    x[:, 11] = np.log1p(per(~quoted & loose))
     return x, (text, word - words.first[text], term, cost, quoted)
 
 
@@ -237,15 +271,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def learn_lexicon(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Terms and their weights from (text, toxic): at most TERMS, so they may reach the driver."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, odds: float = ODDS) -> tuple[list[str], np.ndarray]:
+    """All terms within the bounds, and their weights, from (text, toxic). They reach the driver:
+    at most the words that ``support`` rows of the sample share."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]{2,}"), F.lit(0))
     split = labelled.select("toxic", words.alias("w"))
     n_toxic, n_rows = split.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_toxic, n_rows = n_toxic or 0, n_rows or 0
     if not 0 < n_toxic < n_rows:
         return [], np.zeros(0)
-    needed = max(5, 0.03 * n_toxic)
 
     def floor_of_odds(bad, clean):
         a, b = bad + F.lit(0.5), clean + F.lit(0.5)
@@ -255,26 +289,22 @@ def learn_lexicon(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         split.select("toxic", F.explode(F.array_distinct("w")).alias("word"))
         .groupBy("word")
         .agg(F.sum("toxic").alias("bad"), (F.count(F.lit(1)) - F.sum("toxic")).alias("clean"))
-        .filter((F.col("bad") >= needed) & (floor_of_odds(F.col("bad"), F.col("clean")) > 2))
-        .orderBy(F.desc(floor_of_odds(F.col("bad"), F.col("clean"))), "word")
-        .limit(16 * TERMS)
+        .filter((F.col("bad") >= support) & (floor_of_odds(F.col("bad"), F.col("clean")) > odds))
     )
     pairs = F.zip_with(F.concat(F.array(F.lit("")), "w"), "w", lambda a, b: F.struct(b.alias("word"), a.alias("left")))
     varied = (
         split.filter("toxic = 1")
         .select(F.explode(F.array_distinct(pairs)).alias("p"))
         .select("p.word", "p.left")
-        .join(F.broadcast(frequent), "word")  # 16 * TERMS rows at most
+        .join(frequent, "word")
         .distinct()
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("lefts"), F.first("bad").alias("bad"), F.first("clean").alias("clean"))
     )
-    support = F.least("lefts", "bad")
+    shown = F.least("lefts", "bad")
     rows = (
-        varied.withColumn("floor", floor_of_odds(support, F.col("clean")))
-        .filter((support >= needed) & (F.col("floor") > 2))
-        .orderBy(F.desc("floor"), "word")
-        .limit(TERMS)
+        varied.withColumn("floor", floor_of_odds(shown, F.col("clean")))
+        .filter((shown >= support) & (F.col("floor") > odds))
         .select("word", "floor")
         .collect()
     )
@@ -291,11 +321,14 @@ def toxicity(
     label_id_col: str = "doc_id",
     label_col: str = "toxic",
     fit_rows: int = FIT_ROWS,
+    support: int = SUPPORT,
+    odds: float = ODDS,
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, text_hash, score (0 to 1), predicted (1 if score >= 0.5)
     and hits, the matches (word number, term, edits, quoted).
 
-    Learns from ``fit_rows`` rows of ``labels`` at most, taken by hash; labels that are null or
+    A term is in ``support`` toxic rows and after as many different words at least, and its log
+    odds exceed ``odds`` at the lower end of their error. Learns from ``fit_rows`` rows of ``labels`` at most, taken by hash; labels that are null or
     neither 0 nor 1 and rows of null ids are left out, of several labels of an id the highest
     counts. Null and empty texts have no matches and get the score of a text without any. With
     no labels, or labels of one class only, there are no terms and scores are the share of
@@ -313,7 +346,7 @@ def toxicity(
     drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows)
     sample = rows.filter("text IS NOT NULL").join(F.broadcast(drawn), "id").select("text", "toxic")  # fit_rows rows at most
     sample = materialise(sample, "toxic-fit")
-    terms, weights = learn_lexicon(sample)
+    terms, weights = learn_lexicon(sample, support, odds)
     lexicon = Lexicon(terms)
     fitted = sample.mapInArrow(_learn(lexicon, weights), "toxic long, x array<double>").toArrow()
     if fitted.num_rows:

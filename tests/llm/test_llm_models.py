@@ -166,6 +166,28 @@ def test_toxicity_learns_terms_and_leaves_clean_texts(spark):
     assert toxicity.toxicity(cases.frame(spark, []), table).collect() == []
 
 
+def test_lexicon_keeps_rare_terms_of_any_letters(spark):
+    """200 terms, each in 10 of 400 toxic rows (2.5 %), most of them with letters beyond a to z."""
+    r = random.Random(4)
+    short = ["scum", "übel"]
+    bad = short + [f"{a}{b}{c}{d}" for a in ("grob", "fäul") for b in "xyzqw" for c in "aeiou" for d in ("lind", "rump", "mék", "кот")][:198]
+    filler = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in ("ta", "so", "vi", "du", "lem", "gor", "pins")]
+    rows = []
+    for i in range(400):
+        words = [r.choice(filler) for _ in range(30)]
+        for k in range(5):
+            words.insert(r.randrange(len(words)), bad[(5 * i + k) % len(bad)])
+        rows.append((" ".join(words), 1))
+    rows += [(" ".join(r.choice(filler) for _ in range(30)), 0) for _ in range(3600)]
+    terms, weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(terms) == set(bad) and len(weights) == len(bad)
+    lexicon = toxicity.Lexicon(terms)
+    for word, term, cost in (("scym", "scum", 1), ("ÜBEL", "übel", 0), ("obel", "übel", 1), ("FÄULxaкот", "fäulxaкот", 0), ("fäulxaкат", "fäulxaкот", 1)):
+        data = np.frombuffer(word.encode(), np.uint8)
+        w, t, c = lexicon.match(data, np.array([0]), np.array([len(data)]))
+        assert [(lexicon.terms[k], e) for k, e in zip(t, c)] == [(term, cost)], word
+
+
 def test_quotation_is_seen():
     lexicon = toxicity.Lexicon(["idiot"])
     for text, quoted in (('he said "you idiot" then', True), ("“an idiot” it says", True), ("you idiot", False), ('"fine" but idiot', False), ('open " idiot', False)):
