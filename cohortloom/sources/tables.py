@@ -124,6 +124,20 @@ def incremental_load(new: DataFrame, existing: DataFrame, *, key: Sequence[str])
     return new.join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
+def loaded_batches(
+    files: DataFrame, *, tables: Sequence[str], by: Sequence[str] = ("region", "batch_id"), table_col: str = "table_name"
+) -> DataFrame:
+    """The batches that every one of the tables has. A batch lost from one table is not loaded:
+    as ``existing`` of ``incremental_load`` this loads it again."""
+    return (
+        files.filter(F.col(table_col).isin(*tables))
+        .groupBy(*by)
+        .agg(F.count_distinct(table_col).alias("n_tables"))
+        .filter(F.col("n_tables") == len(set(tables)))
+        .select(*by)
+    )
+
+
 def write_dataset(
     df: DataFrame, path: str, *, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> None:

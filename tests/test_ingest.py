@@ -139,3 +139,13 @@ def test_stage_tables_go_to_the_shared_folder(spark):
     folder = shared_folder(spark).split(":")[-1]
     assert all(folder in f for f in stored.inputFiles())
     assert stored.count() == 3
+
+
+def test_a_batch_lost_from_one_table_is_loaded_again(spark):
+    names = ["matches", "participants", "snapshots", "events"]
+    rows = [(t, "euw", b) for t in names for b in (1, 2, 3) if (t, b) != ("events", 2)] + [("matches", "euw", 2), ("other", "euw", 2), ("events", "na", 2)]
+    files = spark.createDataFrame(rows, "table_name string, region string, batch_id long")
+    new = spark.createDataFrame([("euw", 1), ("euw", 2), ("euw", 3), ("na", 2)], "region string, batch_id long")
+    done = src.loaded_batches(files, tables=names)
+    got = src.incremental_load(new, done, key=["region", "batch_id"]).collect()
+    assert sorted(map(tuple, got)) == [("euw", 2), ("na", 2)]
