@@ -10,6 +10,7 @@ from .line_dedup import line_dedup
 from .maxent_lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .packing import pack_documents
 from .personal_data import KINDS, find_personal_data
 from .substring_dedup import substring_dedup
 from .topk_search import topk_inner_product
@@ -221,3 +222,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.expr(f"CAST(size(filter(spans, x -> x.base AND x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer=path, size=2048, end=1, by_word=True)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
