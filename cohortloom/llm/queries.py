@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .personal_data import KINDS, find_personal_data
+from .prefix_trie import prefix_trie
 from .substring_dedup import substring_dedup
 from .topk_search import topk_inner_product
 from .toxicity import toxicity
@@ -231,3 +232,39 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizer=path, size=2048, end=1, by_word=True)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    WITH RECURSIVE turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+    crc AS (SELECT range::UINTEGER AS byte, 0 AS step, range::UINTEGER AS v FROM range(256)
+            UNION ALL SELECT byte, step + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END FROM crc WHERE step < 8),
+    crc_table AS (SELECT list(v ORDER BY byte) AS t FROM crc WHERE step = 8),
+    convs AS (SELECT c, n, c - c % 5 AS b,
+                     xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS UINTEGER))),
+                         lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS BIGINT) + 1])), 4294967295::UINTEGER) % 9 AS h
+              FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc_table),
+    based AS (SELECT a.c, a.n, a.b, CAST(a.h AS BIGINT) AS h, least(CAST(a.h AS BIGINT), coalesce(b.n, 0)) AS taken FROM convs a LEFT JOIN convs b ON b.c = a.b),
+    built AS (SELECT s.c, t.pos, t.role, t.text FROM based s JOIN turns t ON t.c = s.b AND t.pos < s.h
+              UNION ALL SELECT s.c, t.pos - s.h + s.taken, t.role, t.text FROM based s JOIN turns t ON t.c = s.c AND t.pos >= s.h),
+    prefix AS (SELECT c, 0 AS d, '' AS k, 0 AS bytes FROM based
+               UNION ALL
+               SELECT p.c, p.d + 1, sha256(p.k || strlen(t.role) || ':' || t.role || t.text), strlen(t.text) FROM prefix p JOIN built t ON t.c = p.c AND t.pos = p.d),
+    lens AS (SELECT c, max(d) AS n FROM prefix GROUP BY c),
+    node AS (SELECT k, d, min(p.c) AS conv, count(*) AS n, max(bytes) AS bytes, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (lens.n = d) AS ends
+             FROM prefix p JOIN lens USING (c) GROUP BY k, d),
+    up AS (SELECT n.k, n.d, p.k AS pk, p.d AS pd FROM node n JOIN prefix p ON p.c = n.conv AND p.d <= n.d),
+    parent AS (SELECT up.k, up.d, q.conv, q.k AS pk, q.d AS pd FROM up JOIN node q ON q.k = up.pk AND q.d = up.pd WHERE up.pd = up.d - 1),
+    kids AS (SELECT pk AS k, pd AS d, count(*) AS n FROM parent GROUP BY pk, pd),
+    own AS (SELECT n.k, n.d, (n.n - 1) * n.bytes AS saved, CAST(kids.n IS NULL AS BIGINT) AS leaf FROM node n LEFT JOIN kids USING (k, d)),
+    tot AS (SELECT up.pk AS k, up.pd AS d, sum(saved) AS saved, sum(leaf) AS leaves FROM up JOIN own USING (k, d) GROUP BY up.pk, up.pd)
+    SELECT node.conv AS conv_id, CAST(d AS BIGINT) AS depth, parent.conv AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+           CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM node JOIN tot USING (k, d) LEFT JOIN parent USING (k, d) LEFT JOIN kids USING (k, d)
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
