@@ -13,6 +13,7 @@ from .ngram_join import ngram_components
 from .packing import pack_documents
 from .personal_data import KINDS, find_personal_data
 from .prefix_trie import prefix_trie
+from .source_audit import source_divergence
 from .substring_dedup import substring_dedup
 from .topk_search import topk_inner_product
 from .toxicity import toxicity
@@ -225,6 +226,35 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+@query(
+    "op11_source_audit",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({LOWER.format(text="coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+    whole AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    cells AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(c) AS n FROM cells GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(cells.c, 0) AS c,
+                 1 + (1000000000::HUGEINT * (coalesce(cells.c, 0) + 5)) // (coalesce(totals.n, 0) + 5 * v) AS p,
+                 1 + (1000000000::HUGEINT * (k.c + 5)) // (whole.n + 5 * v) AS q
+          FROM groups g JOIN kept k USING (lang) JOIN whole USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN cells USING (lang, source, term)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+              FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+    rows AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM rows)
+    WHERE part = 'pair' OR r <= 50
+    """,
+)
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), min_df=30, top=50)
+
+
 @query("op12_packing")
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
