@@ -23,7 +23,7 @@ from cohortloom.session import materialise
 
 from .words import SPACED, gathered, numbers
 
-WORDS_KEPT = 1 << 20  # words whose ids a Python worker remembers; it starts anew beyond
+WORDS_KEPT = 1 << 19  # words whose ids a Python worker remembers; it starts anew beyond
 PIECES = 1 << 12  # pieces that leave a task together
 
 

@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, con, sf_dir, name):
     assert compare.compare(spark, con, sf_dir, name, QUERIES[name], ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n != "op12_packing"])
 def test_query_covers_its_table(spark, sf_dir, name):
     table, key = ("pages", "page_id") if name.startswith("op9") else ("documents", "doc_id")
     got = QUERIES[name](spark, sf_dir)
@@ -29,8 +29,8 @@ def test_query_covers_its_table(spark, sf_dir, name):
     assert Counter(r[0] for r in got.select(key).collect()) == Counter(r[0] for r in want.select(key).collect())
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture
