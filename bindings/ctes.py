@@ -88,6 +88,11 @@ def _long(source: str) -> str:
 
 
 CTES: dict[str, str] = {
+    # the batch of a match: four days of orders in one region
+    "batchkey": f"""
+    SELECT match_id, region, batch_id FROM (
+      SELECT {derive.O_MATCH} AS match_id, {_region(derive.O_MATCH)} AS region, CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) // 4 AS BIGINT) AS batch_id
+      FROM orders) WHERE region IS NOT NULL""",
     "m": f"SELECT *, {_region('match_id')} AS region FROM (SELECT {_sql(derive.MATCH)} FROM orders)",
     "numbered": f"SELECT * REPLACE ({derive.PLAYER_NO} AS l_linenumber) FROM lineitem",
     "lines": """
@@ -96,6 +101,12 @@ CTES: dict[str, str] = {
     "p": f"SELECT {_sql(derive.PARTICIPANT)} FROM lines",
     "s": f"SELECT {_sql(derive.SNAPSHOT)} FROM lines, (VALUES (0), (1), (2), (3)) fr(f) WHERE {derive.FRAME_PRESENT}",
     "e": " UNION ALL ".join(f"SELECT {_sql(columns)} FROM numbered" for columns in derive.EVENTS),
+    # a table has a batch where it has rows: a table without rows writes no file
+    "batchfiles": """
+    SELECT 'matches' AS table_name, region, batch_id FROM batchkey
+    UNION SELECT 'participants', region, batch_id FROM batchkey JOIN p USING (match_id)
+    UNION SELECT 'snapshots', region, batch_id FROM batchkey JOIN s USING (match_id)
+    UNION SELECT 'events', region, batch_id FROM batchkey JOIN e USING (match_id)""",
     "struct_": """
     SELECT match_id, count(DISTINCT participant_id) AS participant_count, count(*) FILTER (win) AS winner_count,
            count(DISTINCT team_id) AS team_count,

@@ -9,6 +9,7 @@ from cohortloom.params import INGEST_REGIONS, RESEARCH_REGIONS
 from cohortloom.session import stage_path
 from cohortloom.sources import documents as docs
 from cohortloom.sources import tables as src
+from cohortloom.sources.batches import commit_batches, complete_batches, read_batches
 from cohortloom.streaming.ingest import load_new_files
 
 from . import derive, tables
@@ -234,8 +235,31 @@ def route_region(spark, sf):
     )
 
 
-@query("incremental_load", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+@query(
+    "incremental_load",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, b.region, b.batch_id // 15 AS batch_id, count(*) AS rows, count(DISTINCT b.match_id) AS matches, true AS complete "
+        f"FROM batchkey b JOIN {short} x USING (match_id) GROUP BY 1, 2, 3"
+        for t, short in (("matches", "m"), ("participants", "p"), ("snapshots", "s"), ("events", "e"))
+    ),
+)
 def incremental_load(spark, sf):
+    """A run that ends after two of the four tables, and one that resumes it."""
+    sources, folder = tables.batched(spark, sf, days=60), stage_path(spark, "loaded")
+    names = list(sources)
+    commit_batches(spark, {n: sources[n] for n in names[:2]}, folder)
+    commit_batches(spark, sources, folder)
+    complete = complete_batches(spark, folder, names).withColumn("complete", F.lit(True))
+    loaded = [
+        read_batches(spark, folder, n).groupBy("region", "batch_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("match_id").alias("matches"))
+        .select(F.lit(n).alias("table_name"), "*")
+        for n in names
+    ]
+    return ff.union_all(*loaded).join(complete, ["region", "batch_id"], "left").fillna(False, ["complete"])
+
+
+@query("incremental_load_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def incremental_load_rows(spark, sf):
     orders = tables.read(spark, sf, "orders")
     loaded = orders.filter("o_orderstatus = 'F'")
     return src.incremental_load(orders.select("o_orderkey", "o_totalprice"), loaded, key=["o_orderkey"])

@@ -6,58 +6,35 @@ from cohortloom.functions.columns import route_region
 from cohortloom.functions.frames import union_all
 from cohortloom.operators import quality as q
 from cohortloom.params import INGEST_REGIONS
+from cohortloom.sources.batches import all_null_batch_columns, batch_list
 
-from . import tables
+from . import derive, tables
 from .ctes import _FEATURES, _region, per_sample
-from .derive import L_MATCH, O_MATCH
+from .derive import O_MATCH
 from .registry import check_rows, query
 
 TABLES = ("matches", "participants", "snapshots", "events")
 BATCH = "CAST(floor({} / 100) AS BIGINT)"
-O_BATCH, L_BATCH = BATCH.format("o_orderkey"), BATCH.format("l_orderkey")
-
-# some batches are left out of a table so that there is something to find
-_FILES = (
-    ("matches", "orders", O_MATCH, O_BATCH, f"{O_BATCH} % 17 <> 3"),
-    ("participants", "lineitem", L_MATCH, L_BATCH, f"{L_BATCH} % 17 <> 3"),
-    ("snapshots", "lineitem", L_MATCH, L_BATCH, f"{L_BATCH} % 17 <> 3 AND {L_BATCH} % 5 <> 0"),
-    ("events", "lineitem", L_MATCH, L_BATCH, f"{L_BATCH} % 17 <> 3 AND l_suppkey % 4 = 0"),
-)
-_FILES_SQL = " UNION ".join(
-    f"SELECT '{t}' AS table_name, {_region(match)} AS region, {batch} AS batch_id FROM {source} WHERE {keep}"
-    for t, source, match, batch, keep in _FILES
-)
-
-
-def files(spark, sf):
-    parts = None
-    for name, source, match, batch, keep in _FILES:
-        rows = tables.read(spark, sf, source).filter(keep).selectExpr(f"{match} AS match_id", f"{batch} AS batch_id")
-        part = route_region(rows, id_col="match_id", rules=INGEST_REGIONS).select(
-            F.lit(name).alias("table_name"), "region", "batch_id"
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.distinct()
+O_BATCH = BATCH.format("o_orderkey")
 
 
 @query(
     "batch_gaps",
-    f"""WITH f AS ({_FILES_SQL}), r AS (SELECT region, min(batch_id) AS lo, max(batch_id) AS hi FROM f WHERE region IS NOT NULL GROUP BY 1)
-    SELECT region, batch_id FROM (SELECT region, unnest(range(lo, hi + 1)) AS batch_id FROM r)
-    EXCEPT SELECT region, batch_id FROM f""",
+    """SELECT region, batch_id FROM (SELECT region, unnest(range(min(batch_id), max(batch_id) + 1)) AS batch_id FROM batchfiles GROUP BY region)
+    EXCEPT SELECT region, batch_id FROM batchfiles""",
 )
 def batch_gaps(spark, sf):
-    return q.batch_gaps(files(spark, sf))
+    return q.batch_gaps(batch_list(spark, tables.batch_folder(spark, sf)))
 
 
 @query(
     "batch_completeness",
-    f"""WITH f AS ({_FILES_SQL}) SELECT * FROM (SELECT region, batch_id, concat_ws(',',
+    f"""SELECT * FROM (SELECT region, batch_id, concat_ws(',',
       {", ".join(f"CASE WHEN NOT bool_or(table_name = '{t}') THEN '{t}' END" for t in TABLES)}) AS missing_tables
-      FROM f GROUP BY region, batch_id) WHERE missing_tables <> ''""",
+      FROM batchfiles GROUP BY region, batch_id) WHERE missing_tables <> ''""",
 )
 def batch_completeness(spark, sf):
-    return q.batch_completeness(files(spark, sf), tables=TABLES)
+    return q.batch_completeness(batch_list(spark, tables.batch_folder(spark, sf)), tables=TABLES)
 
 
 @query(
@@ -125,17 +102,37 @@ def all_null_columns(spark, sf):
     return q.all_null_columns(tables.events(spark, sf).select("event_type", *_NULLABLE), by=["event_type"])
 
 
+_COLUMNS = {
+    "matches": ("m", [c for c in derive.MATCH if c != "match_id"]),
+    "participants": ("p", [c for c in derive.PARTICIPANT if c != "match_id"]),
+    "snapshots": ("s", [c for c in derive.SNAPSHOT if c != "match_id"]),
+    "events": ("e", [c for c in derive.EVENTS[0] if c != "match_id"]),
+}
+
+
+@query(
+    "all_null_batch_columns",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, b.region, b.batch_id, '{c}' AS column_name FROM batchkey b JOIN {short} x USING (match_id) "
+        f"GROUP BY b.region, b.batch_id HAVING count(x.{c}) = 0"
+        for t, (short, columns) in _COLUMNS.items()
+        for c in columns
+    ),
+)
+def all_null_batch_columns_query(spark, sf):
+    folder = tables.batch_folder(spark, sf)
+    return union_all(*[all_null_batch_columns(spark, folder, t) for t in TABLES])
+
+
 @query(
     "winner_anomalies",
     """SELECT w.match_id, w.winners, m.end_of_game_result, CASE WHEN w.winners > 3 THEN 'warning' WHEN m.match_id IS NULL THEN 'error'
       WHEN m.end_of_game_result = 'Abort_AntiCheatExit' THEN 'info' ELSE 'warning' END AS severity
     FROM (SELECT match_id, count(*) FILTER (win) AS winners FROM p GROUP BY match_id) w
-    LEFT JOIN (SELECT * FROM m WHERE queue_id = 420) m USING (match_id) WHERE w.winners = 0 OR w.winners > 3""",
+    LEFT JOIN m USING (match_id) WHERE w.winners = 0 OR w.winners > 3""",
 )
 def winner_anomalies(spark, sf):
-    return q.winner_anomalies(
-        tables.matches(spark, sf).filter("queue_id = 420"), tables.participants(spark, sf), max_winners=3
-    )
+    return q.winner_anomalies(tables.matches(spark, sf), tables.participants(spark, sf), max_winners=3)
 
 
 @query(

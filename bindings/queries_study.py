@@ -47,20 +47,22 @@ def anti_control_matches(spark, sf):
     "orphan_keys",
     """SELECT 'order_without_line' AS check_name, count(*) AS keys FROM (SELECT DISTINCT o_orderkey FROM orders
       WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
-    UNION ALL SELECT 'line_number_unseen_in_odd_parts', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem
-      EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 2 = 1)""",
+    UNION ALL SELECT 'line_without_order', count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem
+      WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+    UNION ALL SELECT 'player_without_snapshot', count(*) FROM (SELECT match_id, participant_id FROM p EXCEPT SELECT match_id, participant_id FROM s)""",
 )
 def orphan_keys(spark, sf):
     orders, lines = tables.read(spark, sf, "orders"), tables.read(spark, sf, "lineitem")
     one = manifest.orphan_keys(
         orders.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("o_orderkey")), key=["o_orderkey"]
     )
-    two = manifest.orphan_keys(lines, lines.filter("l_partkey % 2 = 1"), key=["l_orderkey", "l_linenumber"])
+    two = manifest.orphan_keys(lines.select(F.col("l_orderkey").alias("o_orderkey")), orders.select("o_orderkey"), key=["o_orderkey"])
+    three = manifest.orphan_keys(tables.participants(spark, sf), tables.snapshots(spark, sf), key=["match_id", "participant_id"])
 
     def counted(df, name):
         return df.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("keys"))
 
-    return counted(one, "order_without_line").unionByName(counted(two, "line_number_unseen_in_odd_parts"))
+    return union_all(counted(one, "order_without_line"), counted(two, "line_without_order"), counted(three, "player_without_snapshot"))
 
 
 @query(
@@ -91,41 +93,40 @@ def asof_backward(spark, sf):
 @query(
     "attach_dimension",
     """SELECT s.match_id, s.timestamp, s.participant_id, s.total_gold, p.team_id, p.team_position, p.champion_name
-    FROM s LEFT JOIN (SELECT * FROM p WHERE champion_id <> 7) p USING (match_id, participant_id)""",
+    FROM s LEFT JOIN p USING (match_id, participant_id)""",
 )
 def attach_dimension(spark, sf):
     return state.attach_dimension(
         tables.snapshots(spark, sf).select("match_id", "timestamp", "participant_id", "total_gold"),
-        tables.participants(spark, sf).filter("champion_id <> 7"),
+        tables.participants(spark, sf),
         key=["match_id", "participant_id"],
         columns=["team_id", "team_position", "champion_name"],
     )
 
 
+# an instant without any state has no sums
+_SUM = "CASE WHEN count(x.match_id) > 0 THEN coalesce(sum(x.{m}) FILTER (x.team_id IS {not_} DISTINCT FROM o.team_id), 0) END"
 _TEAM_SUMS = ", ".join(
-    f"coalesce(sum(x.{m}) FILTER (x.team_id IS NOT DISTINCT FROM o.team_id), 0)::BIGINT AS team_{m}_sum, "
-    f"coalesce(sum(x.{m}) FILTER (x.team_id IS DISTINCT FROM o.team_id), 0)::BIGINT AS enemy_{m}_sum, "
-    f"(coalesce(sum(x.{m}) FILTER (x.team_id IS NOT DISTINCT FROM o.team_id), 0) "
-    f"- coalesce(sum(x.{m}) FILTER (x.team_id IS DISTINCT FROM o.team_id), 0))::BIGINT AS team_{m}_diff"
+    f"CAST({a} AS BIGINT) AS team_{m}_sum, CAST({b} AS BIGINT) AS enemy_{m}_sum, CAST({a} - {b} AS BIGINT) AS team_{m}_diff"
     for m in TEAM_MEASURES
+    for a, b in [(_SUM.format(m=m, not_="NOT"), _SUM.format(m=m, not_=""))]
 )
 
 
 @query(
     "team_vs_enemy_at_ts",
     f"""SELECT o.match_id, o.participant_id, o.at_ms, o.team_id, {_TEAM_SUMS}
-    FROM (SELECT match_id, participant_id, team_id, 60000::BIGINT AS at_ms FROM p) o
-    JOIN (SELECT s.*, CASE WHEN p.champion_id <> 7 THEN p.team_id END AS team_id FROM s LEFT JOIN p USING (match_id, participant_id)) x
+    FROM (SELECT match_id, participant_id, team_id, unnest([0, 60000, 120000, 180000])::BIGINT AS at_ms FROM p) o
+    LEFT JOIN (SELECT s.*, p.team_id FROM s LEFT JOIN p USING (match_id, participant_id)) x
       ON x.match_id = o.match_id AND x.timestamp = o.at_ms
     GROUP BY ALL""",
 )
 def team_vs_enemy_at_ts(spark, sf):
     people = tables.participants(spark, sf)
-    teams = people.select(
-        "match_id", "participant_id", F.when(F.col("champion_id") != 7, F.col("team_id")).alias("team_id")
-    )
+    teams = people.select("match_id", "participant_id", "team_id")
     snaps = tables.snapshots(spark, sf).join(teams, ["match_id", "participant_id"], "left")
-    obs = people.select("match_id", "participant_id", "team_id", F.lit(60_000).cast("bigint").alias("at_ms"))
+    frames = F.explode(F.array(*[F.lit(f * 60_000).cast("bigint") for f in range(4)]))
+    obs = people.select("match_id", "participant_id", "team_id", frames.alias("at_ms"))
     return state.team_vs_enemy_at_ts(
         obs, snaps, match="match_id", obs_ts="at_ms", snap_ts="timestamp", team="team_id", measures=TEAM_MEASURES
     )
@@ -370,11 +371,11 @@ def episode_summary(spark, sf):
 
 @query(
     "latest_per_entity",
-    """SELECT match_id, participant_id, timestamp, total_gold FROM s WHERE timestamp <= 130000
+    """SELECT match_id, participant_id, timestamp, total_gold FROM s
     QUALIFY row_number() OVER (PARTITION BY match_id, participant_id ORDER BY timestamp DESC) = 1""",
 )
 def latest_per_entity(spark, sf):
-    snaps = tables.snapshots(spark, sf).filter("timestamp <= 130000")
+    snaps = tables.snapshots(spark, sf)
     return candidates.latest_per_entity(
         snaps.select("match_id", "participant_id", "timestamp", "total_gold"),
         by=["match_id", "participant_id"],

@@ -7,7 +7,8 @@ from cohortloom.functions.columns import route_region
 from cohortloom.functions.frames import dedupe_keep_last
 from cohortloom.params import INGEST_REGIONS
 from cohortloom.plans.study import Study
-from cohortloom.session import materialise, written
+from cohortloom.session import materialise, stage_path, written
+from cohortloom.sources.batches import write_batches
 
 from . import derive
 
@@ -71,6 +72,29 @@ def study_rules():
     ]
 
 
+def batched(spark: SparkSession, sf_dir: str, days: int = 4) -> dict[str, DataFrame]:
+    """The four base tables with the region and batch of their matches, a batch being some days."""
+    day = F.datediff("o_orderdate", F.to_date(F.lit("1995-01-01")))
+    keys = read(spark, sf_dir, "orders").select(F.expr(derive.O_MATCH).alias("match_id"), F.floor(day / days).cast("bigint").alias("batch_id"))
+    keys = route_region(keys, id_col="match_id", rules=INGEST_REGIONS).filter("region IS NOT NULL").select("match_id", "region", "batch_id")
+    own = {"matches": matches(spark, sf_dir).drop("region"), "participants": participants(spark, sf_dir), "snapshots": snapshots(spark, sf_dir), "events": events(spark, sf_dir)}
+    return {name: rows.join(keys, "match_id") for name, rows in own.items()}
+
+
+_folders: dict[tuple[str, str], str] = {}
+
+
+def batch_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The four tables as files, a folder per table, region and batch; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        folder = stage_path(spark, "batches")
+        for name, rows in batched(spark, sf_dir).items():
+            write_batches(rows, folder, name)
+        _folders[key] = folder
+    return _folders[key]
+
+
 _studies: dict[tuple[str, str], Study] = {}
 
 
