@@ -72,11 +72,15 @@ def study_rules():
     ]
 
 
-def batched(spark: SparkSession, sf_dir: str, days: int = 4) -> dict[str, DataFrame]:
-    """The four base tables with the region and batch of their matches, a batch being some days."""
+def batch_keys(spark: SparkSession, sf_dir: str, days: int = 4) -> DataFrame:
     day = F.datediff("o_orderdate", F.to_date(F.lit("1995-01-01")))
     keys = read(spark, sf_dir, "orders").select(F.expr(derive.O_MATCH).alias("match_id"), F.floor(day / days).cast("bigint").alias("batch_id"))
-    keys = route_region(keys, id_col="match_id", rules=INGEST_REGIONS).filter("region IS NOT NULL").select("match_id", "region", "batch_id")
+    return route_region(keys, id_col="match_id", rules=INGEST_REGIONS).filter("region IS NOT NULL").select("match_id", "region", "batch_id")
+
+
+def batched(spark: SparkSession, sf_dir: str, days: int = 4) -> dict[str, DataFrame]:
+    """The four base tables with the region and batch of their matches, a batch being some days."""
+    keys = batch_keys(spark, sf_dir, days)
     own = {"matches": matches(spark, sf_dir).drop("region"), "participants": participants(spark, sf_dir), "snapshots": snapshots(spark, sf_dir), "events": events(spark, sf_dir)}
     return {name: rows.join(keys, "match_id") for name, rows in own.items()}
 

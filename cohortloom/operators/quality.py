@@ -193,16 +193,14 @@ PARTS = (
 )
 
 
-def difference_consistency(
-    df: DataFrame, *, triples: Sequence[tuple[str, str, str, str]] = DIFFERENCES, sample: str = "case_id"
-) -> DataFrame:
+def difference_checks(columns: Sequence[str], triples: Sequence[tuple[str, str, str, str]] = DIFFERENCES) -> list[Check]:
     """Stored difference against team minus enemy, negative sums, current above total gold,
     and (informational) rows where lane plus jungle differs from the lane-only difference."""
     checks: list[Check] = []
     for name, team, enemy, diff in triples:
         checks.append((f"{name}_difference", "error", F.col(team) - F.col(enemy) != F.col(diff)))
         checks.append((f"{name}_negative", "error", (F.col(team) < 0) | (F.col(enemy) < 0)))
-    names = set(df.columns)
+    names = set(columns)
     if {"team_current_gold_sum", "team_total_gold_sum"} <= names:
         for side in ("team", "enemy"):
             checks.append(
@@ -215,89 +213,107 @@ def difference_consistency(
     if "team_jungle_minions_killed_sum" in names:
         jungle = F.col("team_jungle_minions_killed_sum") - F.col("enemy_jungle_minions_killed_sum")
         checks.append(("jungle_outside_cs_difference", "info", jungle != 0))
-    return flag_checks(df, checks, sample=F.col(sample))
+    return checks
+
+
+def difference_consistency(
+    df: DataFrame, *, triples: Sequence[tuple[str, str, str, str]] = DIFFERENCES, sample: str = "case_id"
+) -> DataFrame:
+    return flag_checks(df, difference_checks(df.columns, triples), sample=F.col(sample))
+
+
+def part_checks(pairs: Sequence[tuple[str, str]] = PARTS) -> list[Check]:
+    return [(f"{a}_above_{b}", "error", F.col(a) > F.col(b)) for a, b in pairs]
 
 
 def part_le_whole(df: DataFrame, *, pairs: Sequence[tuple[str, str]] = PARTS, sample: str = "case_id") -> DataFrame:
-    return flag_checks(
-        df, [(f"{a}_above_{b}", "error", F.col(a) > F.col(b)) for a, b in pairs], sample=F.col(sample)
-    )
+    return flag_checks(df, part_checks(pairs), sample=F.col(sample))
 
 
-def episode_invariants(episodes: DataFrame, events: DataFrame, *, max_participant: int = 10) -> DataFrame:
-    """``events`` is the item catalogue the episodes were built from."""
-    key = ["match_id", "participant_id", "purchase_timestamp"]
+EPISODE_KEY = ("match_id", "participant_id", "purchase_timestamp")
+
+
+def episode_checks(max_participant: int = 10) -> list[Check]:
     sold = F.col("status") == "SOLD"
     sale, held, bought = F.col("sale_timestamp"), F.col("time_held_ms"), F.col("purchase_timestamp")
-    rows = flag_checks(
-        episodes,
-        [
-            ("unknown_status", "error", ~F.coalesce(F.col("status").isin(*EPISODE_STATUSES), F.lit(False))),
-            ("participant_out_of_range", "error", ~F.col("participant_id").between(1, max_participant)),
-            ("negative_purchase_time", "error", bought < 0),
-            ("invalid_sale", "error", sold & (sale.isNull() | held.isNull() | (held < 0) | (sale < bought))),
-            ("sale_without_sold", "error", ~sold & sale.isNotNull()),
-        ],
-        sample=observation_key(*key),
-    )
+    return [
+        ("unknown_status", "error", ~F.coalesce(F.col("status").isin(*EPISODE_STATUSES), F.lit(False))),
+        ("participant_out_of_range", "error", ~F.col("participant_id").between(1, max_participant)),
+        ("negative_purchase_time", "error", bought < 0),
+        ("invalid_sale", "error", sold & (sale.isNull() | held.isNull() | (held < 0) | (sale < bought))),
+        ("sale_without_sold", "error", ~sold & sale.isNotNull()),
+    ]
+
+
+def episode_invariants(episodes: DataFrame, events: DataFrame, *, max_participant: int = 10) -> DataFrame:
+    """``events`` is the item catalogue the episodes were built from."""
+    key = list(EPISODE_KEY)
+    rows = flag_checks(episodes, episode_checks(max_participant), sample=observation_key(*key))
     copies = count_check(
         duplicate_keys(episodes, key=key), name="duplicate_episode", severity="error", sample=observation_key(*key)
     )
-    balance = episodes.select(F.lit(1).alias("_d")).unionByName(
-        events.filter(F.upper(F.trim("event_type")) == "ITEM_PURCHASED").select(F.lit(-1).alias("_d"))
-    )
-    counted = balance.agg(
-        F.lit("episodes_differ_from_purchases").alias("check_name"),
+    return union_all(rows, copies, purchases_differ(episodes, events))
+
+
+def rows_differ(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """A tidy row with the difference of two row counts."""
+    both = one.select(F.lit(1).alias("_d")).unionByName(other.select(F.lit(-1).alias("_d")))
+    return both.agg(
+        F.lit(name).alias("check_name"),
         F.lit("all").alias("scope"),
         F.lit("error").alias("severity"),
         F.abs(F.coalesce(F.sum("_d"), F.lit(0))).alias("failing_count"),
         F.lit(None).cast("string").alias("sample"),
     )
-    return union_all(rows, copies, counted)
 
 
-def manifest_invariants(manifest: DataFrame, *, rules: Sequence[tuple[str, Column]] | None = None) -> DataFrame:
-    broken = [
+def purchases_differ(episodes: DataFrame, events: DataFrame) -> DataFrame:
+    bought = events.filter(F.upper(F.trim("event_type")) == "ITEM_PURCHASED")
+    return rows_differ(episodes, bought, "episodes_differ_from_purchases")
+
+
+def manifest_checks(rules: Sequence[tuple[str, Column]] | None = None) -> list[Check]:
+    return [
         (f"eligible_{name}", "error", F.col("analysis_eligible") & ~F.coalesce(ok, F.lit(False)))
         for name, ok in (rules or standard_rules())
     ]
-    rows = flag_checks(manifest, broken, sample=F.col("match_id"))
+
+
+def manifest_invariants(manifest: DataFrame, *, rules: Sequence[tuple[str, Column]] | None = None) -> DataFrame:
+    rows = flag_checks(manifest, manifest_checks(rules), sample=F.col("match_id"))
     copies = count_check(
         duplicate_keys(manifest, key=["match_id"]), name="duplicate_match", severity="error", sample=F.col("match_id")
     )
     return union_all(rows, copies)
 
 
-def case_invariants(
-    cases: DataFrame,
-    episodes: DataFrame,
-    *,
-    max_age: int = ASOF.max_age_ms,
-    queue: int = RANKED_QUEUE,
-    result: str = COMPLETE_RESULT,
-    max_participant: int = 10,
-) -> DataFrame:
-    rows = flag_checks(
-        cases,
-        [
-            ("participant_out_of_range", "error", ~F.col("participant_id").between(1, max_participant)),
-            (
-                "age_mismatch",
-                "error",
-                F.col("purchase_timestamp") - F.col("snapshot_timestamp") != F.col("snapshot_age_ms"),
-            ),
-            ("age_out_of_range", "error", ~F.col("snapshot_age_ms").between(0, max_age)),
-            ("wrong_queue", "error", ~F.coalesce(F.col("queue_id") == queue, F.lit(False))),
-            ("incomplete_game", "error", ~F.coalesce(F.col("outcome_game_result") == result, F.lit(False))),
-            ("missing_outcome", "error", F.col("outcome_win").isNull()),
-        ],
-        sample=F.col("case_id"),
-    )
+def case_checks(
+    *, max_age: int = ASOF.max_age_ms, queue: int = RANKED_QUEUE, result: str = COMPLETE_RESULT, max_participant: int = 10
+) -> list[Check]:
+    age = F.col("purchase_timestamp") - F.col("snapshot_timestamp")
+    return [
+        ("participant_out_of_range", "error", ~F.col("participant_id").between(1, max_participant)),
+        ("age_mismatch", "error", age != F.col("snapshot_age_ms")),
+        ("age_out_of_range", "error", ~F.col("snapshot_age_ms").between(0, max_age)),
+        ("wrong_queue", "error", ~F.coalesce(F.col("queue_id") == queue, F.lit(False))),
+        ("incomplete_game", "error", ~F.coalesce(F.col("outcome_game_result") == result, F.lit(False))),
+        ("missing_outcome", "error", F.col("outcome_win").isNull()),
+    ]
+
+
+def case_invariants(cases: DataFrame, episodes: DataFrame, **bounds) -> DataFrame:
+    """``bounds`` are those of ``case_checks``."""
+    rows = flag_checks(cases, case_checks(**bounds), sample=F.col("case_id"))
     copies = count_check(
         duplicate_keys(cases, key=["case_id"]), name="duplicate_case", severity="error", sample=F.col("case_id")
     )
+    return union_all(rows, copies, case_sides(cases, episodes))
+
+
+def case_sides(cases: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Episodes that are no case, and cases that are no episode."""
     expected = episodes.select(observation_key("match_id", "participant_id", "purchase_timestamp").alias("case_id"))
-    sides = flag_checks(
+    return flag_checks(
         id_set_difference(expected, cases.select("case_id"), key=["case_id"]),
         [
             ("missing_case", "error", F.col("side") == "missing"),
@@ -305,41 +321,32 @@ def case_invariants(
         ],
         sample=F.col("case_id"),
     )
-    return union_all(rows, copies, sides)
 
 
-def feature_invariants(
-    before: DataFrame, after: DataFrame, *, features: Sequence[str], flags: Sequence[str], sample: str
-) -> DataFrame:
+def feature_checks(features: Sequence[str], flags: Sequence[str]) -> list[Check]:
     checks: list[Check] = []
     for name in features:
         checks.append((f"{name}_missing", "error", F.col(name).isNull()))
         checks.append((f"{name}_negative", "error", F.col(name) < 0))
-    checks += [(f"{name}_not_a_flag", "error", ~F.col(name).isin(0, 1)) for name in flags]
-    rows = flag_checks(after, checks, sample=F.col(sample))
-    drift = before.select(F.lit(-1).alias("_d")).unionByName(after.select(F.lit(1).alias("_d")))
-    counted = drift.agg(
-        F.lit("row_count_changed").alias("check_name"),
-        F.lit("all").alias("scope"),
-        F.lit("error").alias("severity"),
-        F.abs(F.coalesce(F.sum("_d"), F.lit(0))).alias("failing_count"),
-        F.lit(None).cast("string").alias("sample"),
-    )
-    return union_all(rows, counted)
+    return checks + [(f"{name}_not_a_flag", "error", ~F.col(name).isin(0, 1)) for name in flags]
 
 
-def selection_invariants(selected: DataFrame, *, exact: bool, p: Matching = MATCHING) -> DataFrame:
-    sets = selected.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("matching_weight").alias("w")
-    )
-    per_set = flag_checks(
-        sets,
-        [
-            ("controls_out_of_range", "error", ~F.col("n").between(1, p.k)),
-            ("weights_do_not_sum_to_one", "error", F.abs(F.col("w") - 1) > 1e-8 + 1e-5),
-        ],
-        sample=F.col("case_id"),
-    )
+def feature_invariants(
+    before: DataFrame, after: DataFrame, *, features: Sequence[str], flags: Sequence[str], sample: str
+) -> DataFrame:
+    rows = flag_checks(after, feature_checks(features, flags), sample=F.col(sample))
+    return union_all(rows, rows_differ(after, before, "row_count_changed"))
+
+
+def set_checks(p: Matching = MATCHING) -> list[Check]:
+    """Of sets with ``n`` controls and the sum ``w`` of their weights."""
+    return [
+        ("controls_out_of_range", "error", ~F.col("n").between(1, p.k)),
+        ("weights_do_not_sum_to_one", "error", F.abs(F.col("w") - 1) > 1e-8 + 1e-5),
+    ]
+
+
+def control_checks(*, exact: bool, p: Matching = MATCHING) -> list[Check]:
     checks: list[Check] = [
         ("missing_score", "error", F.col("selection_score").isNull()),
         ("score_above_best", "error", F.col("selection_score_above_best") > p.score_above_best),
@@ -347,7 +354,15 @@ def selection_invariants(selected: DataFrame, *, exact: bool, p: Matching = MATC
     ]
     if exact:
         checks.append(("history_differs", "error", ~F.col("dark_seal_history_match")))
-    rows = flag_checks(selected, checks, sample=F.col("case_id"))
+    return checks
+
+
+def selection_invariants(selected: DataFrame, *, exact: bool, p: Matching = MATCHING) -> DataFrame:
+    sets = selected.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("matching_weight").alias("w")
+    )
+    per_set = flag_checks(sets, set_checks(p), sample=F.col("case_id"))
+    rows = flag_checks(selected, control_checks(exact=exact, p=p), sample=F.col("case_id"))
     copies = count_check(
         duplicate_keys(selected, key=["case_id", *CONTROL_KEY]),
         name="duplicate_control",
@@ -357,42 +372,48 @@ def selection_invariants(selected: DataFrame, *, exact: bool, p: Matching = MATC
     return union_all(per_set, rows, copies)
 
 
-def matched_long_invariants(long: DataFrame, selected: DataFrame, *, k: int = MATCHING.k) -> DataFrame:
+def long_columns() -> dict[str, Column]:
     case, control = F.col("treatment") == 1, F.col("treatment") == 0
-    sets = long.groupBy("matched_set_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(case).alias("cases"),
-        F.count_if(control).alias("controls"),
-        F.sum(F.when(case, F.col("matching_weight"))).alias("cw"),
-        F.sum(F.when(control, F.col("matching_weight"))).alias("kw"),
-    )
+    return {
+        "rows": F.count(F.lit(1)),
+        "cases": F.count_if(case),
+        "controls": F.count_if(control),
+        "cw": F.sum(F.when(case, F.col("matching_weight"))),
+        "kw": F.sum(F.when(control, F.col("matching_weight"))),
+    }
+
+
+def with_wanted(sets: DataFrame, selected: DataFrame) -> DataFrame:
+    """Sets with the number of controls selected for them; sets of either side."""
     expected = selected.groupBy(F.col("case_id").alias("matched_set_id")).agg(F.count(F.lit(1)).alias("wanted"))
-    compared = sets.join(expected, "matched_set_id", "full_outer")
+    return sets.join(expected, "matched_set_id", "full_outer")
 
+
+def long_set_checks(k: int = MATCHING.k) -> list[Check]:
     def off(name):
         return ~F.coalesce(F.abs(F.col(name) - 1) <= 1e-8 + 1e-5, F.lit(False))
 
-    per_set = flag_checks(
-        compared,
-        [
-            ("row_count_differs", "error", ~F.coalesce(F.col("rows") == F.col("wanted") + 1, F.lit(False))),
-            ("not_one_case", "error", ~F.coalesce(F.col("cases") == 1, F.lit(False))),
-            ("controls_out_of_range", "error", ~F.coalesce(F.col("controls").between(1, k), F.lit(False))),
-            ("case_weight", "error", off("cw")),
-            ("control_weight", "error", off("kw")),
-        ],
-        sample=F.col("matched_set_id"),
-    )
-    rows = flag_checks(
-        long,
-        [
-            ("treatment_not_binary", "error", ~F.col("treatment").isin(0, 1)),
-            ("weight_not_positive", "error", F.col("matching_weight") <= 0),
-            ("missing_outcome", "error", F.col("outcome_win").isNull()),
-        ],
-        sample=F.col("matched_set_id"),
-    )
-    return union_all(per_set, rows)
+    return [
+        ("row_count_differs", "error", ~F.coalesce(F.col("rows") == F.col("wanted") + 1, F.lit(False))),
+        ("not_one_case", "error", ~F.coalesce(F.col("cases") == 1, F.lit(False))),
+        ("controls_out_of_range", "error", ~F.coalesce(F.col("controls").between(1, k), F.lit(False))),
+        ("case_weight", "error", off("cw")),
+        ("control_weight", "error", off("kw")),
+    ]
+
+
+def long_row_checks() -> list[Check]:
+    return [
+        ("treatment_not_binary", "error", ~F.col("treatment").isin(0, 1)),
+        ("weight_not_positive", "error", F.col("matching_weight") <= 0),
+        ("missing_outcome", "error", F.col("outcome_win").isNull()),
+    ]
+
+
+def matched_long_invariants(long: DataFrame, selected: DataFrame, *, k: int = MATCHING.k) -> DataFrame:
+    sets = long.groupBy("matched_set_id").agg(*[c.alias(n) for n, c in long_columns().items()])
+    per_set = flag_checks(with_wanted(sets, selected), long_set_checks(k), sample=F.col("matched_set_id"))
+    return union_all(per_set, flag_checks(long, long_row_checks(), sample=F.col("matched_set_id")))
 
 
 def quality_report(*checks: DataFrame) -> DataFrame:
