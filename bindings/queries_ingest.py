@@ -114,7 +114,8 @@ def timelines(spark, sf):
     )
     frames = [frame(0, [ward]), frame(1, [buy]), frame(2, [follow]), frame(3, [kill])]
     text = "concat('{\"info\":{\"frames\":[', " + ", ',', ".join(frames) + ", ']}}')"
-    lines = tables.read(spark, sf, "lineitem")
+    # raw lines are dealt by key before documents are made of them: the given file is one row group
+    lines = tables.read(spark, sf, "lineitem").repartition("l_orderkey", "l_linenumber")
     raw = lines.selectExpr(f"{L_MATCH} AS match_id", f"{text} AS value")
     return docs.parse_documents(raw, schema=docs.TIMELINE_DOCUMENT, keep=["match_id"])
 

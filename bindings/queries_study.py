@@ -649,10 +649,10 @@ def sample_summary(spark, sf):
     return union_all(*[matching.sample_summary(targets, selected, long) for selected, long in s.samples.values()])
 
 
-def _each_sample(spark, sf, run):
-    """``run`` over the long table of each design, with the design's name."""
+def _all_samples(spark, sf):
+    """The long tables of all designs, with the design's name."""
     samples = tables.study(spark, sf).samples.items()
-    return union_all(*[run(long).withColumn("sample", F.lit(name)) for name, (_, long) in samples])
+    return union_all(*[long.withColumn("sample", F.lit(name)) for name, (_, long) in samples])
 
 
 # --- balance -------------------------------------------------------------------------
@@ -703,7 +703,7 @@ _SMD_SQL = f"SELECT covariate, {rounded(_SMD)}, balance_status, case_non_missing
 
 @query("smd_balance", per_sample(_SMD_SQL))
 def smd_balance(spark, sf):
-    return _each_sample(spark, sf, balance.smd_balance)
+    return balance.smd_balance(_all_samples(spark, sf), by=["sample"])
 
 
 @query("top_n_examples", _SMD_SQL + " ORDER BY round(smd.absolute_smd, 4) DESC, covariate LIMIT 10")
@@ -721,7 +721,7 @@ def top_n_examples(spark, sf):
     ),
 )
 def categorical_balance(spark, sf):
-    return _each_sample(spark, sf, balance.categorical_balance)
+    return balance.categorical_balance(_all_samples(spark, sf), by=["sample"])
 
 
 @query(
@@ -729,7 +729,7 @@ def categorical_balance(spark, sf):
     per_sample("SELECT field, matched_sets, mismatched_sets, round(mismatched_sets / matched_sets, 6) AS mismatch_rate FROM consist"),
 )
 def set_consistency(spark, sf):
-    return _each_sample(spark, sf, balance.set_consistency)
+    return balance.set_consistency(_all_samples(spark, sf), by=["sample"])
 
 
 @query(
@@ -748,12 +748,9 @@ def set_consistency(spark, sf):
     FROM plong"""),
 )
 def balance_summary(spark, sf):
-    def summary(long):
-        return balance.balance_summary(
-            balance.smd_balance(long), balance.categorical_balance(long), balance.set_consistency(long), long
-        )
-
-    return _each_sample(spark, sf, summary)
+    long, by = _all_samples(spark, sf), ["sample"]
+    parts = balance.smd_balance(long, by=by), balance.categorical_balance(long, by=by), balance.set_consistency(long, by=by)
+    return balance.balance_summary(*parts, long, by=by)
 
 
 # --- outcomes ------------------------------------------------------------------------

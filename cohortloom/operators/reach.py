@@ -1,9 +1,31 @@
 """Breadth-first reach over a bipartite player/match graph."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import keep_stage, materialise, stage_path
+
+
+def hop_zero(rows: DataFrame, name: str) -> DataFrame:
+    """A new table with a folder per hop, the first one written."""
+    path = keep_stage(rows.sparkSession, stage_path(rows.sparkSession, name))
+    rows.write.parquet(f"{path}/hop=0")
+    return all_hops(rows.sparkSession, path, rows.schema)
+
+
+def all_hops(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    schema = T.StructType([*[f for f in schema.fields if f.name != "hop"], T.StructField("hop", T.IntegerType())])
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def delta(found: DataFrame, reached: DataFrame, key: str, hop: int) -> tuple[DataFrame, DataFrame]:
+    """What of ``found`` was not reached before, appended as the folder of this hop, and all that
+    is reached with it."""
+    spark = found.sparkSession
+    path = reached.inputFiles()[0].rsplit("/hop=", 1)[0]
+    found.join(reached, key, "left_anti").select(key).write.parquet(f"{path}/hop={hop}")
+    return spark.read.schema(found.select(key).schema).parquet(f"{path}/hop={hop}"), all_hops(spark, path, found.select(key).schema)
 
 
 def frontier_expand(
@@ -24,8 +46,9 @@ def frontier_expand(
     the new ones. It goes on until nothing new is found, or until the match target is met or
     ``max_hops`` are done, if the caller names them; ``complete`` says whether the frontier was
     empty at the end. Each hop is one pair of joins against two prepared edge tables; only its
-    row count returns to the driver, and what was reached is one stored table per kind, so the
-    plan does not grow with the hops. Whole hops are kept when the match target is met.
+    row count returns to the driver. What was reached is one table per kind, to which each hop
+    appends a folder: the plan does not grow with the hops, and the bytes written grow with the
+    reach alone. Whole hops are kept when the match target is met.
     """
     newest = Window.partitionBy("player").orderBy(F.col("recency").desc(), F.col("match").desc())
     distinct = (
@@ -43,18 +66,16 @@ def frontier_expand(
         distinct.select("match", "player").join(outgoing.select("match").distinct(), "match", "left_semi"), "reach_in"
     )
     seed_rows = seeds.select(F.col(player).alias("player")).filter("player IS NOT NULL").distinct()
-    players = materialise(seed_rows.withColumn("hop", F.lit(0)), "reach_players")
-    matches = materialise(outgoing.select("match").limit(0).withColumn("hop", F.lit(0)), "reach_matches")
+    players = hop_zero(seed_rows, "reach_players")
+    matches = hop_zero(outgoing.select("match").limit(0), "reach_matches")
     frontier, hop, found = players, 0, 0
     complete = frontier.isEmpty()
     while not complete and (max_hops is None or hop < max_hops) and (match_target is None or found < match_target):
         hop += 1
         stepped = outgoing.join(frontier, "player", "left_semi").select("match").distinct()
-        new_matches = materialise(stepped.join(matches, "match", "left_anti").withColumn("hop", F.lit(hop)), "reach_new")
+        new_matches, matches = delta(stepped, matches, "match", hop)
         reached = incoming.join(new_matches, "match", "left_semi").select("player").distinct()
-        frontier = materialise(reached.join(players, "player", "left_anti").withColumn("hop", F.lit(hop)), "reach_new")
-        matches = materialise(matches.unionByName(new_matches), "reach_matches")
-        players = materialise(players.unionByName(frontier), "reach_players")
+        frontier, players = delta(reached, players, "player", hop)
         found = matches.count() if match_target is not None else 0
         complete = frontier.isEmpty()
     same = players.schema["player"].dataType == matches.schema["match"].dataType

@@ -47,13 +47,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
+    keep_stage(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: list[str] = []
 
 
+def keep_stage(spark: SparkSession, path: str) -> str:
+    """Notes a folder as a stage table, which ``remove_stages`` may remove."""
+    _written.append(path)
+    return path
+
+
 def written() -> int:
     """How many stage tables this driver has written: a mark for ``remove_stages``."""
     return len(_written)
