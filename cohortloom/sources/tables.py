@@ -2,14 +2,23 @@
 
 import json
 import re
+import sys
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.frames import require_columns, union_all
+from ..session import materialise
+
+# the functions that read footers travel with their tasks; executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MATCHES = (
     "match_id string, game_id bigint, game_creation bigint, game_start_timestamp bigint, "
@@ -59,39 +68,79 @@ def scan_tolerant_columns(
     return union_all(*parts)
 
 
-def _footers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Parquet files below a folder by their schema. One footer per file is read, many at a time."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    files = [r["path"] for r in listed.load(path).select("path").collect()]
-    with ThreadPoolExecutor(16) as pool:
-        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema.json(), files))
-    groups: dict[str, list[str]] = {}
-    for file, footer in zip(files, schemas):
-        groups.setdefault(footer, []).append(file)
-    return groups
+FOOTER = "path string, columns array<struct<name string, type string>>"
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, columns) of the Parquet files below a folder: names and Spark types of the columns
+    of each. Tasks read the footers. Files in a store that only Spark can open are read whole, by
+    its own reader, and their footers taken from the bytes."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+
+    def opened(batches):
+        for batch in batches:
+            files = batch.column("path").to_pylist()
+            yield footer_rows(files, [open_footer(file) for file in files])
+
+    def given(batches):
+        for batch in batches:
+            sources = [pa.BufferReader(content.as_buffer()) for content in batch.column("content")]
+            yield footer_rows(batch.column("path").to_pylist(), [columns_of(pq.read_schema(source)) for source in sources])
+
+    found = materialise(listed.select("path").mapInArrow(opened, FOOTER), "footers")
+    closed = found.filter("columns IS NULL")
+    if closed.isEmpty():
+        return found
+    rest = listed.select("path", "content").join(closed.select("path"), "path", "left_semi").mapInArrow(given, FOOTER)
+    return found.filter("columns IS NOT NULL").unionByName(materialise(rest, "footers"))
+
+
+def open_footer(file: str) -> list[dict] | None:
+    """The columns of a file that Arrow can open by its address, else None."""
+    try:
+        if file.startswith("file:"):
+            return columns_of(pq.read_schema(file[5:].replace("//", "/", 1) if file.startswith("file://") else file[5:]))
+        store, name = fs.FileSystem.from_uri(file)
+        return columns_of(pq.read_schema(name, filesystem=store))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def columns_of(schema: pa.Schema) -> list[dict]:
+    """Names and Spark types of the columns: those that Spark noted in the file, else Arrow's."""
+    noted = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    kind = T.StructType.fromJson(json.loads(noted)) if noted else from_arrow_schema(schema)
+    return [{"name": f.name, "type": f.dataType.simpleString()} for f in kind.fields]
+
+
+def footer_rows(files: list[str], columns: list) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(columns, kind)], ["path", "columns"])
 
 
 def _same_schema_scans(spark: SparkSession, path: str) -> list[DataFrame]:
-    groups = _footers(spark, path)
+    """A scan for each distinct schema; only these, with the names of their files, reach the driver."""
+    found = footers(spark, path)
+    order = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), ",")
+    groups = found.groupBy(order.alias("schema")).agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("schema").collect()
     if not groups:
         raise ValueError(f"no Parquet files in {path}")
-    partitioned = any(re.search(r"/[^/]+=[^/]+/[^/]+$", file) for files in groups.values() for file in files)
+    partitioned = any(re.search(r"/[^/]+=[^/]+/[^/]+$", file) for group in groups for file in group["files"])
     reader = spark.read.option("basePath", path) if partitioned else spark.read
-    return [reader.parquet(*files) for _, files in sorted(groups.items())]
+    return [reader.parquet(*group["files"]) for group in groups]
 
 
 def column_types(spark: SparkSession, path: str) -> DataFrame:
     """Tidy types of the columns of a folder of Parquet files: column_name, types (sorted,
     joined by |), files_missing (files without the column) and drifts."""
-    types: dict[str, dict[str, int]] = {}
-    total = 0
-    for footer, files in _footers(spark, path).items():
-        total += len(files)
-        for f in T.StructType.fromJson(json.loads(footer)).fields:
-            seen = types.setdefault(f.name, {})
-            seen[f.dataType.simpleString()] = seen.get(f.dataType.simpleString(), 0) + len(files)
-    rows = [(name, "|".join(sorted(seen)), total - sum(seen.values()), len(seen) > 1) for name, seen in sorted(types.items())]
-    return spark.createDataFrame(rows, "column_name string, types string, files_missing int, drifts boolean")
+    found = footers(spark, path)
+    files = found.agg(F.count(F.lit(1))).scalar()
+    types = found.select(F.explode("columns").alias("c")).groupBy(F.col("c.name").alias("column_name")).agg(
+        F.array_sort(F.collect_set("c.type")).alias("types"), F.count(F.lit(1)).alias("files")
+    )
+    return types.select(
+        "column_name", F.array_join("types", "|").alias("types"), (files - F.col("files")).cast("int").alias("files_missing"), (F.size("types") > 1).alias("drifts")
+    )
 
 
 def scan_region_partition(

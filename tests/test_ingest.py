@@ -149,3 +149,25 @@ def test_a_batch_lost_from_one_table_is_loaded_again(spark):
     done = src.loaded_batches(files, tables=names)
     got = src.incremental_load(new, done, key=["region", "batch_id"]).collect()
     assert sorted(map(tuple, got)) == [("euw", 2), ("na", 2)]
+
+
+def test_footers_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for i in range(40):
+        spark.range(i, i + 1).selectExpr("id AS k", "id AS extra" if i % 4 == 0 else "CAST(id AS STRING) AS x").coalesce(1).write.parquet(f"{path}/n{i}")
+    types = {tuple(r) for r in src.column_types(spark, path).collect()}
+    assert types == {("k", "bigint", 0, False), ("extra", "bigint", 30, False), ("x", "string", 10, False)}
+    scans = []
+    real = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *files, **kw: scans.append(len(files)) or real(self, *files, **kw))
+    got = src.scan_tolerant_columns(spark, path, schema="k bigint, x string, extra bigint", required=["k"])
+    assert sorted(n for n in scans if n > 1) == [10, 30]  # one scan for each schema
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, None, i) if i % 4 == 0 else (i, str(i), None) for i in range(40))
+
+
+def test_footers_of_files_that_arrow_cannot_open(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    want = {tuple(r) for r in src.column_types(spark, path).collect()}
+    monkeypatch.setattr(src, "open_footer", lambda file: None)
+    assert {tuple(r) for r in src.column_types(spark, path).collect()} == want == {("id", "bigint", 0, False)}
