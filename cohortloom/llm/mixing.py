@@ -3,14 +3,14 @@
 Every document of a source has the same expected number of copies, its source's target over
 its source's size, so the prefix sum of expected copies is the document's rank times that
 number. Ranks run over documents in order of size, which makes the sample a stratified one: the
-words taken miss the target by about one document. Ranks come from counts: documents are dealt
-to chunks of (source, size band, share), chunk counts give offsets, and only within a chunk are
-rows put in order, so that no source is ever in one task.
+words taken miss the target by about one document. Documents of one size are in order of the MD5
+of their id, so the order depends on the documents alone. Ranks come from counts: documents are
+dealt to chunks of (source, size, first digits of the MD5), chunk counts give offsets, and only
+within a chunk are rows put in order, so that no source and no size is ever in one task.
 
 Per source, not per document, there is one row; those rows are ranked in one task.
 """
 
-import math
 import random
 
 from pyspark.sql import DataFrame, Window
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import materialise
 
-CHUNK_ROWS = 20_000
+DIGITS = 3  # of the MD5: 16**3 chunks for a source and size
 
 
 def word_count(text):
@@ -70,7 +70,7 @@ def mix_sources(
 ) -> DataFrame:
     """Per row: ``id_col``, size (words), source_size, target (its source's) and copies (how
     often the mix takes it, 0 to ``most``). Reruns agree: the one random offset comes from
-    ``seed`` and the order within a source from size, id and text.
+    ``seed`` and the order within a source from size, MD5 of the id, id and text.
 
     Null text has size 0; a null source is a source of its own and comes last; null and
     repeated ids are rows like others. A source without words has target 0 and no copies. An
@@ -85,27 +85,24 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    shares = max(1, math.ceil(sized.count() / CHUNK_ROWS))
-    chunk = ["source", "band", "part"]
-    rows = sized.withColumn("band", F.floor(8 * F.log2(F.col("size") + 1))).withColumn("part", F.pmod(F.xxhash64("id", "copy"), F.lit(shares)))
+    chunk = ["source", "size", "part"]
+    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    rows = sized.withColumn("key", digest).withColumn("part", F.substring("key", 1, DIGITS))
     counts = rows.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"))
     up_to = (Window.unboundedPreceding, -1)
-    bands = (
-        counts.groupBy("source", "band")
-        .agg(F.sum("n").alias("n"))
-        .select("source", "band", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("band").rowsBetween(*up_to)), F.lit(0)).alias("earlier"))
-    )
-    parts = counts.select(*chunk, F.coalesce(F.sum("n").over(Window.partitionBy("source", "band").orderBy("part").rowsBetween(*up_to)), F.lit(0)).alias("inner"))
-    a, b = parts.alias("a"), bands.alias("b")
-    offsets = a.join(b, F.expr("a.source <=> b.source AND a.band = b.band")).select("a.*", (F.col("inner") + F.col("earlier")).alias("offset"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*chunk).orderBy("size", "id", "copy")) - 1)
+    alike = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    alike = alike.select("source", "size", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("size").rowsBetween(*up_to)), F.lit(0)).alias("earlier"))
+    parts = counts.select(*chunk, F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(*up_to)), F.lit(0)).alias("inner"))
+    a, b = parts.alias("a"), alike.alias("b")
+    offsets = a.join(b, F.expr("a.source <=> b.source AND a.size = b.size")).select("a.*", (F.col("inner") + F.col("earlier")).alias("offset"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*chunk).orderBy("key", "id", "copy")) - 1)
     a, b, c = ranked.alias("a"), offsets.alias("b"), source_targets(sized, weights=weights, share=share, most=most).alias("c")
     u = random.Random(seed).random()
     rank = F.col("rank") + F.col("offset")
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((rank + 1) * step + u) - F.floor(rank * step + u)
     return (
-        a.join(b, F.expr("a.source <=> b.source AND a.band = b.band AND a.part = b.part"))
+        a.join(b, F.expr("a.source <=> b.source AND a.size = b.size AND a.part = b.part"))
         .join(c, F.expr("a.source <=> c.source"))
         .select(
             F.col("a.id").alias(id_col),

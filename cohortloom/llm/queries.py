@@ -153,7 +153,6 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op6_mixing",
-    # up to 20,000 documents, in one share, the order is that of size and id
     """
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
     per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -164,7 +163,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT *, rest * w >= cap * w_left AS capped FROM b),
     g AS (SELECT *, sum(w) FILTER (NOT capped) OVER () AS open_w, total - coalesce(sum(cap) FILTER (capped) OVER (), 0)::DOUBLE AS open FROM c),
     targets AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE open * w / open_w::DOUBLE END AS target FROM g),
-    ranked AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k,
+    ranked AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY size, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS k,
                       CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e
                FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target,

@@ -54,7 +54,7 @@ def link_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     chain = _suffixes(F.col("src"))
     above = (
         hosts.distinct()
-        .select(F.explode(F.zip_with(chain, F.slice(chain, 2, 200), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("e"))
+        .select(F.explode(F.zip_with(chain, F.slice(chain, 2, F.size(chain)), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("e"))
         .select("e.src", "e.dst")
         .filter("dst IS NOT NULL")
         .distinct()
@@ -63,10 +63,12 @@ def link_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     return links.unionAll(family).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.5, tolerance: float = 1e-3, rounds: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """(host, trust, distrust) of hosts reached from ``seeds`` (host, kind: trust or distrust).
     Scores of a kind sum to 1 at most; the loop ends when they move by less than ``tolerance``
-    in all, which the damping brings about after log(tolerance) / log(damping) rounds."""
+    in all, which a damping below 1 brings about after log(tolerance) / log(damping) rounds."""
+    if not 0 <= damping < 1:
+        raise ValueError("the scores converge for a damping from 0 to below 1 only")
     directed = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = directed.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     directed = materialise(directed.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "links")
@@ -74,7 +76,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.5, toler
     totals = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     base = materialise(seeds.join(totals, "kind").select("kind", "host", (1 / F.col("n")).alias("seed")), "seeds")
     now = base.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
+    while True:
         flow = (
             now.withColumnRenamed("host", "src")
             .join(directed, ["kind", "src"])

@@ -341,3 +341,11 @@ def test_viterbi_is_the_best_path():
         e = field.emit[x].sum(1)
         value = lambda p: sum(e[i, c] for i, c in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(personal_data.LABELS), repeat=len(x)))), abs=1e-4)
+
+
+def test_a_deep_host_keeps_all_its_domains(spark):
+    from cohortloom.llm.url_filter import link_edges
+
+    host = ".".join(f"l{i}" for i in range(302))
+    pages = spark.createDataFrame([(host, "")], "host string, html string")
+    assert link_edges(pages, "host", "html").count() == 2 * 301

@@ -5,6 +5,7 @@ from collections import Counter
 import compare
 import llm_cases as cases
 import pytest
+from pyspark.sql import functions as F
 from test_llm_texts import brute_components, brute_contamination
 
 import corpus_pipeline
@@ -71,9 +72,22 @@ def test_stages_keep_columns_and_follow_their_operators(spark, folder):
     assert groups <= {i for i, _ in near}
 
 
+def test_stages_with_every_clashing_name(spark, folder):
+    rows = [(i, f"some text number {i % 7}\nline {i}", "ab"[i % 2]) for i in range(30)]
+    clashing = ["id_hash", "text_hash", "kept", "all_gone", "repeated", "copy", "Text_Hash_", "stage_kept", "stage_repeated", "group_id", "copies", "predicted", "n_hit", "first", "a", "b", "c"]
+    docs = cases.frame(spark, rows).select("doc_id", "text", "source", "n_chars", *[F.lit(f"own {n}").alias(n) for n in clashing])
+    write_benchmark(spark, folder, [(1, "no such words anywhere here")])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        found = out.collect()
+        assert found and all(x[n] == f"own {n}" for x in found for n in clashing), name
+    assert out.columns[-1] == "copy_"
+
+
 def test_mixing_stage_repeats_documents(spark, folder):
     rows = [(i, f"text number {i} " + "w " * (i % 17), "ab"[i % 2]) for i in range(200)]
-    out = corpus_pipeline.mix(spark, cases.frame(spark, rows), folder).collect()
+    out = corpus_pipeline.mix(spark, cases.frame(spark, rows).drop("copy"), folder).collect()
     copies = Counter(r.doc_id for r in out)
     assert max(copies.values()) <= 2 and {r.copy for r in out} == {1, 2}
     assert len(out) == len({(r.doc_id, r.copy) for r in out})
