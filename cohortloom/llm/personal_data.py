@@ -1,26 +1,33 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field learns from them on a bounded sample of documents
-(``fit_rows``), labelled by the patterns, and finds what is written alike but misses a pattern,
-such as a telephone number without its plus sign. It reads segments: runs of words at most
-``REACH`` words from a word with a digit or an at sign; no other word can be personal data of
-the four kinds. Training and Viterbi decoding work on numpy batches of segments.
+The patterns give the base spans. The field learns from a small labelled table (by default
+``personal_labels``, of which it takes ``fit_rows`` at most) and finds what misses a pattern, such as
+a telephone number without its plus sign or one that runs into the next number. What it adds
+has to pass its kind's check, and nothing is added where a card or an address failed its own. It
+reads segments: runs of words at most ``REACH`` words from a word with a digit or an at sign; no
+other word can be personal data of the four kinds. Training and Viterbi decoding work on numpy
+batches of segments.
 """
 
+import ipaddress
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .personal_labels import labelled_texts
 from .words import SPACED, Tokenizer, byte_table, sent, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 REACH = 2
 SLOTS = 4096  # hashed features
-FIT_ROWS = 3000  # documents that the field is fitted on, at most
+FIT_ROWS = 3000  # labelled texts that the field is fitted on, at most
+REMEMBERED = 64  # longest word whose features a worker keeps; longer ones are made anew
+CELLS = 1 << 16  # words of a batch of segments, padding counted, unless one segment has more
 TRIGGER = byte_table((0x30, 0x39), (0x40, 0x40))
 
 # The definition's patterns. Greedy parts that cannot give back are possessive, and a match
@@ -71,53 +78,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _refused(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind that may be added nevertheless, or -1) of pattern matches that fail
+    their checks: addresses with a part above 255, which may be a card written with points, and
+    16 to 19 digits with a wrong check digit."""
+    out = [(*m.span(), 2) for m in IP.finditer(text) if not all(map(_small, m[0].split(".")))]
+    for match in CARD.finditer(text):
+        if match.end() - match.start() >= 16 and 16 <= len(digits := NO_DIGIT.sub("", match[0])) <= 19 and not luhn(digits):
+            out.append((*match.span(), -1))
+    return out
+
+
+AROUND = "\"'([{<,;:)]}>.!?#*$%&|"
+
+
 def _shape(word: str) -> str:
     """One letter per class of character, runs of letters shortened to one, digits counted."""
-    word = word[:64]
     out = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() else "x", word)
     return re.sub(r"[0-9]", "9", out)
 
 
 def _slot(*parts: str) -> int:
-    value = 2166136261
-    for c in "\x00".join(parts).encode():
-        value = (value ^ c) * 16777619 & 0xFFFFFFFF
-    return (value ^ value >> 15) % SLOTS
+    return zlib.crc32("\x00".join(parts).encode()) % SLOTS
 
 
 class Features:
-    """Feature slots of the words of a segment; own slots are remembered by word."""
+    """Feature slots of the words of a segment; own slots of short words are remembered."""
 
     def __init__(self):
-        self.known: dict[str, tuple[str, list[int]]] = {}
-
-    def own(self, word: str) -> tuple[str, list[int]]:
-        if word not in self.known:
+        self.known: dict[str, tuple[str, str, list[int]]] = {}
+
+    def own(self, word: str) -> tuple[str, str, list[int]]:
+        """(shape, or w for a word without digits, plus and at sign; the word as a cue; slots)."""
+        if (found := self.known.get(word)) is not None:
+            return found
+        core = word.strip(AROUND)
+        shape = _shape(core)
+        digits = NO_DIGIT.sub("", core)
+        marked = bool(digits) or "@" in word or "+" in word
+        found = (
+            shape if marked else "w",
+            "" if digits else core.lower(),
+            [
+                _slot("shape", shape),
+                _slot("short", re.sub(r"9+", "9", shape)),
+                _slot("digits", str(min(len(digits), 20)), str(len(digits) >= 15 and luhn(digits))),
+                _slot("ends", _shape(word[:1]), _shape(word[-1:])),
+                _slot("at", str("@" in word), str(word.count(".")), str(word.count(":")), str(bool(digits))),
+            ],
+        )
+        if len(word) <= REMEMBERED:
             if len(self.known) > 100_000:
                 self.known.clear()
-            shape = _shape(word)
-            digits = sum(c.isdigit() for c in word[:64])
-            short = re.sub(r"9+", "9", shape)
-            self.known[word] = shape[:40], [
-                _slot("shape", shape),
-                _slot("short", short),
-                _slot("digits", str(min(digits, 20))),
-                _slot("ends", shape[:1], shape[-1:]),
-                _slot("at", str("@" in word), str(word.count(".")), str(digits > 0)),
-            ]
-        return self.known[word]
+            self.known[word] = found
+        return found
 
     def rows(self, words: list[str]) -> list[list[int]]:
         own = [self.own(w) for w in words]
-        shapes = ["<", *[s if any(c in "9@+" for c in s) else "w" for s, _ in own], ">"]
-        cues = ["<", *[w.lower().strip(".,:;()")[:12] if s in ("x", "X", "x:", "x.", "X:") else "" for w, (s, _) in zip(words, own)]]
+        shapes = ["<", *[s for s, _, _ in own], ">"]
+        cues = ["<", "<", *[c for _, c, _ in own]]
         return [
-            [*slots, _slot("before", shapes[i], shapes[i + 1]), _slot("after", shapes[i + 1], shapes[i + 2]), _slot("cue", cues[i], "9" if "9" in shapes[i + 1] else "x")]
-            for i, (_, slots) in enumerate(own)
+            [
+                *slots,
+                _slot("before", shapes[i], shapes[i + 1]),
+                _slot("after", shapes[i + 1], shapes[i + 2]),
+                _slot("cue", cues[i + 1], "9" if cues[i + 2] == "" else "x"),
+                _slot("cue2", cues[i], "9" if cues[i + 2] == "" else "x"),
+            ]
+            for i, (_, _, slots) in enumerate(own)
         ]
 
 
-WIDE = 8  # features per word
+WIDE = 9  # features per word
 
 
 def _segments(text_column):
@@ -160,16 +192,27 @@ def _labels(starts, ends, spans) -> np.ndarray:
 def _examples(batches):
     features = Features()
     for batch in batches:
-        texts = batch.column("text")
-        slots, labels, spans = [], [], {}
+        texts, given = batch.column("text"), batch.column("spans")
+        slots, labels = [], []
         for row, words, starts, ends in _segments(texts):
-            if row not in spans:
-                spans[row] = base_spans(texts[row].as_py())
+            spans = sorted((x["start"], KINDS.index(x["kind"]), x["end"]) for x in given[row].as_py() or [] if x["kind"] in KINDS)
             slots.append(np.array(features.rows(words), np.int16).tobytes())
-            labels.append(_labels(starts, ends, spans[row]).tobytes())
+            labels.append(_labels(starts, ends, [(kind, a, b) for a, kind, b in spans]).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), pa.array(labels, pa.binary())], ["slots", "labels"])
 
 
+def _batches(lengths: list[int], order: list[int], size: int):
+    """``order``, from short to long, in batches of ``size`` segments and ``CELLS`` words at most."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) == size or (len(part) + 1) * lengths[i] > CELLS):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def _lse(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -183,10 +226,10 @@ class Field:
         self.emit[:, 0] = 1e-3
         self.move = np.zeros((LABELS, LABELS), np.float32)
 
-    def fit(self, segments: list[tuple[np.ndarray, np.ndarray]], passes: int = 6, step: float = 0.3, size: int = 64) -> "Field":
+    def fit(self, segments: list[tuple[np.ndarray, np.ndarray]], passes: int = 12, step: float = 0.3, size: int = 64) -> "Field":
         """Conditional likelihood by AdaGrad over batches of segments of like length."""
         order = sorted(range(len(segments)), key=lambda i: (len(segments[i][1]), segments[i][0].tobytes()))
-        batches = [order[i : i + size] for i in range(0, len(order), size)]
+        batches = list(_batches([len(y) for _, y in segments], order, size))
         turn = np.random.default_rng(5)
         memory = [np.full_like(self.emit, 1e-4), np.full_like(self.move, 1e-4)]
         for _ in range(passes):
@@ -229,8 +272,7 @@ class Field:
         """Viterbi paths, in batches of segments of like length."""
         out: list = [None] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for b in range(0, len(order), size):
-            at = order[b : b + size]
+        for at in _batches([len(x) for x in parts], order, size):
             lengths = np.array([len(parts[i]) for i in at])
             t = int(lengths.max())
             score = np.zeros((len(at), t, LABELS), np.float32)
@@ -252,15 +294,31 @@ class Field:
         return out
 
 
-def _plausible(kind: int, text: str) -> bool:
-    digits = sum(c in "0123456789" for c in text)
-    if kind == 0:
-        return "@" in text.strip("@")
-    return digits >= 4 and text.count(".") >= 2 if kind == 1 else digits >= 12 if kind == 2 else 7 <= digits <= 15
+ADDRESS = re.compile(r"[^\s@<>()\[\],;:\"]+ ?@ ?[^\s@<>()\[\],;:\"]+\.[^\W\d_]{2,}")
+NUMBERS = re.compile(r"[0-9][0-9 \u00A0./-]*[0-9]")
+DIALLED = re.compile(r"[+(]?[0-9][0-9 \u00A0()./\u2013-]*[0-9]")
 
 
-def _added(words, starts, ends, path, text: str):
-    """Spans of a decoded path, without the punctuation around them."""
+def _plausible(kind: int, text: str) -> bool:
+    """Whether an added span passes its kind's check."""
+    digits = NO_DIGIT.sub("", text)
+    if kind == 0:
+        return ADDRESS.fullmatch(text) is not None
+    if kind == 1:
+        plain = text.replace("[.]", ".").replace("(.)", ".")
+        if ":" not in plain:
+            return IP.fullmatch(plain) is not None and all(map(_small, plain.split(".")))
+        try:
+            return bool(digits) and ipaddress.ip_address(plain).version == 6
+        except ValueError:
+            return False
+    if kind == 2:
+        return 15 <= len(digits) <= 19 and NUMBERS.fullmatch(text) is not None and luhn(digits)
+    return 7 <= len(digits) <= 15 and DIALLED.fullmatch(text) is not None
+
+
+def _added(starts, ends, path, text: str):
+    """Spans of a decoded path that pass their checks, without the punctuation around them."""
     i = 0
     while i < len(path):
         if not path[i]:
@@ -270,9 +328,9 @@ def _added(words, starts, ends, path, text: str):
         while j < len(path) and path[j] == 2 + 2 * kind:
             j += 1
         a, b = int(starts[i]), int(ends[j - 1])
-        while a < b and text[a] in "\"'([{<,;:":
+        while a < b and text[a] in AROUND and not (text[a] == "(" and text.count("(", a, b) <= text.count(")", a, b)):
             a += 1
-        while b > a and text[b - 1] in "\"')]}>,;:.!?":
+        while b > a and text[b - 1] in AROUND and not (text[b - 1] == ")" and text.count(")", a, b) <= text.count("(", a, b)):
             b -= 1
         if _plausible(kind, text[a:b]):
             yield kind, a, b
@@ -292,18 +350,19 @@ def _find(shared):
             for row, words, starts, ends in _segments(texts):
                 if row not in rows:
                     text = texts[row].as_py()
-                    rows[row] = (text, base_spans(text), [])
+                    base = base_spans(text)
+                    rows[row] = (text, base, [], [(a, b, -1) for _, a, b in base] + _refused(text))
                 segments.append((row, words, starts, ends))
             paths = field.decode([np.array(features.rows(words), np.int64) for _, words, _, _ in segments])
-            for (row, words, starts, ends), path in zip(segments, paths):
+            for (row, _, starts, ends), path in zip(segments, paths):
                 if path.any():
-                    text, base, more = rows[row]
-                    for kind, a, b in _added(words, starts, ends, path, text):
-                        if all(b <= x or a >= y for _, x, y in base):
+                    text, _, more, taken = rows[row]
+                    for kind, a, b in _added(starts, ends, path, text):
+                        if all(b <= x or a >= y or kind == free for x, y, free in taken):
                             more.append((kind, a, b))
             out = []
             for i in range(batch.num_rows):
-                _, base, more = rows.get(i, ("", [], []))
+                _, base, more, _ = rows.get(i, ("", [], [], []))
                 spans = sorted([(*s, True) for s in base] + [(*s, False) for s in more])
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(SPAN))], ["id", "spans"])
@@ -311,30 +370,36 @@ def _find(shared):
     return run
 
 
-def fit_field(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> Field:
-    """The field fitted on the segments of ``fit_rows`` documents at most, taken by hash."""
-    rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows)
-    table = drawn.mapInArrow(_examples, "slots binary, labels binary").toArrow()
+def default_labels(spark: SparkSession) -> DataFrame:
+    """``personal_labels`` as a table (text, spans)."""
+    return spark.createDataFrame(labelled_texts(), "text string, spans array<struct<kind:string,start:long,end:long>>")
+
+
+def fit_field(labelled: DataFrame, *, fit_rows: int = FIT_ROWS) -> Field:
+    """The field fitted on all segments of ``fit_rows`` rows of (text, spans) at most, taken by
+    hash; null texts have none, null spans mean a text without personal data."""
+    rows = labelled.select("text", "spans").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(fit_rows)
+    table = rows.mapInArrow(_examples, "slots binary, labels binary").toArrow()
     segments = [
         (np.frombuffer(x, np.int16).reshape(-1, WIDE).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64))
         for x, y in zip(table.column("slots").to_pylist(), table.column("labels").to_pylist())
-        if len(y) <= 4 * WIDE * 8  # a table of figures would only teach itself
     ]
     return Field().fit(segments)
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: ``id_col`` and spans, an array of (kind, start, end, base) in code points, end
     exclusive, by kind (email, ip, card, phone), then start. Base spans are the patterns'; the
-    field adds spans that overlap none of them.
+    field, fitted on ``labelled`` (text, spans of (kind, start, end)), adds spans that overlap
+    none of them and pass their kind's check.
 
     Null and empty texts have no spans. Ids may be null or repeated; other columns are not
-    looked at. An empty table gives an empty result, and a table without personal data a field
-    that adds nothing.
+    looked at. An empty table gives an empty result, and an empty labelled table a field that
+    adds nothing.
     """
-    field = docs.sparkSession.sparkContext.broadcast(vars(fit_field(docs, text_col=text_col, fit_rows=fit_rows)))
+    spark = docs.sparkSession
+    labelled = default_labels(spark) if labelled is None else labelled
+    field = spark.sparkContext.broadcast(vars(fit_field(labelled, fit_rows=fit_rows)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_find(field), f"id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>").withColumnRenamed("id", id_col)

@@ -329,6 +329,61 @@ def test_field_finds_what_misses_a_pattern(spark):
     assert all(b.end <= a.start or b.start >= a.end for spans in got.values() for a in spans for b in spans if a.base and not b.base)
 
 
+def test_numbers_without_a_plus_are_found_and_failing_cards_are_not(spark):
+    r = random.Random(4)
+    word = lambda: r.choice(["loso", "vila", "kemu", "tarin", "opel"])
+    phone = lambda: f"({r.randrange(100, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+    plain = lambda: r.choice([phone(), f"{r.randrange(100, 999)}-555-{r.randrange(1000, 9999)}", f"1 {phone()}", f"030 {r.randrange(10**7, 10**8)}"])
+    fails = lambda c: c[:-1] + str((int(c[-1]) + r.randrange(1, 10)) % 10)
+    four = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    around = lambda x: " ".join([*(word() for _ in range(6)), x, *(word() for _ in range(6))])
+    rows = [(i, around(f"+1 {phone()}"), "s") for i in range(200)]
+    wanted = {}
+    for i in range(1000, 1020):
+        wanted[i] = plain()
+        rows.append((i, around(wanted[i]), "s"))
+    bad = [fails(card(r)) for _ in range(100)]
+    rows += [(2000 + i, around(four(c) if i % 3 == 0 else c), "s") for i, c in enumerate(bad)]
+    rows += [(3000 + i, around(f"+1 {phone()} {fails(card(r))}"), "s") for i in range(20)]
+    rows += [(4000 + i, around(x), "s") for i, x in enumerate(["2024-05-17", "17.05.2024", "12:30:45", "256.300.400.500", "$1,299.00", "1.2.3", "978-3-1614-8410-0"] * 3)]
+    rows.append((5000, " ".join(str(r.randrange(10**6)) for _ in range(3000)), "s"))
+    rows.append((5001, "7" * 4_000 + "@" + "é" * 100_000, "s"))
+    text = {i: t for i, t, _ in rows}
+    got = {x.doc_id: x.spans for x in personal_data.find_personal_data(cases.frame(spark, rows)).collect()}
+    added = [(i, s.kind, text[i][s.start : s.end]) for i, spans in got.items() for s in spans if not s.base]
+    assert sum((i, "phone", x) in added for i, x in wanted.items()) >= 18
+    for _, kind, x in added:
+        digits = re.sub(r"[^0-9]", "", x)
+        assert len(digits) < 16 or kind != "phone" and personal_data.luhn(digits)
+        assert kind != "card" or personal_data.luhn(digits)
+    assert not [x for x in added if 2000 <= x[0] < 3000 or 4000 <= x[0] < 5000]
+    assert sum((3000 + i, "phone") in {a[:2] for a in added} for i in range(20)) >= 18
+    for i, t, _ in rows:
+        assert [(s.kind, s.start, s.end) for s in got[i] if s.base] == brute_base(t)
+
+
+def test_field_on_held_out_labels(spark):
+    from cohortloom.llm.personal_labels import labelled_texts
+
+    held = labelled_texts(400, seed=99)
+    got = {x.doc_id: x.spans for x in personal_data.find_personal_data(cases.frame(spark, [(i, t, "s") for i, (t, _) in enumerate(held)])).collect()}
+    found = wrong = wanted = 0
+    for i, (text, spans) in enumerate(held):
+        more = set(spans) - set(brute_base(text))
+        added = {(s.kind, s.start, s.end) for s in got[i] if not s.base}
+        wanted, found, wrong = wanted + len(more), found + len(more & added), wrong + len(added - more)
+    assert found >= 0.8 * wanted and wrong <= 0.05 * found
+
+
+def test_field_takes_a_labelled_table_of_its_own(spark):
+    schema = "text string, spans array<struct<kind:string,start:long,end:long>>, doc_id string"
+    none = personal_data.find_personal_data(cases.frame(spark, [(1, "call 030 1234567 now", "s")]), spark.createDataFrame([], schema)).collect()
+    assert [list(x.spans) for x in none] == [[]]
+    labelled = spark.createDataFrame([(f"{w} 12-{n} {w}", [("phone", len(w) + 1, len(w) + 4 + len(str(n)))], "x") for w in ("aa", "bb") for n in range(10000, 10060)] + [("aa 12 bb", None, "x"), (None, None, None), ("", [], "x")], schema)
+    got = personal_data.find_personal_data(cases.frame(spark, [(1, "cc 12-34567 dd", "s")]), labelled).collect()
+    assert [[(s.kind, s.start, s.end, s.base) for s in x.spans] for x in got] == [[("phone", 3, 11, False)]]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(3)
     field = personal_data.Field()
