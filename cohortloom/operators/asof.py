@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import SLICE_FACTOR, look_back_slices, slice_of, slice_width
 from ..params import ASOF, HISTORY_ITEM, RECENT
+from ..session import materialise
 
+OBSERVED_ROWS = 500_000  # observed (match, participant) that may be broadcast, some 20 MB
 
 def asof_backward(
     left: DataFrame,
@@ -76,9 +78,11 @@ def union_distinct_observations(cases: DataFrame, controls: DataFrame) -> DataFr
     return as_case.unionByName(as_control).distinct()
 
 
-def event_marks(events: DataFrame, *, history_item: int = HISTORY_ITEM) -> DataFrame:
+def event_marks(events: DataFrame, *, history_item: int = HISTORY_ITEM, observed: DataFrame | None = None) -> DataFrame:
     """Long form (match, participant, timestamp, kind) of kills, deaths, assists and
-    history purchases. Ids of zero or less are nobody."""
+    history purchases. Ids of zero or less are nobody. With ``observed``, a small table of distinct
+    (match, participant) that is broadcast, only their marks: others are cut before an event
+    becomes a row for each of its people, events of other matches right after the scan."""
     kind = F.upper(F.trim("event_type"))
     is_kill = kind == "CHAMPION_KILL"
     is_purchase = (kind == "ITEM_PURCHASED") & (F.col("item_id") == history_item)
@@ -91,16 +95,22 @@ def event_marks(events: DataFrame, *, history_item: int = HISTORY_ITEM) -> DataF
         ),
         F.coalesce(F.when(is_kill, F.col("assisting_ids")), F.array().cast("array<int>")),
     )
-    role = F.col("_role")
+    people = F.transform(people, lambda person, place: F.struct(place.alias("role"), person.alias("participant_id")))
+    kept = events.filter(is_kill | is_purchase).filter("match_id is not null and timestamp is not null")
+    if observed is not None:
+        per_match = observed.groupBy("match_id").agg(F.collect_set(F.col("participant_id").cast("bigint")).alias("_observed"))
+        kept = kept.join(F.broadcast(per_match), "match_id")
+        is_observed = lambda p: F.array_contains("_observed", p["participant_id"].cast("bigint"))
+    else:
+        is_observed = lambda p: F.lit(True)
+    somebody = F.filter(people, lambda p: (p["participant_id"] > 0) & is_observed(p))
+    role = F.col("_person.role")
     return (
-        events.filter(is_kill | is_purchase)
-        .filter("match_id is not null and timestamp is not null")
-        .select("match_id", "timestamp", F.posexplode(people).alias("_role", "participant_id"))
-        .filter("participant_id > 0")
+        kept.select("match_id", "timestamp", F.explode(somebody).alias("_person"))
         .select(
             "match_id",
             "timestamp",
-            "participant_id",
+            "_person.participant_id",
             F.when(role == 0, "kills").when(role == 1, "deaths").when(role == 2, "history").otherwise("assists").alias("kind"),
         )
     )
@@ -195,10 +205,16 @@ def recent_window_counts(
 
 
 def recent_event_features(observations: DataFrame, events: DataFrame) -> DataFrame:
-    """The study's four features for (match, participant, observation_timestamp) rows."""
+    """The study's four features for (match, participant, observation_timestamp) rows.
+
+    Who is observed is written and counted first. Up to ``OBSERVED_ROWS`` of them cut the events
+    before these become marks; beyond, most of a log is observed and the marks are counted first.
+    """
+    observed = materialise(observations.select("match_id", "participant_id").distinct(), "observed")
+    few = observed.count() <= OBSERVED_ROWS
     return recent_window_counts(
         observations,
-        event_marks(events),
+        event_marks(events, observed=observed if few else None),
         by=["match_id", "participant_id"],
         obs_ts="observation_timestamp",
         mark_ts="timestamp",

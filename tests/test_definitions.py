@@ -1,6 +1,8 @@
 """Hand-made cases for the definitions that are easy to get wrong."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,45 @@ def test_recent_features_are_strictly_before(spark):
     }
 
 
+def test_marks_of_observed_people_only(spark, monkeypatch):
+    r = random.Random(6)
+    schema = (
+        "match_id string, timestamp bigint, event_type string, participant_id int, item_id int, killer_id int, "
+        "victim_id int, assisting_ids array<int>, kind string"
+    )
+    someone = lambda: r.choice([None, 0, 1, 2, 3, 4, 5])
+    rows = [
+        (
+            r.choice([None, "a", "b", "c", "d"]),
+            r.choice([None, *range(1000)]),
+            r.choice(["CHAMPION_KILL", " champion_kill", "ITEM_PURCHASED", "OTHER", None]),
+            someone(),
+            r.choice([1082, 7, None]),
+            someone(),
+            someone(),
+            r.choice([None, [], [someone() for _ in range(4)]]),
+            "clash",
+        )
+        for _ in range(2000)
+    ]
+    events = spark.createDataFrame(rows, schema)
+    observed = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2), ("z", 3), (None, 1), ("c", None)], "match_id string, participant_id int")
+    every = Counter(map(tuple, asof.event_marks(events).collect()))
+    pairs = {("a", 1), ("a", 4), ("b", 2)}
+    marks = asof.event_marks(events, observed=observed)
+    assert Counter(map(tuple, marks.collect())) == Counter({k: n for k, n in every.items() if (k[0], k[2]) in pairs})
+    # the join lies below the explode, and nothing is cut after it
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("BroadcastHashJoin")
+    assert "Filter" not in plan[: plan.index("Generate")]
+
+    obs = spark.createDataFrame([(m, p, t) for m, p in [*pairs, ("z", 3)] for t in (1, 500, 900)], "match_id string, participant_id int, observation_timestamp bigint")
+    small = sorted(map(tuple, asof.recent_event_features(obs, events).collect()))
+    monkeypatch.setattr(asof, "OBSERVED_ROWS", 0)
+    assert small == sorted(map(tuple, asof.recent_event_features(obs, events).collect()))
+    assert len(small) == 12
+
+
 def test_repeated_dimension_key_fails(spark):
     fact = spark.createDataFrame([(1,), (2,)], "k int")
     dim = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
