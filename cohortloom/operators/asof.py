@@ -11,6 +11,7 @@ from ..session import materialise
 
 OBSERVED_ROWS = 500_000  # observed (match, participant) that may be broadcast, some 20 MB
 
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
