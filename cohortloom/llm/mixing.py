@@ -8,7 +8,8 @@ of their id, so the order depends on the documents alone. Ranks come from counts
 dealt to chunks of (source, size, first digits of the MD5), chunk counts give offsets, and only
 within a chunk are rows put in order, so that no source and no size is ever in one task.
 
-Per source, not per document, there is one row; those rows are ranked in one task.
+Sources are ranked by range partitions and the rows before each, and targets are reshared in
+rounds of one aggregate each, so that neither many documents nor many sources meet in one task.
 """
 
 import random
@@ -31,29 +32,33 @@ def source_targets(sizes: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, m
 
     Sources take ``weights`` in turn, by code point, null last. Targets share ``share`` of all
     sizes by weight; none exceeds ``most`` times its source's size, the excess goes to the
-    others by weight. Solved in closed form: sources are capped in order of cap over weight, as
-    long as the level that the others would reach is above it.
+    others by weight. Each round caps the sources that the level of the open ones would take
+    above their cap, and what is left gives the next level, until no more are capped. Three sums
+    a round reach the driver.
     """
-    all_rows = Window.partitionBy()
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    level = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long"))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("ratio", F.col("cap") / F.col("w"))
-        .withColumn("total", F.sum("source_size").over(all_rows) * share)
-        .withColumn("w_left", F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("capped", F.col("left") * F.col("w") >= F.col("cap") * F.col("w_left"))
-        .withColumn("open_w", F.sum(F.when(~F.col("capped"), F.col("w"))).over(all_rows))
-        .withColumn("open", F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(all_rows), F.lit(0)))
-        .select(
-            "source",
-            "source_size",
-            F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("open") * F.col("w") / F.col("open_w")).alias("target"),
-        )
+    # written once: the high bits of the place are the range partition, the low ones count in it
+    placed = materialise(per.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("place", 33)
+    parts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    rank = F.col("offset") + F.col("place").bitwiseAND((1 << 33) - 1)
+    ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
+    ranked = materialise(ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("cap")), "mix-weights")
+    size, open_w = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    total = open_level = (size or 0) * share
+    open_w, before = open_w or 0, 0
+    while True:
+        capped = F.col("cap") * F.lit(open_w) <= F.lit(float(open_level)) * F.col("w")
+        n, caps, left = ranked.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w")))).first()
+        if n == before or not left:
+            break
+        open_level, open_w, before = total - caps, left, n
+    return ranked.select(
+        "source",
+        "source_size",
+        F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(float(open_level)) * F.col("w") / F.lit(open_w or 1)).alias("target"),
     )
 
 

@@ -7,11 +7,14 @@ letters of any script; their number follows from the sample alone. Levenshtein a
 terms are intersected with the trie of the lexicon and made deterministic: one transition table
 that all words of a slice run through together, byte by byte, and that most leave early.
 
-Each match is scored in its context: inside quotation marks, next to reporting or addressing
-words, among other matches. The counts of a document feed a logistic regression fitted on the
+Each match is scored in its context: inside quotation marks, next to words that go with abuse
+(addressing) or with clean uses (reporting), among other matches. Those cue words are learned from
+the same sample, by the odds of words near the matches. The counts of a document feed a logistic regression fitted on the
 same sample. Labels, language, source and id are no inputs of a score.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,16 +33,17 @@ for _mark in b"$*":
     WORD[_mark] = True
 # letters by which digits and signs are read
 READ_AS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-REPORTING = (b"said", b"says", b"wrote", b"quoted", b"quote", b"called", b"reported", b"word", b"term", b"not")
-ADDRESSING = (b"you", b"your", b"yours", b"u", b"are")
+LONG = 12  # terms of as many letters may have two edits
+CUE_ODDS = 0.5  # of a cue near the matches of toxic against clean rows, at the nearer end of its error
 NEAR, AMONG = 5, 20  # words
 
 
 class Lexicon:
     """Terms, and the deterministic intersection of their automata with their trie."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], long: int = LONG):
         self.terms = sorted(terms)
+        self.long = long
         extra = sorted({c for t in self.terms for c in t if not "a" <= c <= "z"})
         number = {chr(0x61 + i): i for i in range(26)} | {c: 26 + i for i, c in enumerate(extra)}
         self.other = len(number)  # any other character
@@ -56,9 +60,8 @@ class Lexicon:
             self.letters[ord(sign)] = ord(letter) - 0x61
         self._build(number)
 
-    @staticmethod
-    def edits(term: str) -> int:
-        return 1 if len(term) >= 3 else 0
+    def edits(self, term: str) -> int:
+        return 0 if len(term) < 3 else 1 if len(term) < self.long else 2
 
     def _build(self, letter_of: dict[str, int]) -> None:
         children, ends, reach = [{}], [None], [0]
@@ -184,7 +187,13 @@ def _inside_quotes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, text:
     return odd & closes | (turn[at] > turn[begin])
 
 
-def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, offsets):
+def _near(words, w: int, t: int) -> set[bytes]:
+    """The words within reach of word ``w`` of text ``t``, but for itself."""
+    a, b = max(w - NEAR, words.first[t]), min(w + NEAR + 1, words.first[t + 1])
+    return {words.data[words.starts[i] : words.ends[i]].tobytes().lower() for i in range(a, b) if i != w}
+
+
+def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, offsets, cues=((), ())):
     """(features, matches) of the texts of a slice; matches are (text, word, term, edits, quoted)."""
     words = tokens.split(data, offsets)
     n = len(offsets) - 1
@@ -194,9 +203,8 @@ def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, off
     quoted = _inside_quotes(data, offsets, words.starts[word], text)
     reporting, addressing = np.zeros(len(word), bool), np.zeros(len(word), bool)
     for i, (w, t) in enumerate(zip(word.tolist(), text.tolist())):
-        a, b = max(w - NEAR, words.first[t]), min(w + NEAR + 1, words.first[t + 1])
-        near = {words.data[s:e].tobytes().lower() for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())}
-        reporting[i], addressing[i] = not near.isdisjoint(REPORTING), not near.isdisjoint(ADDRESSING)
+        near = _near(words, w, t)
+        addressing[i], reporting[i] = not near.isdisjoint(cues[0]), not near.isdisjoint(cues[1])
     among = np.searchsorted(word, word + AMONG, "right") - np.searchsorted(word, word - AMONG, "left")
     # a word one edit from a short term is often another word: it has one feature of its own
     loose = (cost > 0) & lexicon.short[term] if len(term) else np.zeros(0, bool)
@@ -225,11 +233,56 @@ def _measure(lexicon: Lexicon, weights: np.ndarray, tokens: Tokenizer, data, off
     return x, (text, word - words.first[text], term, cost, quoted)
 
 
-def _learn(lexicon: Lexicon, weights: np.ndarray):
+def _neighbours(lexicon: Lexicon):
+    """(toxic, word, share) of the words near the matches of a row: the share of its matches that
+    have the word near. A row with a match has the empty word with share 1."""
+
+    def run(batches):
+        tokens = Tokenizer(WORD, lower=False)
+        for batch in batches:
+            toxic = batch.column("toxic").to_pylist()
+            label, out, shares = [], [], []
+            for low, _, data, offsets in slices(batch.column("text")):
+                words = tokens.split(data, offsets)
+                word, _, _ = lexicon.match(words.data, words.starts, words.ends)
+                text = np.searchsorted(words.first, word, "right") - 1
+                found: dict[int, Counter] = {}
+                for w, t in zip(word.tolist(), text.tolist()):
+                    found.setdefault(t, Counter()).update({b""} | _near(words, w, t))
+                for t, near in found.items():
+                    label += [toxic[low + t]] * len(near)
+                    out += list(near)
+                    shares += [n / near[b""] for n in near.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(out, pa.binary()), pa.array(shares, pa.float64())], ["toxic", "word", "share"])
+
+    return run
+
+
+def learn_cues(sample: DataFrame, lexicon: Lexicon, support: int = SUPPORT, odds: float = CUE_ODDS) -> tuple[list[bytes], list[bytes]]:
+    """(addressing, reporting): words near the matches of ``support`` rows at least whose log odds
+    in toxic against clean rows with a match exceed ``odds``, or fall below its negative, also at the
+    nearer end of their error. A row counts by the share of its matches that have the word near, so
+    that rows of many matches don't make cues of common words; terms are no cues. They reach the driver: words that ``support`` rows of the sample share."""
+    near = sample.mapInArrow(_neighbours(lexicon), "toxic long, word binary, share double")
+    shares = [F.sum(F.when(F.col("toxic") == k, F.col("share")).otherwise(0.0)).alias(name) for k, name in ((1, "bad"), (0, "clean"))]
+    counted = near.groupBy("word").agg(*shares, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+    rows = [(bytes(w), round(bad, 6), round(clean, 6)) for w, bad, clean, _ in counted.collect()]
+    total = [(bad, clean) for w, bad, clean in rows if not w]
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    for w, bad, clean in sorted(rows):
+        if w and total and w.decode("utf-8", "replace") not in lexicon.terms:
+            a, b = bad + 0.5, clean + 0.5
+            ratio = np.log(a / (total[0][0] + 1)) - np.log(b / (total[0][1] + 1))
+            if abs(ratio) - 1.64 * np.sqrt(1 / a + 1 / b) > odds:
+                out[int(ratio < 0)].append(w)
+    return out
+
+
+def _learn(lexicon: Lexicon, weights: np.ndarray, cues):
     def run(batches):
         tokens = Tokenizer(WORD, lower=False)
         for batch in batches:
-            parts = [_measure(lexicon, weights, tokens, data, offsets)[0] for _, _, data, offsets in slices(batch.column("text"))]
+            parts = [_measure(lexicon, weights, tokens, data, offsets, cues)[0] for _, _, data, offsets in slices(batch.column("text"))]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(np.concatenate(parts)), pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -238,13 +291,14 @@ def _learn(lexicon: Lexicon, weights: np.ndarray):
 
 def _score(shared):
     def run(batches):
-        fields, weights, model = shared.value
+        fields, weights, model, cues = shared.value
+        cues = tuple(map(frozenset, cues))
         lexicon = sent(Lexicon, fields)
         tokens = Tokenizer(WORD, lower=False)
         for batch in batches:
             scores, hits = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for low, high, data, offsets in slices(batch.column("text")):
-                x, found = _measure(lexicon, weights, tokens, data, offsets)
+                x, found = _measure(lexicon, weights, tokens, data, offsets, cues)
                 scores[low:high] = 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))
                 for t, w, k, e, q in zip(*(f.tolist() for f in found)):
                     hits[low + t].append({"word": w, "term": lexicon.terms[k], "edits": e, "quoted": q})
@@ -323,12 +377,15 @@ def toxicity(
     fit_rows: int = FIT_ROWS,
     support: int = SUPPORT,
     odds: float = ODDS,
+    long: int = LONG,
+    cue_odds: float = CUE_ODDS,
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, text_hash, score (0 to 1), predicted (1 if score >= 0.5)
     and hits, the matches (word number, term, edits, quoted).
 
     A term is in ``support`` toxic rows and after as many different words at least, and its log
-    odds exceed ``odds`` at the lower end of their error. Learns from ``fit_rows`` rows of ``labels`` at most, taken by hash; labels that are null or
+    odds exceed ``odds`` at the lower end of their error. A match is one edit from a term, two from
+    a term of ``long`` letters. ``cue_odds`` bounds the cue words around matches. Learns from ``fit_rows`` rows of ``labels`` at most, taken by hash; labels that are null or
     neither 0 nor 1 and rows of null ids are left out, of several labels of an id the highest
     counts. Null and empty texts have no matches and get the score of a text without any. With
     no labels, or labels of one class only, there are no terms and scores are the share of
@@ -342,13 +399,16 @@ def toxicity(
         .groupBy(F.col(label_id_col).alias("id"))
         .agg(F.max(label_col).cast("long").alias("toxic"))
     )
-    share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows)
+    # some more than wanted by a bound on the hash, then the lowest hashes: the same rows on any layout
+    share = min(1.0, 1.25 * fit_rows / max(1, known.count()))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    drawn = known.filter(place < int(share * (1 << 20)) + 1).orderBy(place, "id").limit(fit_rows)
     sample = rows.filter("text IS NOT NULL").join(F.broadcast(drawn), "id").select("text", "toxic")  # fit_rows rows at most
     sample = materialise(sample, "toxic-fit")
     terms, weights = learn_lexicon(sample, support, odds)
-    lexicon = Lexicon(terms)
-    fitted = sample.mapInArrow(_learn(lexicon, weights), "toxic long, x array<double>").toArrow()
+    lexicon = Lexicon(terms, long)
+    cues = learn_cues(sample, lexicon, support, cue_odds) if terms else ([], [])
+    fitted = sample.mapInArrow(_learn(lexicon, weights, tuple(map(frozenset, cues))), "toxic long, x array<double>").toArrow()
     if fitted.num_rows:
         x = np.stack(fitted.column("x").to_numpy())
         y = fitted.column("toxic").to_numpy().astype(np.float64)
@@ -357,7 +417,7 @@ def toxicity(
     else:
         model = np.zeros(FEATURES)
         model[0] = -30
-    shared = spark.sparkContext.broadcast((vars(lexicon), weights, model))
+    shared = spark.sparkContext.broadcast((vars(lexicon), weights, model, cues))
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(_score(shared), f"id {kind}, copy long, score double, hits array<struct<word:long,term:string,edits:int,quoted:boolean>>")
     return scored.select(F.col("id").alias(id_col), F.col("copy").alias("text_hash"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cohortloom.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Labels under which two-letter country domains register names.
+REGISTRIES = ("ac", "co", "com", "edu", "gov", "gob", "mil", "ne", "net", "nom", "or", "org")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
 
@@ -31,6 +33,14 @@ def _suffixes(host):
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def is_suffix(host):
+    """Whether a domain is one under which anybody registers names: a single label, or one of
+    ``REGISTRIES`` below a country's two letters."""
+    labels = F.split(host, r"\.")
+    country = (F.size(labels) == 2) & (F.length(F.element_at(labels, -1)) == 2) & labels[0].isin(*REGISTRIES)
+    return (F.size(labels) == 1) | country
+
+
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, rules): the rules of a host and of the domains above it, longest first."""
     by_host = rules.groupBy(F.col("rule_host").alias("domain")).agg(
@@ -46,7 +56,8 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """(src, dst, n): absolute links between different hosts, and one link each way between a
-    host and the domain above it, up to the last label."""
+    host and the domain above it, up to the last label. Links to and from a public suffix weigh
+    nothing (n = 0): what shares only ``com`` or ``co.uk`` is not related."""
     found = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))
     links = pages.filter(F.col(host_col) != "").select(F.col(host_col).alias("src"), found.alias("dst"))
     links = links.withColumn("dst", F.translate("dst", UPPER, LOWER)).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -59,7 +70,7 @@ def link_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         .filter("dst IS NOT NULL")
         .distinct()
     )
-    family = above.unionAll(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("long"))
+    family = above.unionAll(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.when(is_suffix(F.col("src")) | is_suffix(F.col("dst")), 0).otherwise(1).cast("long"))
     return links.unionAll(family).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
@@ -69,6 +80,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.5, toler
     in all, which a damping below 1 brings about after log(tolerance) / log(damping) rounds."""
     if not 0 <= damping < 1:
         raise ValueError("the scores converge for a damping from 0 to below 1 only")
+    edges = edges.filter("n > 0")
     directed = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = directed.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     directed = materialise(directed.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "links")

@@ -398,6 +398,70 @@ def test_viterbi_is_the_best_path():
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(personal_data.LABELS), repeat=len(x)))), abs=1e-4)
 
 
+def test_cues_are_learned_from_the_sample(spark):
+    r = random.Random(8)
+    word = lambda: r.choice(["loso", "vila", "kemu", "tarin", "opel", "mesa"])
+    around = lambda *x: " ".join([*(word() for _ in range(8)), *x, *(word() for _ in range(8))])
+    rows = [(around("bist", "worthless"), 1) for _ in range(60)] + [(around("worthless", "bist", "ja", "worthless"), 1) for _ in range(20)]
+    rows += [(around("sagte", "worthless"), 0) for _ in range(40)] + [(around(), 0) for _ in range(200)]
+    lexicon = toxicity.Lexicon(["worthless"])
+    sample = spark.createDataFrame(rows, "text string, toxic long")
+    addressing, reporting = toxicity.learn_cues(sample, lexicon)
+    assert b"bist" in addressing and reporting == [b"sagte"] and b"worthless" not in addressing
+    assert not {b"loso", b"vila", b"kemu", b"tarin", b"opel", b"mesa"} & {*addressing, *reporting}
+    assert toxicity.learn_cues(sample.repartition(7), lexicon) == (addressing, reporting)
+    assert toxicity.learn_cues(sample.limit(0), lexicon) == ([], [])
+
+
+def test_long_terms_allow_two_edits():
+    terms = ["contemptible", "worthless", "ass"]
+    for long, edits in ((12, [2, 1, 1]), (99, [1, 1, 1])):
+        lexicon = toxicity.Lexicon(terms, long)
+        assert [lexicon.edits(t) for t in terms] == edits
+        seen = ["contemptible", "contmptibel", "cntemptble", "kontemptibl", "worthles", "worthlse"]
+        data = np.frombuffer(" ".join(seen).encode(), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in seen]) - 1
+        word, term, cost = lexicon.match(data, ends - [len(w) for w in seen], ends)
+        want = {0: 0, 4: 1} | ({2: 2, 3: 2} if long == 12 else {})
+        assert dict(zip(word.tolist(), cost.tolist())) == want
+
+
+def test_names_under_one_suffix_are_not_related(spark):
+    from cohortloom.llm.url_filter import link_edges, propagate
+
+    hosts = ["www.good.com", "good.com", "bad.com", "x.bad.com", "shop.co.uk", "a.shop.co.uk", "evil.co.uk", "localhost"]
+    edges = link_edges(spark.createDataFrame([(h, None) for h in hosts], "host string, html string"), "host", "html")
+    weight = {(e.src, e.dst): e.n for e in edges.collect()}
+    assert weight[("www.good.com", "good.com")] == weight[("a.shop.co.uk", "shop.co.uk")] == weight[("shop.co.uk", "a.shop.co.uk")] == 1
+    assert weight[("good.com", "com")] == weight[("com", "bad.com")] == weight[("evil.co.uk", "co.uk")] == weight[("co.uk", "uk")] == 0
+    seeds = spark.createDataFrame([("good.com", "trust"), ("evil.co.uk", "distrust")], "host string, kind string")
+    got = {x.host: (x.trust > 0, x.distrust > 0) for x in propagate(edges, seeds).collect()}
+    assert got == {"good.com": (True, False), "www.good.com": (True, False), "evil.co.uk": (False, True)}
+
+
+def test_targets_are_reshared_until_none_is_above(spark):
+    from cohortloom.llm.mixing import source_targets
+
+    r = random.Random(3)
+    for n in (0, 1, 2, 3, 60):
+        sizes = {(f"s{i:03d}" if i else None): int(10 ** r.uniform(0, 6)) for i in range(n)}
+        if n == 60:
+            sizes["s007"] = 0
+        rows = [(s, part) for s, size in sizes.items() for part in (size // 3, size - size // 3)]
+        got = {x.source: (x.source_size, x.target) for x in source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        total, capped = 1.5 * sum(sizes.values()), set()
+        while True:
+            open_w = sum(w[s] for s in order if s not in capped)
+            level = (total - sum(2 * sizes[s] for s in capped)) / open_w if open_w else 0
+            more = {s for s in order if s not in capped and level * w[s] > 2 * sizes[s]}
+            if not more:
+                break
+            capped |= more
+        assert got == {s: (sizes[s], pytest.approx(2 * sizes[s] if s in capped else level * w[s], abs=1e-6)) for s in order}
+
+
 def test_a_deep_host_keeps_all_its_domains(spark):
     from cohortloom.llm.url_filter import link_edges
 
