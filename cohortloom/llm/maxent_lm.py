@@ -2,20 +2,26 @@
 
 log P(text) = sum over tokens of log P(class | history) + log P(word | class, history).
 
-* Classes are hashes of word endings. Each class has its most frequent words as heads; all
-  others of the class share one "other" outcome and, below it, their smoothed corpus counts.
-  So every word has a probability, however large the vocabulary.
-* History features are hashed: the word before, the word two before (a skip), the pair, and the
-  word three before. Both softmaxes are sums of feature rows.
-* Weights are trained by gradient steps on the executors: each task makes AdaGrad steps on its
-  shards from the weights of the round before, and the tasks' weights are averaged, weighted by
-  tokens. Training is one pass: the rounds share out the tokens of every shard at random, and
-  every training token is in one step.
-
-Texts are tokenised once into shards, integer-coded in the shared folder. Word counts are
-exact and cover all training documents: each shard sends its distinct words to hash buckets,
-and the buckets send the corpus counts back to the shards. What reaches the driver is bounded:
-the heads, class totals and weight blocks.
+* Classes are hashes of word endings. Each class has its most frequent words as heads, and one
+  outcome for all its other words. These are the leaves of a binary tree over the bits of their
+  hash: every decision on the way down is a logistic model of its own, whose bias is the
+  log odds of the corpus counts below and whose features are the words before. So the history
+  moves the probability of every word, however large the vocabulary; words that share a class
+  and ``DEPTH`` bits share a leaf and differ in it by their smoothed counts. All words that
+  training has not seen are one more outcome of their class.
+* History features are hashed: the word before and the word two before (a skip), as heads or as
+  ending classes; the word before by its own hash; the pair by the hashes of both.
+* Weights are trained by gradient steps on the executors. Documents are dealt to trainers by a
+  hash of id and text, so trainers are the same however the table is split. Each makes AdaGrad
+  steps from the weights of the round before, and the changes are averaged, weighted by tokens:
+  sums of integers, added in a task, then over groups of tasks, then per block of weights, so
+  that no order of adding changes a bit. Training is one pass: the rounds share out the tokens
+  of every trainer at random, and every training token is in one step.
+
+Texts are tokenised once into shards (a shard is a trainer), integer-coded in the shared folder.
+Word counts are exact and cover all training documents: each shard sends its distinct words to
+hash buckets, and the buckets send the corpus counts back to the shards. What reaches the driver
+is bounded: the heads, class totals, leaf totals (``CLASSES << DEPTH``) and weight blocks.
 """
 
 import math
@@ -28,17 +34,24 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import materialise
 
-from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, gathered, mix, sent
+from .words import SPACED, Tokenizer, U, binary_slices, bounds_of, mix, numbers, sent, slices
 
 BUCKET_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20  # text of a trainer
 CLASSES, HEADS = 32, 31  # class 0 is the end of text alone
+DEPTH = 12  # decisions from a class down to the leaves of its other words
+LEAVES = 1 << DEPTH
 END = np.uint64(0x1234567)
 CONTEXTS = CLASSES * HEADS + CLASSES + 1  # heads, classes for other words, before the text
 START = CONTEXTS - 1
-CLASS_ROWS = 3 * CONTEXTS + 8192 + 1
+NOBODY = U(0x7654321)  # hash of the word before the text
+CLASS_ROWS = 2 * CONTEXTS + 2 * 8192 + 1
 WORD_ROWS = 1 << 14
+TREE_ROWS = 1 << 18
 ROUNDS, BATCH = 3, 8192
 BLOCKS = 8
+TREE_MEMORY = 4.0  # squares that a decision's weights start from: rare histories move slowly
+UNIT, PORTION = 1 << 14, 4096  # changes are sums of 1 / UNIT, weighted by portions of tokens
 
 
 def _classes(words) -> np.ndarray:
@@ -54,40 +67,62 @@ def _classes(words) -> np.ndarray:
 
 
 def _shards(batches):
-    """One row per slice of texts: ids, held_out and length of each, the distinct words (sorted
-    hashes, classes) and the tokens as numbers of distinct words. Each text ends with END."""
+    """One row per shard: ids, held_out and length of each text, the distinct words (sorted hashes,
+    classes) and the tokens as numbers of distinct words. Each text ends with END.
+
+    Texts come by number of shard. A number whose texts exceed SHARD_BYTES is more than one shard,
+    cut by the bytes before a text, wherever the batches end."""
     tokens = Tokenizer(SPACED, lower=True)
-    number = TaskContext.get().partitionId() << 32
+
+    def close(number, pieces):
+        ids, held, length, hashes, classes = zip(*pieces)
+        ids = pa.concat_arrays(ids)
+        vocab, first, codes = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([np.packbits(np.concatenate(held)).tobytes()], pa.binary()),
+                pa.array([np.concatenate(length).tobytes()], pa.binary()),
+                pa.array([vocab.tobytes()], pa.binary()),
+                pa.array([np.concatenate(classes)[first].tobytes()], pa.binary()),
+                pa.array([codes.astype(np.uint32).tobytes()], pa.binary()),
+            ],
+            ["shard", "ids", "held", "length", "vocab", "class", "codes"],
+        )
+
+    deal, before, now, pieces = None, 0, None, []
     for batch in batches:
-        for part in gathered(batch.column("text")):
-            found = []
-            for low, high, data, offsets in part:
-                words = tokens.split(data, offsets)
-                counts = np.diff(words.first)
-                length = (counts + 1).astype(np.int32)
-                total = int(length.sum())
-                hashes, classes = np.full(total, END), np.zeros(total, np.uint8)
-                place = np.arange(len(words.starts)) + np.repeat(np.arange(high - low), counts)
-                hashes[place] = words.hashes
-                if len(words.starts):
-                    classes[place] = _classes(words)
-                found.append((length, hashes, classes))
-            low, high = part[0][0], part[-1][1]
-            length, hashes, classes = (np.concatenate(x) for x in zip(*found))
-            vocab, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column("id").slice(low, high - low)),
-                    pa.array([np.packbits(batch.column("held").slice(low, high - low).to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
-                    pa.array([length.tobytes()], pa.binary()),
-                    pa.array([vocab.tobytes()], pa.binary()),
-                    pa.array([classes[first].tobytes()], pa.binary()),
-                    pa.array([codes.astype(np.uint32).tobytes()], pa.binary()),
-                ],
-                ["shard", "ids", "held", "length", "vocab", "class", "codes"],
-            )
-            number += 1
+        dealt = batch.column("shard").to_numpy()
+        size = numbers(batch.column("size")) + 1
+        edges = bounds_of(dealt)
+        for start, stop in zip(edges[:-1], edges[1:]):
+            if dealt[start] != deal:
+                deal, before = dealt[start], 0
+            ends = before + np.cumsum(size[start:stop])
+            part = (ends - size[start:stop]) // (2 * SHARD_BYTES)
+            before = ends[-1]
+            cuts = start + bounds_of(part)
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                number = (int(deal) << 24) + int(part[low - start])
+                if number != now and pieces:
+                    yield from close(now, pieces)
+                    pieces = []
+                now = number
+                ids, held = batch.column("id").slice(low, high - low), batch.column("held").slice(low, high - low).to_numpy(zero_copy_only=False)
+                for a, b, data, offsets in slices(batch.column("text").slice(low, high - low)):
+                    words = tokens.split(data, offsets)
+                    counts = np.diff(words.first)
+                    length = (counts + 1).astype(np.int32)
+                    total = int(length.sum())
+                    hashes, classes = np.full(total, END), np.zeros(total, np.uint8)
+                    place = np.arange(len(words.starts)) + np.repeat(np.arange(b - a), counts)
+                    hashes[place] = words.hashes
+                    if len(words.starts):
+                        classes[place] = _classes(words)
+                    pieces.append((ids.slice(a, b - a), held[a:b], length, hashes, classes))
+    if pieces:
+        yield from close(now, pieces)
 
 
 def _unpack(batch, i):
@@ -123,9 +158,13 @@ def _word_blocks(buckets: int):
     return run
 
 
+def _leaf(vocab: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes.astype(np.int64) * LEAVES + (vocab >> U(64 - DEPTH)).astype(np.int64)
+
+
 def _count_words(batches):
-    """Per bucket: for each shard the corpus counts of its words; the candidates for heads; and
-    per class the number of training tokens and of distinct training words."""
+    """Per bucket: for each shard the corpus counts of its words; the candidates for heads; per
+    class the number of training tokens and of distinct training words; and the same per leaf."""
 
     def close(bucket, rows):
         vocab = np.concatenate([r[1] for r in rows])
@@ -136,9 +175,11 @@ def _count_words(batches):
         edges = np.concatenate(([0], np.cumsum([len(r[1]) for r in rows])))
         none = lambda k: pa.nulls(k, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(len(rows), bucket, np.int32)), binary_slices(back, edges), none(len(rows)), none(len(rows)), none(len(rows)), none(len(rows))],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(len(rows), bucket, np.int32)), binary_slices(back, edges), none(len(rows)), none(len(rows)), none(len(rows)), none(len(rows)), pa.nulls(len(rows), pa.binary())],
             NAMES,
         )
+        leaf, where = np.unique(_leaf(values, classes)[n > 0], return_inverse=True)
+        sums = np.stack((leaf, np.bincount(where, n[n > 0], len(leaf)).astype(np.int64), np.bincount(where, minlength=len(leaf))))
         order = np.lexsort((values, -n, classes))
         order = order[n[order] > 0]
         starts = bounds_of(classes[order])
@@ -156,6 +197,7 @@ def _count_words(batches):
                 pa.array(np.concatenate((values[head].astype(np.int64), np.zeros(CLASSES, np.int64))), mask=np.arange(k) >= len(head)),
                 pa.array(np.concatenate((n[head], total))),
                 pa.array(np.concatenate((np.ones(len(head), np.int64), distinct))),
+                pa.array([None] * (k - 1) + [sums.astype(np.int64).tobytes()], pa.binary()),
             ],
             NAMES,
         )
@@ -174,15 +216,16 @@ def _count_words(batches):
         yield from close(now, rows)
 
 
-NAMES = ["shard", "bucket", "counts", "class", "word", "n", "distinct"]
-COUNTED = "shard long, bucket int, counts binary, class long, word long, n long, distinct long"
+NAMES = ["shard", "bucket", "counts", "class", "word", "n", "distinct", "leaves"]
+COUNTED = "shard long, bucket int, counts binary, class long, word long, n long, distinct long, leaves binary"
 
 
 class Model:
-    """Heads, class totals and weights."""
+    """Heads, class and leaf totals, and weights."""
 
-    def __init__(self, heads: list[tuple[int, int, int]], totals: dict[int, tuple[int, int]]):
-        """heads: (class, word hash, count); totals: class -> (tokens, distinct words)."""
+    def __init__(self, heads: list[tuple[int, int, int]], totals: dict[int, tuple[int, int]], leaves: np.ndarray):
+        """heads: (class, word hash, count); totals: class -> (tokens, distinct words); leaves: rows
+        of leaf number, tokens and distinct words, heads included."""
         per: dict[int, list] = {}
         for c, word, n in heads:
             per.setdefault(c, []).append((-n, word))
@@ -196,9 +239,12 @@ class Model:
         for c, (n, v) in totals.items():
             rest_n[c], rest_v[c] = n, v
         self.outcome = np.full((CLASSES, HEADS + 1), -12.0, np.float32)
-        for _, c, k, n in flat:
+        self.mass = np.zeros(CLASSES * LEAVES)  # smoothed tokens of a leaf's words that are no heads
+        np.add.at(self.mass, leaves[0], leaves[1] + 0.5 * leaves[2])
+        for word, c, k, n in flat:
             rest_n[c] -= n
             rest_v[c] -= 1
+            self.mass[c * LEAVES + (word >> (64 - DEPTH))] -= n + 0.5
             self.outcome[c, k] = math.log(n + 0.5)
         self.outcome[:, HEADS] = np.log(np.maximum(rest_n, 0) + 0.5)
         self.rest_scale = rest_n + 0.5 * (rest_v + 1)
@@ -209,6 +255,23 @@ class Model:
         # outcomes that no head stands for stay impossible
         self.shut = np.zeros((CLASSES, HEADS + 1), np.float32)
         self.shut[self.outcome <= -12] = -1e4
+        # log odds of the right side below each node of the trees, node 1 the root; infinite where a side is empty
+        below = np.zeros((CLASSES, 2 * LEAVES))
+        below[:, LEAVES:] = self.mass.reshape(CLASSES, LEAVES)
+        for d in reversed(range(DEPTH)):
+            below[:, 1 << d : 2 << d] = below[:, 2 << d : 4 << d].reshape(CLASSES, -1, 2).sum(2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.odds = np.nan_to_num(np.log(below[:, 1::2]) - np.log(below[:, ::2]), nan=0.0, posinf=np.inf, neginf=-np.inf).astype(np.float32).ravel()
+        self.by_node = np.zeros(TREE_ROWS, np.float32)
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.by_class, self.by_word, self.by_node]
+
+    def copy(self) -> "Model":
+        """With weights of its own."""
+        out = sent(Model, vars(self))
+        out.by_class, out.by_word, out.by_node = (w.copy() for w in self.weights())
+        return out
 
     def places(self, vocab: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in its class, context) of distinct words; place HEADS is "other"."""
@@ -219,23 +282,24 @@ class Model:
         return place, np.where(is_head, classes * HEADS + place, CLASSES * HEADS + classes)
 
     @staticmethod
-    def histories(context: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-        """Contexts one, two and three tokens before, START before the text."""
-        inside = np.arange(len(context)) - np.repeat(np.cumsum(length) - length, length)
+    def histories(values: np.ndarray, length: np.ndarray, outside) -> list[np.ndarray]:
+        """What stands one and two tokens before each token, ``outside`` before the text."""
+        inside = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
         out = []
-        for back in (1, 2, 3):
-            h = np.full(len(context), START)
-            h[back:] = context[:-back]
-            h[inside < back] = START
+        for back in (1, 2):
+            h = np.full(len(values), outside, values.dtype)
+            h[back:] = values[:-back]
+            h[inside < back] = outside
             out.append(h)
         return out
 
     @staticmethod
-    def rows(history, classes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Feature rows of the two softmaxes."""
-        one, two, three = history
-        pair = (mix((one * CONTEXTS + two).astype(np.uint64)) >> U(51)).astype(np.int64)  # 8192
-        by_class = [np.full(len(one), CLASS_ROWS - 1), one, CONTEXTS + two, 2 * CONTEXTS + three, 3 * CONTEXTS + pair]
+    def rows(history, words, classes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Feature rows of the two softmaxes, from contexts and hashes of the words before."""
+        one, two = history
+        named = (mix(words[0] + U(3)) >> U(51)).astype(np.int64)  # 8192
+        pair = (mix(words[0] * U(3) + words[1]) >> U(51)).astype(np.int64)  # 8192
+        by_class = [np.full(len(one), CLASS_ROWS - 1), one, CONTEXTS + two, 2 * CONTEXTS + named, 2 * CONTEXTS + 8192 + pair]
         key = lambda h, salt: (mix((h * CLASSES + classes).astype(np.uint64) + U(salt << 40)) >> U(50)).astype(np.int64)  # noqa: E731  2**14
         by_word = [WORD_ROWS + classes, key(one, 1), key(two, 2), key(pair, 3)]
         return by_class, by_word
@@ -250,27 +314,52 @@ class Model:
         y += self.shut[classes]
         return z, y
 
+    def decisions(self, hashes, classes, words):
+        """For words that are no heads, one column per node from the root to the leaf: the score
+        of going right, whether the word does, and the rows of the features."""
+        top = (hashes >> U(64 - DEPTH)).astype(np.int64)[:, None]
+        d = np.arange(DEPTH)[None, :]
+        cell = classes[:, None] * LEAVES + ((1 << d) | (top >> (DEPTH - d)))
+        right = (top >> (DEPTH - 1 - d)) & 1 == 1
+        spread = cell.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+        rows = [(((w[:, None] + U(salt)) ^ spread) * U(0xD6E8FEB86659FD93) >> U(46)).astype(np.int64) for salt, w in enumerate(words)]  # 2**18
+        score = self.odds[cell]
+        for r in rows:
+            score = score + self.by_node[r]
+        return score, right, rows
+
     def log10(self, vocab, classes_of, counts, codes, length) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token by the model, and by the unigram base."""
         place_of, context_of = self.places(vocab, classes_of)
-        rest = np.where(place_of == HEADS, np.log((counts + 0.5) / self.rest_scale[classes_of]), 0.0)
+        known = (place_of == HEADS) & (counts > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            in_leaf = (counts + 0.5) / self.mass[_leaf(vocab, classes_of)] * (1 - 0.5 / self.rest_scale[classes_of])
+        rest = np.log(np.where(known, in_leaf, np.where(place_of == HEADS, 0.5 / self.rest_scale[classes_of], 1.0)))
         base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-        history = self.histories(context_of[codes], length)
+        history = self.histories(context_of[codes], length, START)
+        words = self.histories(vocab[codes], length, NOBODY)
         out = np.empty(len(codes))
         for a in range(0, len(codes), 16384):
             code = codes[a : a + 16384]
             c, k = classes_of[code].astype(np.int64), place_of[code]
-            z, y = self.scores(*self.rows([h[a : a + 16384] for h in history], c), c)
+            before = [h[a : a + 16384] for h in words]
+            z, y = self.scores(*self.rows([h[a : a + 16384] for h in history], before, c), c)
             row = np.arange(len(code))
-            out[a : a + 16384] = z[row, c] - _lse(z) + y[row, k] - _lse(y) + rest[code]
+            found = z[row, c] - _lse(z) + y[row, k] - _lse(y) + rest[code]
+            at = np.flatnonzero(known[code])
+            score, right, _ = self.decisions(vocab[code[at]], c[at], [h[at] for h in before])
+            found[at] -= np.logaddexp(0, np.where(right, -score, score)).sum(1)
+            out[a : a + 16384] = found
         return out / math.log(10), base[codes]
 
     def learn(self, by_class, by_word, classes, places, memory, step: float) -> None:
-        """One AdaGrad step on a batch of tokens."""
+        """One AdaGrad step of the softmaxes on a batch of tokens."""
         z, y = self.scores(by_class, by_word, classes)
         row = np.arange(len(classes))
         for weights, store, features, s, target in ((self.by_class, memory[0], by_class, z, classes), (self.by_word, memory[1], by_word, y, places)):
-            pull = -np.exp(s - _lse(s)[:, None])
+            s -= s.max(1, keepdims=True)
+            pull = np.exp(s, out=s)
+            pull /= -pull.sum(1, keepdims=True)
             pull[row, target] += 1
             for f in features:
                 order = np.argsort(f.astype(np.uint16), kind="stable")  # radix sort; both tables have fewer than 2**16 rows
@@ -284,60 +373,93 @@ class Model:
                 g *= step
                 weights[slot] += g
 
+    def learn_tree(self, hashes, classes, words, memory, step: float) -> None:
+        """One AdaGrad step of the decisions on words that are no heads."""
+        score, right, rows = self.decisions(hashes, classes, words)
+        pull = right - 1 / (1 + np.exp(-score))  # 0 where a side is empty
+        g = np.bincount(np.concatenate([r.ravel() for r in rows]), np.tile(pull.ravel(), len(rows)), TREE_ROWS)
+        memory += g * g
+        self.by_node += step * g / np.sqrt(memory)
+
 
 def _lse(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
     return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
-def _train(shared, turn: int, rounds: int, step: float):
-    """From the shared weights, the weights after this task's shards of the round, by block."""
+def _packed(values: np.ndarray) -> bytes:
+    """Integers by planes of bytes, signs last: small ones leave planes of zeros to the codec."""
+    sign_last = (values << 1) ^ (values >> 63)
+    return np.ascontiguousarray(sign_last.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    z = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return (z >> 1) ^ -(z & 1)
+
+
+CHANGES = "team int, block int, weight long, change binary"
+
+
+def _change(team, block, weight, values):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([team], pa.int32()), pa.array([block], pa.int32()), pa.array([weight], pa.int64()), pa.array([_packed(values)], pa.binary())],
+        ["team", "block", "weight", "change"],
+    )
+
+
+def _train(shared, turn: int, rounds: int, step: float, teams: int):
+    """From the shared weights, the sum of the changes of this task's shards in the round, by block."""
 
     def run(batches):
         before = sent(Model, shared.value)
-        model = sent(Model, shared.value)
-        model.by_class, model.by_word = model.by_class.copy(), model.by_word.copy()
-        memory = np.full_like(model.by_class, 1.0), np.full_like(model.by_word, 1.0)
-        seen = 0
+        total, weight = 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 length, held, codes = _unpack(batch, i)
                 vocab = np.frombuffer(batch.column("vocab")[i].as_py(), np.uint64)
                 classes_of = np.frombuffer(batch.column("class")[i].as_py(), np.uint8)
-                place_of, context_of = model.places(vocab, classes_of)
-                history = model.histories(context_of[codes], length)
+                place_of, context_of = before.places(vocab, classes_of)
+                history = before.histories(context_of[codes], length, START)
+                words = before.histories(vocab[codes], length, NOBODY)
                 # the same order in all rounds; each takes its own share, together all tokens
                 at = np.random.default_rng(rounds).permutation(np.flatnonzero(np.repeat(~held, length)))[turn::rounds]
+                if not len(at):
+                    continue
+                model = before.copy()
+                memory = [np.full_like(w, 1.0) for w in model.weights()[:2]] + [np.full(TREE_ROWS, TREE_MEMORY)]
                 for a in range(0, len(at), BATCH):
                     part = at[a : a + BATCH]
-                    c = classes_of[codes[part]].astype(np.int64)
-                    model.learn(*model.rows([h[part] for h in history], c), c, place_of[codes[part]], memory, step)
-                seen += len(at)
-        if seen:
-            change = np.concatenate(((model.by_class - before.by_class).ravel(), (model.by_word - before.by_word).ravel())).astype(np.float16)
-            for b, part in enumerate(np.array_split(change, BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([float(seen)]), pa.array([part.tobytes()], pa.binary())], ["block", "weight", "change"])
+                    code = codes[part]
+                    c, k = classes_of[code].astype(np.int64), place_of[code]
+                    named = [h[part] for h in words]
+                    model.learn(*model.rows([h[part] for h in history], named, c), c, k, memory, step)
+                    other = np.flatnonzero(k == HEADS)
+                    model.learn_tree(vocab[code[other]], c[other], [h[other] for h in named], memory[2], step)
+                portions = -(-len(at) // PORTION)
+                change = np.concatenate([np.rint((new - old).ravel() * np.float32(UNIT)) for new, old in zip(model.weights(), before.weights())])
+                total = total + change.astype(np.int64) * portions
+                weight += portions
+        if weight:
+            for b, part in enumerate(np.array_split(total, BLOCKS)):
+                yield _change(TaskContext.get().partitionId() % teams, b, weight, part)
 
     return run
 
 
-def _average(batches):
-    """Weighted mean of the changes of each block; blocks come one after the other."""
-    now, total, weight = None, None, 0.0
-
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "weight", "change"])
-
+def _add(batches):
+    """Sums of changes per (team, block); these come one after the other."""
+    now, total, weight = None, 0, 0
     for batch in batches:
-        for block, w, change in zip(*(batch.column(c).to_pylist() for c in ("block", "weight", "change"))):
-            if block != now:
+        for team, block, w, change in zip(*(batch.column(c).to_pylist() for c in ("team", "block", "weight", "change"))):
+            if (team, block) != now:
                 if now is not None:
-                    yield row()
-                now, total, weight = block, 0.0, 0.0
-            total = total + np.frombuffer(change, np.float16).astype(np.float64) * w
+                    yield _change(*now, weight, total)
+                now, total, weight = (team, block), 0, 0
+            total = total + _unpacked(change)
             weight += w
     if now is not None:
-        yield row()
+        yield _change(*now, weight, total)
 
 
 def _score(shared):
@@ -374,12 +496,20 @@ def score_texts(
     no heads. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
     kind = rows.schema["id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    deals = max(1, math.ceil(size / SHARD_BYTES))
     shards = materialise(
-        rows.mapInArrow(_shards, f"shard long, ids array<{kind}>, held binary, length binary, vocab binary, class binary, codes binary"), "lm-shards"
+        rows.withColumn("deal", F.xxhash64("id", "text"))
+        .withColumn("shard", F.pmod("deal", F.lit(deals)))
+        .repartition("shard")
+        .sortWithinPartitions("shard", "deal", "held")
+        .select("shard", "id", "held", "text", "size")
+        .mapInArrow(_shards, f"shard long, ids array<{kind}>, held binary, length binary, vocab binary, class binary, codes binary"),
+        "lm-shards",
     )
     counted = materialise(
         shards.select("shard", "held", "length", "vocab", "class", "codes")
@@ -388,25 +518,35 @@ def score_texts(
         .mapInArrow(_count_words, COUNTED),
         "lm-counts",
     )
-    # per class: one row of totals, HEADS rows of heads
+    # per class: one row of totals, HEADS rows of heads; per leaf its totals from one bucket or two
     totals = counted.filter("shard IS NULL AND word IS NULL").groupBy("class").agg(F.sum("n").alias("n"), F.sum("distinct").alias("v")).collect()
     best = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "word"))
     heads = counted.filter("word IS NOT NULL").withColumn("r", best).filter(F.col("r") <= HEADS).select("class", "word", "n").collect()
-    model = Model([(r["class"], r["word"], r["n"]) for r in heads], {r["class"]: (r["n"], r["v"]) for r in totals})
+    leaves = [np.frombuffer(r[0], np.int64).reshape(3, -1) for r in counted.filter("leaves IS NOT NULL").select("leaves").toLocalIterator()]
+    model = Model(
+        [(r["class"], r["word"], r["n"]) for r in heads],
+        {r["class"]: (r["n"], r["v"]) for r in totals},
+        np.concatenate([np.zeros((3, 0), np.int64), *leaves], axis=1),
+    )
+    teams = max(1, math.isqrt(deals))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(dict(vars(model)))
         changes = (
             shards.select("held", "length", "vocab", "class", "codes")
-            .mapInArrow(_train(shared, turn, rounds, step), "block int, weight double, change binary")
+            .mapInArrow(_train(shared, turn, rounds, step, teams), CHANGES)
+            .repartition("team", "block")
+            .sortWithinPartitions("team", "block")
+            .mapInArrow(_add, CHANGES)
+            .withColumn("team", F.lit(0))
             .repartitionById(BLOCKS, "block")
-            .mapInArrow(_average, "block int, weight double, change binary")
+            .mapInArrow(_add, CHANGES)
             .collect()  # BLOCKS rows, the weights
         )
         if changes:
-            flat = np.concatenate([np.frombuffer(r["change"], np.float32) for r in sorted(changes, key=lambda r: r["block"])])
-            cut = model.by_class.size
-            model.by_class = model.by_class + flat[:cut].reshape(model.by_class.shape)
-            model.by_word = model.by_word + flat[cut:].reshape(model.by_word.shape)
+            flat = np.concatenate([_unpacked(r["change"]) / (r["weight"] * UNIT) for r in sorted(changes, key=lambda r: r["block"])]).astype(np.float32)
+            cuts = np.cumsum([w.size for w in model.weights()])
+            for w, part in zip(model.weights(), np.split(flat, cuts[:-1])):
+                w += part.reshape(w.shape)
     shared = spark.sparkContext.broadcast(dict(vars(model)))
     back = counted.filter("shard IS NOT NULL").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("c"))
     joined = shards.join(back.select("shard", F.col("c.counts").alias("counts")), "shard")

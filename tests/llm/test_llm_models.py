@@ -8,6 +8,7 @@ from zlib import crc32
 
 import llm_cases as cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def test_lm_learns_at_every_position(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over all training words and one unseen word of each class."""
+    """Over all training words and one unseen word of each class, with weights in both softmaxes and the trees."""
     r = np.random.default_rng(1)
     vocab = np.sort(r.integers(0, 1 << 63, 3000).astype(np.uint64))
     classes = (vocab % np.uint64(maxent_lm.CLASSES)).astype(np.uint8)
@@ -85,9 +86,11 @@ def test_lm_probabilities_sum_to_one():
         best = mine[np.lexsort((vocab[mine].astype(np.int64), -counts[mine]))][: maxent_lm.HEADS]
         heads += [(c, int(vocab[k].astype(np.int64)), int(counts[k])) for k in best]
         totals[c] = int(counts[mine].sum()), len(mine)
-    model = maxent_lm.Model(heads, totals)
+    leaf, where = np.unique(maxent_lm._leaf(vocab, classes), return_inverse=True)
+    model = maxent_lm.Model(heads, totals, np.stack((leaf, np.bincount(where, counts).astype(np.int64), np.bincount(where))))
     model.by_class += r.normal(0, 0.5, model.by_class.shape).astype(np.float32)
     model.by_word += r.normal(0, 0.5, model.by_word.shape).astype(np.float32)
+    model.by_node += r.normal(0, 0.5, model.by_node.shape).astype(np.float32)
     everything = np.concatenate((vocab, np.arange(maxent_lm.CLASSES, dtype=np.uint64)))
     kinds = np.concatenate((classes, np.arange(maxent_lm.CLASSES, dtype=np.uint8)))
     seen = np.concatenate((counts, np.zeros(maxent_lm.CLASSES, np.int64)))
@@ -97,6 +100,39 @@ def test_lm_probabilities_sum_to_one():
     assert (10 ** scores[1::2]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_same_scores_from_any_split(spark, monkeypatch):
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(language_rows(300))]
+    monkeypatch.setattr(maxent_lm, "SHARD_BYTES", 20_000)  # several trainers
+    score = lambda docs: {r.doc_id: (r.score, r.base_score) for r in maxent_lm.score_texts(docs, held_out=F.col("doc_id") % 5 == 1).collect()}
+    one = score(cases.frame(spark, rows).coalesce(1))
+    assert one == score(cases.frame(spark, rows[::-1]).repartition(12))
+    assert len(one) == len(rows)
+
+
+def test_lm_history_moves_rare_words(spark):
+    """600 words of one ending, far more than a class has heads: which of them comes next depends on
+    the rare word before it."""
+    r = random.Random(3)
+    left, right = [f"l{i}on" for i in range(600)], [f"r{i}on" for i in range(600)]
+    text = lambda swap: " ".join(f"{left[i]} {right[(i + swap) % 600]}" for i in (r.randrange(600) for _ in range(20)))
+    rows = [(i, text(0), "s") for i in range(1500)] + [(2000 + i, text(0), "s") for i in range(50)] + [(3000 + i, text(77), "s") for i in range(50)]
+    got = maxent_lm.score_texts(cases.frame(spark, rows), held_out=F.col("doc_id") >= 2000).filter("held_out").collect()
+    mean = lambda low: sum(x.score for x in got if low <= x.doc_id < low + 1000) / 50 / 20
+    assert mean(2000) - mean(3000) > 1  # ten times as likely
+
+
+def test_lm_shards_are_cut_by_bytes(spark, monkeypatch):
+    """A number whose texts exceed the limit is several shards, the same for all batch sizes."""
+    monkeypatch.setattr(maxent_lm, "SHARD_BYTES", 1000)
+    batch = lambda rows: pa.RecordBatch.from_pylist([{"shard": s, "id": i, "held": False, "text": t, "size": len(t.encode())} for s, i, t in rows])
+    rows = [(0, i, "ab cd " * (i % 7)) for i in range(300)] + [(3, 300, "x" * 9000), (3, 301, "")] + [(4, i, "") for i in range(302, 340)]
+    cut = lambda n: [(b.column("shard")[0].as_py(), b.column("ids")[0].as_py(), b.column("codes")[0].as_py()) for b in maxent_lm._shards(batch(rows[k : k + n]) for k in range(0, len(rows), n))]
+    whole = cut(1000)
+    assert whole == cut(7) == cut(1)
+    assert [i for _, ids, _ in whole for i in ids] == list(range(340))
+    assert len({s for s, *_ in whole}) == len(whole) > 4
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
