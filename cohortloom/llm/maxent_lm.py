@@ -100,7 +100,7 @@ def _shards(batches):
             if dealt[start] != deal:
                 deal, before = dealt[start], 0
             ends = before + np.cumsum(size[start:stop])
-            part = (ends - size[start:stop]) // (2 * SHARD_BYTES)
+            part = (ends - size[start:stop]) // (SHARD_BYTES * 3 // 2)
             before = ends[-1]
             cuts = start + bounds_of(part)
             for low, high in zip(cuts[:-1], cuts[1:]):
@@ -282,50 +282,56 @@ class Model:
         return place, np.where(is_head, classes * HEADS + place, CLASSES * HEADS + classes)
 
     @staticmethod
-    def histories(values: np.ndarray, length: np.ndarray, outside) -> list[np.ndarray]:
-        """What stands one and two tokens before each token, ``outside`` before the text."""
-        inside = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
+    def histories(codes: np.ndarray, length: np.ndarray, outside: int) -> list[np.ndarray]:
+        """Numbers of the words one and two tokens before each token, ``outside`` before the text."""
+        inside = np.arange(len(codes), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
         out = []
         for back in (1, 2):
-            h = np.full(len(values), outside, values.dtype)
-            h[back:] = values[:-back]
+            h = np.full(len(codes), outside, codes.dtype)
+            h[back:] = codes[:-back]
             h[inside < back] = outside
             out.append(h)
         return out
 
     @staticmethod
     def rows(history, words, classes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Feature rows of the two softmaxes, from contexts and hashes of the words before."""
+        """Feature rows of the two softmaxes, from contexts and hashes of the words before. The last
+        row of ``by_class`` belongs to every token."""
         one, two = history
         named = (mix(words[0] + U(3)) >> U(51)).astype(np.int64)  # 8192
         pair = (mix(words[0] * U(3) + words[1]) >> U(51)).astype(np.int64)  # 8192
-        by_class = [np.full(len(one), CLASS_ROWS - 1), one, CONTEXTS + two, 2 * CONTEXTS + named, 2 * CONTEXTS + 8192 + pair]
+        by_class = [one, CONTEXTS + two, 2 * CONTEXTS + named, 2 * CONTEXTS + 8192 + pair]
         key = lambda h, salt: (mix((h * CLASSES + classes).astype(np.uint64) + U(salt << 40)) >> U(50)).astype(np.int64)  # noqa: E731  2**14
         by_word = [WORD_ROWS + classes, key(one, 1), key(two, 2), key(pair, 3)]
         return by_class, by_word
 
     def scores(self, by_class, by_word, classes):
-        z = self.by_class[by_class[0]]
+        z = self.by_class.take(by_class[0], 0)
+        z += self.by_class[-1]
         for f in by_class[1:]:
-            z += self.by_class[f]
-        y = self.by_word[by_word[0]]
+            z += self.by_class.take(f, 0)
+        y = (self.by_word[WORD_ROWS:] + self.shut).take(classes, 0)
         for f in by_word[1:]:
-            y += self.by_word[f]
-        y += self.shut[classes]
+            y += self.by_word.take(f, 0)
         return z, y
 
     def decisions(self, hashes, classes, words):
         """For words that are no heads, one column per node from the root to the leaf: the score
         of going right, whether the word does, and the rows of the features."""
-        top = (hashes >> U(64 - DEPTH)).astype(np.int64)[:, None]
-        d = np.arange(DEPTH)[None, :]
-        cell = classes[:, None] * LEAVES + ((1 << d) | (top >> (DEPTH - d)))
-        right = (top >> (DEPTH - 1 - d)) & 1 == 1
-        spread = cell.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        rows = [(((w[:, None] + U(salt)) ^ spread) * U(0xD6E8FEB86659FD93) >> U(46)).astype(np.int64) for salt, w in enumerate(words)]  # 2**18
-        score = self.odds[cell]
+        top = (hashes >> U(64 - DEPTH)).astype(np.uint32)[:, None]
+        d = np.arange(DEPTH, dtype=np.uint32)[None, :]
+        one = np.uint32(1)
+        cell = classes.astype(np.uint32)[:, None] * np.uint32(LEAVES) + ((one << d) | (top >> (np.uint32(DEPTH) - d)))
+        right = (top >> (np.uint32(DEPTH - 1) - d)) & one == one
+        spread = cell * np.uint32(0x9E3779B1)
+        rows = []
+        for salt, w in enumerate(words):
+            mixed = ((w >> U(32)).astype(np.uint32) + np.uint32(salt))[:, None] ^ spread
+            mixed ^= mixed >> np.uint32(15)
+            rows.append((mixed * np.uint32(0x85EBCA6B) >> np.uint32(14)).astype(np.intp))  # 2**18
+        score = self.odds.take(cell)
         for r in rows:
-            score = score + self.by_node[r]
+            score += self.by_node.take(r)
         return score, right, rows
 
     def log10(self, vocab, classes_of, counts, codes, length) -> tuple[np.ndarray, np.ndarray]:
@@ -336,19 +342,20 @@ class Model:
             in_leaf = (counts + 0.5) / self.mass[_leaf(vocab, classes_of)] * (1 - 0.5 / self.rest_scale[classes_of])
         rest = np.log(np.where(known, in_leaf, np.where(place_of == HEADS, 0.5 / self.rest_scale[classes_of], 1.0)))
         base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-        history = self.histories(context_of[codes], length, START)
-        words = self.histories(vocab[codes], length, NOBODY)
+        before = self.histories(codes, length, len(vocab))
+        context_of, named = np.append(context_of, START), np.append(vocab, NOBODY)
         out = np.empty(len(codes))
         for a in range(0, len(codes), 16384):
             code = codes[a : a + 16384]
             c, k = classes_of[code].astype(np.int64), place_of[code]
-            before = [h[a : a + 16384] for h in words]
-            z, y = self.scores(*self.rows([h[a : a + 16384] for h in history], before, c), c)
+            back = [h[a : a + 16384] for h in before]
+            words = [named[h] for h in back]
+            z, y = self.scores(*self.rows([context_of[h] for h in back], words, c), c)
             row = np.arange(len(code))
             found = z[row, c] - _lse(z) + y[row, k] - _lse(y) + rest[code]
             at = np.flatnonzero(known[code])
-            score, right, _ = self.decisions(vocab[code[at]], c[at], [h[at] for h in before])
-            found[at] -= np.logaddexp(0, np.where(right, -score, score)).sum(1)
+            score, right, _ = self.decisions(vocab[code[at]], c[at], [w[at] for w in words])
+            found[at] -= np.log(np.prod(1 + np.exp(np.minimum(np.where(right, -score, score), 50)), 1, np.float64))
             out[a : a + 16384] = found
         return out / math.log(10), base[codes]
 
@@ -361,11 +368,15 @@ class Model:
             pull = np.exp(s, out=s)
             pull /= -pull.sum(1, keepdims=True)
             pull[row, target] += 1
+            if weights is self.by_class:  # its last row
+                g = pull.sum(0)
+                store[-1] += g * g
+                weights[-1] += step * g / np.sqrt(store[-1])
             for f in features:
                 order = np.argsort(f.astype(np.uint16), kind="stable")  # radix sort; both tables have fewer than 2**16 rows
                 edges = bounds_of(f[order])
                 slot = f[order[edges[:-1]]]
-                g = np.add.reduceat(pull[order], edges[:-1], axis=0)
+                g = np.add.reduceat(pull.take(order, 0), edges[:-1], axis=0)
                 squares = store[slot]
                 squares += g * g
                 store[slot] = squares
@@ -377,9 +388,12 @@ class Model:
         """One AdaGrad step of the decisions on words that are no heads."""
         score, right, rows = self.decisions(hashes, classes, words)
         pull = right - 1 / (1 + np.exp(-score))  # 0 where a side is empty
-        g = np.bincount(np.concatenate([r.ravel() for r in rows]), np.tile(pull.ravel(), len(rows)), TREE_ROWS)
+        pull = pull.ravel().astype(np.float64)
+        g = sum(np.bincount(r.ravel(), pull, TREE_ROWS) for r in rows).astype(np.float32)
         memory += g * g
-        self.by_node += step * g / np.sqrt(memory)
+        g *= np.float32(step)
+        g /= np.sqrt(memory)
+        self.by_node += g
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
@@ -420,20 +434,21 @@ def _train(shared, turn: int, rounds: int, step: float, teams: int):
                 vocab = np.frombuffer(batch.column("vocab")[i].as_py(), np.uint64)
                 classes_of = np.frombuffer(batch.column("class")[i].as_py(), np.uint8)
                 place_of, context_of = before.places(vocab, classes_of)
-                history = before.histories(context_of[codes], length, START)
-                words = before.histories(vocab[codes], length, NOBODY)
+                history = before.histories(codes, length, len(vocab))
+                context_of, word_of = np.append(context_of, START), np.append(vocab, NOBODY)
                 # the same order in all rounds; each takes its own share, together all tokens
                 at = np.random.default_rng(rounds).permutation(np.flatnonzero(np.repeat(~held, length)))[turn::rounds]
                 if not len(at):
                     continue
                 model = before.copy()
-                memory = [np.full_like(w, 1.0) for w in model.weights()[:2]] + [np.full(TREE_ROWS, TREE_MEMORY)]
+                memory = [np.full_like(w, 1.0) for w in model.weights()[:2]] + [np.full(TREE_ROWS, TREE_MEMORY, np.float32)]
                 for a in range(0, len(at), BATCH):
                     part = at[a : a + BATCH]
                     code = codes[part]
                     c, k = classes_of[code].astype(np.int64), place_of[code]
-                    named = [h[part] for h in words]
-                    model.learn(*model.rows([h[part] for h in history], named, c), c, k, memory, step)
+                    back = [h[part] for h in history]
+                    named = [word_of[h] for h in back]
+                    model.learn(*model.rows([context_of[h] for h in back], named, c), c, k, memory, step)
                     other = np.flatnonzero(k == HEADS)
                     model.learn_tree(vocab[code[other]], c[other], [h[other] for h in named], memory[2], step)
                 portions = -(-len(at) // PORTION)
