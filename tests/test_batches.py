@@ -95,3 +95,21 @@ def test_counts_of_flat_columns_read_no_rows(spark, tmp_path):
     finally:
         b.footer_table = real
     assert "count(x)" in seen[0] and "RelationV2[region" in seen[0]
+
+
+def test_folders_are_listed_by_few_tasks_and_once_for_their_counts(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "'sea' AS region", "id AS batch_id", "array(id) AS ids")
+    b.write_batches(rows, str(tmp_path), "matches")
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(b.LISTING)
+
+    def listing_jobs(action):
+        spark.sparkContext.setJobGroup(str(action), "listing")
+        action()
+        spark.sparkContext._jsc.clearJobGroup()
+        found = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(action)) for s in tracker.getJobInfo(j).stageIds]
+        return [stage.numTasks for stage in found if stage and stage.name.startswith(("load at", "parquet at"))]
+
+    assert max(listing_jobs(lambda: b.batch_files(spark, str(tmp_path)))) <= 2 * spark.sparkContext.defaultParallelism
+    counts = b.filled_counts(spark, str(tmp_path), "matches")
+    assert counts.count() == 400 and counts.filter("filled <> 1 OR rows <> 1").isEmpty()
+    assert spark.conf.get(b.LISTING) == before
