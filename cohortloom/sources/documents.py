@@ -86,7 +86,9 @@ FRAME_FIELDS = {
 
 
 def extract_participants(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("metadata.matchId").alias("match_id"), F.explode("info.participants").alias("p")).select(
+    # below an inner explode Spark filters by the array's size, and parses the text anew for that
+    people = docs.select(F.col("metadata.matchId").alias("match_id"), F.posexplode_outer("info.participants").alias("_place", "p"))
+    return people.filter("_place is not null").select(
         "match_id", *[F.col("p")[field].alias(name) for field, name in PARTICIPANT_FIELDS.items()]
     )
 
