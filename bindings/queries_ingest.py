@@ -75,8 +75,8 @@ _S = derive.SNAPSHOT
 _E = derive.EVENTS
 
 
-def timelines(spark, sf):
-    """One timeline document per order line: four frames, events in the first three."""
+def timelines(spark, sf, schema):
+    """One timeline document per order line, read by ``schema``: four frames, events in the first three."""
     ints = {"ints": "ARRAY<INT>", "array": "array"}
 
     def put(text):
@@ -117,7 +117,7 @@ def timelines(spark, sf):
     # raw lines are dealt by key before documents are made of them: the given file is one row group
     lines = tables.read(spark, sf, "lineitem").repartition("l_orderkey", "l_linenumber")
     raw = lines.selectExpr(f"{L_MATCH} AS match_id", f"{text} AS value")
-    return docs.parse_documents(raw, schema=docs.TIMELINE_DOCUMENT, keep=["match_id"])
+    return docs.parse_documents(raw, schema=schema, keep=["match_id"])
 
 
 @query(
@@ -129,7 +129,7 @@ def timelines(spark, sf):
     FROM lineitem, (VALUES (0), (1), (2), (3)) fr(f)""",
 )
 def extract_snapshots(spark, sf):
-    return docs.extract_snapshots(timelines(spark, sf))
+    return docs.extract_snapshots(timelines(spark, sf, docs.SNAPSHOT_DOCUMENT))
 
 
 def _event_sql():
@@ -165,7 +165,7 @@ def _event_sql():
 @query("extract_events", _event_sql())
 def extract_events(spark, sf):
     listed = F.when(F.col("assisting_ids").isNotNull(), F.concat_ws(",", F.col("assisting_ids").cast("array<string>")))
-    return docs.extract_events(timelines(spark, sf)).withColumn("assisting_ids", listed)
+    return docs.extract_events(timelines(spark, sf, docs.EVENT_DOCUMENT)).withColumn("assisting_ids", listed)
 
 
 @query(

@@ -18,14 +18,19 @@ MATCH_DOCUMENT = (
     "totalDamageDealtToChampions:bigint,totalDamageTaken:bigint,item0:bigint,item1:bigint,"
     "item2:bigint,item3:bigint,item4:bigint,item5:bigint,item6:bigint>>>"
 )
-TIMELINE_DOCUMENT = (
-    "info struct<frames:array<struct<timestamp:bigint,"
+_PLAYERS = (
     "participantFrames:map<string,struct<currentGold:bigint,totalGold:bigint,goldPerSecond:bigint,"
-    f"level:bigint,xp:bigint,minionsKilled:bigint,jungleMinionsKilled:bigint,position:{_POINT}>>,"
+    f"level:bigint,xp:bigint,minionsKilled:bigint,jungleMinionsKilled:bigint,position:{_POINT}>>"
+)
+_EVENTS = (
     "events:array<struct<type:string,timestamp:bigint,participantId:int,itemId:int,beforeId:int,"
     "afterId:int,killerId:int,victimId:int,assistingParticipantIds:array<int>,buildingType:string,"
-    f"laneType:string,teamId:int,monsterType:string,monsterSubType:string,position:{_POINT}>>>>>"
+    f"laneType:string,teamId:int,monsterType:string,monsterSubType:string,position:{_POINT}>>"
 )
+TIMELINE_DOCUMENT = f"info struct<frames:array<struct<timestamp:bigint,{_PLAYERS},{_EVENTS}>>>"
+# what one extraction reads of a timeline; the parser skips the rest of the text
+SNAPSHOT_DOCUMENT = f"info struct<frames:array<struct<timestamp:bigint,{_PLAYERS}>>>"
+EVENT_DOCUMENT = f"info struct<frames:array<struct<timestamp:bigint,{_EVENTS}>>>"
 
 
 def parse_documents(
