@@ -85,7 +85,9 @@ def line_dedup(
         .agg(F.collect_set("pos").alias("gone"))  # equal rows say the same
     )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    a, b = rows.alias("a"), gone.alias("b")
+    # the removed lines are numbers: a hash table of a task's share of them meets the texts as they
+    # stream by, which are neither sorted nor held
+    a, b = rows.alias("a"), gone.hint("shuffle_hash").alias("b")
     blank = F.size(F.filter("line", lambda x: F.trim(x) == ""))
     return (
         a.join(b, F.expr("a.id = b.id AND a.copy = b.copy"), "left")
