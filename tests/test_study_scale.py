@@ -41,6 +41,20 @@ def test_team_sums_read_the_snapshots_once(spark, sf_dir):
     assert found.count("Generate explode([0,1,2,3])") == 1
 
 
+def test_team_sums_are_dealt_by_instant_once(spark):
+    obs = spark.range(9).selectExpr("'m' || id AS match_id", "id AS at_ms", "1 AS team_id")
+    snaps = spark.range(9).selectExpr("'m' || id AS match_id", "id AS timestamp", "1 AS team_id", "id AS xp")
+    found = state.team_vs_enemy_at_ts(obs, snaps, match="match_id", obs_ts="at_ms", snap_ts="timestamp", team="team_id", measures=["xp"])
+    out = io.StringIO()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with contextlib.redirect_stdout(out):
+            found.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.getvalue().count("Exchange hashpartitioning") == 2  # observers and rows
+
+
 def test_team_sums_with_nulls_and_unseen_teams(spark):
     obs = spark.createDataFrame(
         [("m", 1, 10, 100), ("m", 2, 10, 200), ("m", 3, 10, 300), ("m", 4, 10, None), ("m", 5, 11, 100), (None, 6, 10, 100), ("m", 7, None, 100)],
@@ -54,3 +68,17 @@ def test_team_sums_with_nulls_and_unseen_teams(spark):
     got = {r["participant_id"]: (r["team_xp_sum"], r["enemy_xp_sum"], r["team_xp_diff"]) for r in found.collect()}
     none = (None, None, None)
     assert got == {1: (5, 18, -13), 2: (7, 16, -9), 3: (0, 23, -23), 4: (0, 23, -23), 5: none, 6: none, 7: none}
+
+
+def test_snapshots_of_some_matches_are_cut_before_they_are_made(spark, sf_dir):
+    for found in (plan(queries_study.placed(spark, sf_dir)), plan(tables.study(spark, sf_dir).snapshots_of(tables.study(spark, sf_dir).episodes))):
+        assert found.index("Generate explode") < found.index("Join LeftSemi")
+
+
+def test_snapshots_of_some_matches_are_theirs(spark, sf_dir):
+    s = tables.study(spark, sf_dir)
+    some = s.matches.filter("game_id % 3 = 1").select("match_id")
+    wanted = s.snapshots.join(some, "match_id", "left_semi")
+    found = s.snapshots_of(some.unionByName(some))
+    assert found.columns == wanted.columns
+    assert wanted.exceptAll(found).isEmpty() and found.exceptAll(wanted).isEmpty() and not found.isEmpty()
