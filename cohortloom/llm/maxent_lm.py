@@ -355,7 +355,8 @@ class Model:
             found = z[row, c] - _lse(z) + y[row, k] - _lse(y) + rest[code]
             at = np.flatnonzero(known[code])
             score, right, _ = self.decisions(vocab[code[at]], c[at], [w[at] for w in words])
-            found[at] -= np.log(np.prod(1 + np.exp(np.minimum(np.where(right, -score, score), 50)), 1, np.float64))
+            score *= np.float32(1) - np.float32(2) * right
+            found[at] -= np.log(np.prod(1 + np.exp(np.minimum(score, 50, out=score), out=score), 1, np.float64))
             out[a : a + 16384] = found
         return out / math.log(10), base[codes]
 
@@ -364,7 +365,7 @@ class Model:
         z, y = self.scores(by_class, by_word, classes)
         row = np.arange(len(classes))
         for weights, store, features, s, target in ((self.by_class, memory[0], by_class, z, classes), (self.by_word, memory[1], by_word, y, places)):
-            s -= s.max(1, keepdims=True)
+            s -= _top(s)
             pull = np.exp(s, out=s)
             pull /= -pull.sum(1, keepdims=True)
             pull[row, target] += 1
@@ -376,7 +377,7 @@ class Model:
                 order = np.argsort(f.astype(np.uint16), kind="stable")  # radix sort; both tables have fewer than 2**16 rows
                 edges = bounds_of(f[order])
                 slot = f[order[edges[:-1]]]
-                g = np.add.reduceat(pull.take(order, 0), edges[:-1], axis=0)
+                g = _row_sums(pull, order, edges)
                 squares = store[slot]
                 squares += g * g
                 store[slot] = squares
@@ -396,9 +397,35 @@ class Model:
         self.by_node += g
 
 
+def _top(x: np.ndarray) -> np.ndarray:
+    """Largest value of each row, as a column; the columns are a power of two."""
+    while x.shape[1] > 1:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x
+
+
+def _row_sums(values: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order`` between ``edges``. Most have few rows: up to four are added side
+    by side over all sums, in the order of ``reduceat`` (the first row to the sum of the others)."""
+    starts, n = edges[:-1], np.diff(edges)
+    out = values.take(order[starts], 0)
+    for few in (2, 3, 4):
+        at = np.flatnonzero(n == few)
+        others = values.take(order[starts[at] + 1], 0)
+        for k in range(2, few):
+            others += values.take(order[starts[at] + k], 0)
+        out[at] += others
+    at = np.flatnonzero(n > 4)
+    if len(at):
+        rows = order[np.repeat(n > 4, n)]
+        out[at] = np.add.reduceat(values.take(rows, 0), np.cumsum(n[at]) - n[at], axis=0)
+    return out
+
+
 def _lse(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    top = _top(x)
+    return top[:, 0] + np.log(np.exp(x - top).sum(1))
 
 
 def _packed(values: np.ndarray) -> bytes:
